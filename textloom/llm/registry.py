@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup, sharding
+from textloom.llm import bpe, exact_dedup, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
