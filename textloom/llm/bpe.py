@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from textloom.llm.common import slices, table, texts_of
 
@@ -235,9 +236,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             shown = [known.text(np.array(x or [], np.int64)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    from pyspark.sql.types import StringType
-
-    return tokens.mapInArrow(run, tokens.schema.add("decoded", StringType()))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

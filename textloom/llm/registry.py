@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, exact_dedup, sharding
+from textloom.llm import bpe, exact_dedup, secrets, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
