@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from textloom.llm.common import slices, table, texts_of
+from textloom.llm.common import gather, slices, table, texts_of
 
 NONE = np.iinfo(np.int64).max
 #: Letters of pieces that a worker remembers before it starts anew.
@@ -150,14 +150,6 @@ class Vocabulary:
         return " ".join([self.tokens[i] for i in ids.tolist()])
 
 
-def gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs values[bounds[c]:bounds[c + 1]] of each code one after another, and where each starts (n + 1)."""
-    length = (bounds[1:] - bounds[:-1])[codes]
-    ends = np.r_[0, np.cumsum(length)]
-    index = np.arange(ends[-1]) + np.repeat(bounds[:-1][codes] - ends[:-1], length)
-    return values[index], ends
-
-
 class Encoder:
     """Encodes batches of texts; remembers short pieces between batches."""
 

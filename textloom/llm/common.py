@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -99,3 +100,34 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
 def doc_of(bounds: np.ndarray) -> np.ndarray:
     """For each word, the number of its text."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[bounds[c]:bounds[c + 1]] of each code one after another, and where each starts (n + 1)."""
+    length = (bounds[1:] - bounds[:-1])[codes]
+    ends = np.r_[0, np.cumsum(length)]
+    index = np.arange(ends[-1]) + np.repeat(bounds[:-1][codes] - ends[:-1], length)
+    return values[index], ends
+
+
+#: Rows of a few longs that may be broadcast (about 100 MB at most); beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether df, which should be stored, has at most `most` rows."""
+    return df.limit(most + 1).count() <= most
+
+
+def row_key(text_col: str = "text"):
+    """A hash that tells apart rows with one id and different texts."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, whose (doc_id, row_key) is not in `dropped`, which should be stored."""
+    i, k, z = (fresh(docs, f"_drop_{x}") for x in ("id", "key", "none"))
+    gone = dropped.select(F.coalesce(F.col("doc_id"), F.lit(0)).alias(i), F.col("row_key").alias(k), F.col("doc_id").isNull().alias(z)).distinct()
+    gone = F.broadcast(gone) if small(dropped) else gone
+    own = docs.withColumns({i: F.coalesce(F.col(id_col), F.lit(0)), k: row_key(text_col), z: F.col(id_col).isNull()})
+    return own.join(gone, [i, k, z], "left_anti").drop(i, k, z)

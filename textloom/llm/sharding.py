@@ -29,8 +29,8 @@ from textloom.llm.common import keep, table
 SHARDS = 40
 #: Bytes that each row counts besides its text.
 ROW_BYTES = 16
-#: Groups in a block of prefix sums, and blocks that the driver holds at once.
-BLOCK, HELD = 65_536, 128
+#: Groups in a block of prefix sums, groups that the driver reads at once, and groups that it holds (8 bytes each).
+BLOCK, READ, HELD = 65_536, 262_144, 8 << 20
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
@@ -62,9 +62,11 @@ class Groups:
 
     def __init__(self, stored: DataFrame):
         self.stored = stored
-        rows = stored.groupBy("block").agg(F.max("run").alias("run"), F.max("at").alias("at"), F.sum("size").alias("size"), F.max("size").alias("top")).orderBy("block").collect()
+        rows = stored.groupBy("block").agg(F.max("run").alias("run"), F.max("at").alias("at"), F.sum("size").alias("size"), F.max("size").alias("top"), F.count(F.lit(1)).alias("n")).orderBy("block").collect()
         self.ids = [r["block"] for r in rows]
         self.ends = np.cumsum([r["size"] for r in rows], dtype=np.int64)
+        self.counts = [r["n"] for r in rows]
+        self.place = {b: k for k, b in enumerate(self.ids)}
         self.total = int(self.ends[-1]) if rows else 0
         self.top = max((r["top"] for r in rows), default=0)
         self.held: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -72,13 +74,18 @@ class Groups:
     def block(self, k: int) -> np.ndarray:
         """The running sizes of block k, from the start of all groups."""
         if k not in self.held:
-            wanted = [self.ids[j] for j in range(k, min(k + 4, len(self.ids))) if j not in self.held]
-            found = self.stored.filter(F.col("block").isin(wanted)).select("block", "at", "size").toPandas()
-            for b, rows in found.sort_values(["block", "at"]).groupby("block"):
-                j = self.ids.index(b)
+            last, n = k, 0
+            while last < len(self.ids) and n < READ:
+                n += self.counts[last]
+                last += 1
+            wanted = F.col("block").between(self.ids[k], self.ids[last - 1])
+            found = self.stored.filter(wanted).select("block", "at", "size").toPandas().sort_values(["block", "at"])
+            for b, rows in found.groupby("block"):
+                j = self.place[b]
                 self.held[j] = (self.ends[j] - rows["size"].sum()) + np.cumsum(rows["size"].to_numpy(np.int64))
-            while len(self.held) > HELD:
-                self.held.popitem(last=False)
+                self.held.move_to_end(j)
+            while sum(map(len, self.held.values())) > HELD and len(self.held) > 1:
+                self.held.pop(next(j for j in self.held if j != k))
         self.held.move_to_end(k)
         return self.held[k]
 
