@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, exact_dedup, secrets, sharding
+from textloom.llm import bpe, decontamination, exact_dedup, secrets, sharding, toxicity
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
 }
