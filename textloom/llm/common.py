@@ -60,7 +60,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts, null as empty, as an array whose first offset is 0: pyarrow's ascii_lower relies on that."""
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    if not len(texts):
+        return texts
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if at[-1] == at[0]:
+        return pa.array([""] * len(texts), pa.large_string())
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])))
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
