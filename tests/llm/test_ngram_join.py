@@ -68,12 +68,12 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block, first, k, percent", [(nj.BLOCK, 2, 4, 85), (8, 1, 4, 85), (nj.BLOCK, 2, 5, 80), (16, 2, 2, 55)])
-def test_components_follow_brute_force(spark, block, first, k, percent):
+@pytest.mark.parametrize("near, block, k, percent", [(nj.NEAR, nj.BLOCK, 4, 85), (2, 8, 4, 85), (nj.NEAR, nj.BLOCK, 5, 80), (4, 16, 2, 55)])
+def test_components_follow_brute_force(spark, near, block, k, percent):
     rows = corpus()
     rows += [rows[3], (None, rows[3][1]), (None, "nothing like it at all here"), (5000, rows[-9][1])]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int")
-    out = nj.join(docs, k, percent, block=block, first=first)
+    out = nj.join(docs, k, percent, near=near, block=block, tries=1)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == brute(rows, k, percent)
 
 
@@ -88,16 +88,17 @@ def test_stage_keeps_one_of_each_group(spark):
 
 
 def test_traversal_loses_no_link():
-    sets = [np.unique(np.random.default_rng(k % 7).integers(0, 1 << 60, 50 + k % 13).astype(np.uint64))[: 45 + k % 5] for k in range(150)]
+    sets = [np.unique(np.random.default_rng(k % 7).integers(0, 1 << 60, 330 + k % 13).astype(np.uint64))[: 325 + k % 5 * 7] for k in range(150)]
     size = np.array([len(s) for s in sets])
-    bits = np.stack([np.frombuffer(nj.signature(s), np.uint64) for s in sets])
-    tree = nj.Tree(size, bits)
-    got = {(a, b) for i, j in nj.traverse(tree, tree, 85, True) for a, b in zip(i.tolist(), j.tolist())}
+    bits = [nj.signature(s) for s in sets]
+    assert len({len(b) for b in bits}) == 2
     want = {(a, b) for a in range(150) for b in range(a + 1, 150) if nj.linked(sets[a], sets[b], 85)}
-    assert want and want <= got
-    left, right = nj.Tree(size[:60], bits[:60]), nj.Tree(size[60:], bits[60:])
-    got = {(a, b + 60) for i, j in nj.traverse(left, right, 85, False) for a, b in zip(i.tolist(), j.tolist())}
-    assert {(a, b) for a, b in want if a < 60 <= b} <= got
+    order = lambda found: {(min(a, b), max(a, b)) for i, j in found for a, b in zip(i.tolist(), j.tolist())}
+    assert want and want <= order(nj.candidates(size, bits, 85))
+    side = (np.arange(150) >= 60).astype(np.int64)
+    got = order(nj.candidates(size, bits, 85, np.arange(150), side))
+    assert {(a, b) for a, b in want if a < 60 <= b} <= got and all(a < 60 <= b for a, b in got)
+    assert not order(nj.candidates(size, bits, 85, np.zeros(150, np.int64)))
 
 
 def test_components_of_chains_and_stars(spark):

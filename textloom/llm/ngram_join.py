@@ -6,16 +6,16 @@ shingle, one without words none. Two sets link when 100 * |x & y| >= PERCENT * |
 1. Texts with equal sets are one class; copies never meet as pairs.
 2. Two linked sets share one of the least |x| - ceil(t |x|) + 1 hashes of each (prefix filter), so classes meet in the
    buckets of their prefix hashes; hashes that only one class has are dropped.
-3. In a bucket classes stand in a signature tree: its nodes hold OR-combined bitmaps of the members' tokens and ranges of
-   their sizes. A dual traversal goes down pairs of nodes and prunes those whose greatest possible overlap
-   (common bits, plus the tokens that share a bit) is below the least that their sizes need. Pairs of classes that
-   survive are compared exactly.
-4. A first round joins each class only in its least buckets, whose sets are at hand, and links most near copies; then all
-   buckets that still hold several components are searched for pairs of different components, and these are verified.
+3. In a bucket classes stand in signature trees, one for each width of bitmap: nodes hold OR-combined bitmaps of the
+   members' tokens and ranges of their sizes. A dual traversal goes down pairs of nodes and prunes those whose greatest
+   possible overlap (common bits, plus tokens that share a bit) is below the least that their sizes need, and those whose
+   members are in one component already. Pairs of classes that survive are compared exactly.
+4. A first round searches the least and greatest bucket of each class only and joins most near copies into components.
+   Then every bucket that holds several components is searched for pairs across components, first with at most a few
+   partners for a class and a component, then, in what is still open, for all of them. This last search leaves none out.
 
-Bounds: a bucket is searched in blocks of BLOCK classes (first round) or as pairs of such blocks (second round), so no
-task holds an unbounded bucket. No link between two components is left out: the second round searches every pair of
-blocks of every bucket. Only ids and hashes of classes travel, and the sets of classes with a shared prefix hash.
+Bounds: buckets are searched in blocks (first round) or as pairs of blocks (then), so no task holds an unbounded bucket.
+Only ids, hashes and bitmaps travel, and the sets of classes that a bitmap lets through.
 
 Defined results: null and empty texts have no shingle and link with nothing, not even each other; a null id never names
 a component unless no other id is there; repeated rows are in one component; an empty table gives an empty result.
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from textloom.llm.common import hash_strings, keep, mix, row_key, slices, small, table, texts_of, without, words_of
 from textloom.llm.components import components
 
-#: Bits of a signature, children of a tree node, classes of a block, sets' bytes of a block.
-BITS, FAN, BLOCK, BLOCK_BYTES = 1024, 8, 1024, 16 << 20
-#: Least buckets of a class that the first round uses.
-FIRST = 2
+#: Least and most bits of a signature, children of a tree node.
+LEAST_BITS, MOST_BITS, FAN = 512, 8192, 8
+#: Classes and bytes of a block with sets, classes of a block with bitmaps only.
+NEAR, NEAR_BYTES, BLOCK = 1024, 16 << 20, 16_384
+#: Partners that a class tries in another component before all are tried.
+TRIES = 4
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -70,22 +72,31 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def width_of(n: int) -> int:
+    """Bits of the signature of n tokens: so many that two thirds are empty, or as many as are allowed."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (n * 3 // 2).bit_length()))
+
+
 def signature(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
+    """Bit t mod width for each token t; a wider signature folds into a narrower one by OR of its halves."""
+    width = width_of(len(tokens))
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
 class Tree:
     """Levels of a signature tree; level 0 holds the members. Members should be in an order that keeps like ones together."""
 
-    def __init__(self, size: np.ndarray, bits: np.ndarray):
+    def __init__(self, size: np.ndarray, bits: np.ndarray, group: np.ndarray | None = None):
         count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels = [(bits, size, size, size - count)]  # bitmap, least and greatest size, most tokens that share a bit
+        group = np.arange(len(size)) if group is None else group
+        # Bitmap, least and greatest size, most tokens that share a bit, least and greatest component.
+        self.levels = [(bits, size, size, size - count, group, group)]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, slack = self.levels[-1]
+            bits, low, high, slack, first, last = self.levels[-1]
             at = np.arange(0, len(bits), FAN)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
 
     def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The children at `level` of nodes one level up: number of the node in the list, and child."""
@@ -98,13 +109,16 @@ class Tree:
 
 def feasible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether node pairs may hold a link: the greatest possible overlap reaches the least one that is needed."""
-    common = np.empty(len(i), np.int64)
-    for k in range(0, len(i), 65_536):
-        common[k : k + 65_536] = np.bitwise_count(a[0][i[k : k + 65_536]] & b[0][j[k : k + 65_536]]).sum(axis=1, dtype=np.int64)
-    low = a[1][i] + b[1][j]
-    need = -(-percent * low // (100 + percent))
-    most = np.minimum(np.minimum(a[2][i], b[2][j]), common + np.minimum(a[3][i], b[3][j]))
-    return (most >= need) & (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i])
+    apart = (a[4][i] != b[4][j]) | (a[5][i] != b[5][j]) | (a[4][i] != a[5][i])
+    ok = np.flatnonzero(apart & (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i]))
+    x, y = i[ok], j[ok]
+    common = np.empty(len(x), np.int64)
+    for k in range(0, len(x), 65_536):
+        common[k : k + 65_536] = np.bitwise_count(a[0][x[k : k + 65_536]] & b[0][y[k : k + 65_536]]).sum(axis=1, dtype=np.int64)
+    need = -(-percent * (a[1][x] + b[1][y]) // (100 + percent))
+    out = np.zeros(len(i), bool)
+    out[ok] = np.minimum(np.minimum(a[2][x], b[2][y]), common + np.minimum(a[3][x], b[3][y])) >= need
+    return out
 
 
 def traverse(x: Tree, y: Tree, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,12 +160,60 @@ def find(parent: list[int], a: int) -> int:
     return a
 
 
-def block_links(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def fold(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
+def candidates(size: np.ndarray, bits: list[bytes], percent: int, group: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members that may link, in batches; with `side`, one of each side only.
+
+    Members are held by the width of their bitmaps; against a narrower tree a wider one is folded.
+    """
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    if side is not None:
+        parts = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+    else:
+        parts = [np.arange(len(size))]
+
+    def trees(rows):
+        out = {}
+        for w in np.unique(width[rows]).tolist():
+            at = rows[width[rows] == w]
+            flat = np.frombuffer(b"".join([bits[k] for k in at.tolist()]), np.uint64).reshape(len(at), w // 8)
+            out[w] = (at, flat)
+        return out
+
+    def tree(rows, flat):
+        return Tree(size[rows], flat, rows if group is None else group[rows])
+
+    held = [trees(p) for p in parts]
+    pairs = [(held[0], held[0])] if len(held) == 1 else [(held[0], held[1])]
+    for left, right in pairs:
+        for w, (p, flat) in left.items():
+            own = tree(p, flat)
+            for v, (q, other) in right.items():
+                if left is right and v < w:
+                    continue
+                if left is right and v == w:
+                    found, q = traverse(own, own, percent, True), p
+                else:
+                    mine = flat
+                    while mine.shape[1] > other.shape[1]:
+                        mine = fold(mine)
+                    while other.shape[1] > mine.shape[1]:
+                        other = fold(other)
+                    found = traverse(own if mine is flat else tree(p, mine), tree(q, other), percent, False)
+                for i, j in found:
+                    if len(i):
+                        yield p[i], q[j]
+
+
+def block_links(size: np.ndarray, bits: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect the components of a block, each verified on the sets."""
-    tree = Tree(size, bits)
     parent = list(range(len(size)))
     out = []
-    for i, j in traverse(tree, tree, percent, same=True):
+    for i, j in candidates(size, bits, percent):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             p, q = find(parent, a), find(parent, b)
             if p != q and linked(sets[a], sets[b], percent):
@@ -160,10 +222,6 @@ def block_links(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], perc
     return out
 
 
-def bit_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal keys, from sorted batches; a run that exceeds `rows` rows or `size` bytes is cut."""
     held, key, n, held_bytes = [], None, 0, 0
@@ -196,7 +254,7 @@ def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """doc_id, row_key, class, n and the prefix hashes of each row."""
+    """doc_id, row_key, class, n, the prefix hashes and the signature of each row."""
 
     def run(batches):
         for batch in slices(batches, text_col):
@@ -205,10 +263,10 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
             kinds = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
             keys = [as_long(s[: prefix_length(len(s), percent)]) for s in sets]
             at = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("row_key"), pa.array(as_long(kinds)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))], names=["doc_id", "row_key", "class", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("row_key"), pa.array(as_long(kinds)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), pa.array([signature(s) for s in sets], pa.binary())], names=["doc_id", "row_key", "class", "n", "keys", "bits"])
 
     rows = docs.select(id_col, text_col, row_key(text_col).alias("row_key"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, class long, n long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_key long, class long, n long, keys array<long>, bits binary")
 
 
 def sets_of(docs: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -245,82 +303,105 @@ def shared_only(batches):
         yield tail
 
 
-def links(docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int, block: int = BLOCK, first: int = FIRST) -> DataFrame:
-    """(node, root) of the components of classes."""
-    spark = docs.sparkSession
-    one = classes.filter("n > 0").groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    rows = one.select(F.explode("keys").alias("key"), "class")
-    shared = keep(rows.repartitionByRange("key", "class").sortWithinPartitions("key", "class").mapInArrow(shared_only, "key long, class long"), "shared")
-    met = keep(shared.select("class").distinct(), "met")
-    sets = sets_of(docs, text_col, k).join(F.broadcast(met) if small(met) else met, "class", "left_semi")
-    sets = keep(sets.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("tokens").alias("tokens")), "sets")
+def fetched(docs: DataFrame, wanted: DataFrame, text_col: str, k: int) -> DataFrame:
+    """class, n, bits and tokens of the classes in `wanted` (stored), read from the texts again."""
+    sets = sets_of(docs, text_col, k).join(F.broadcast(wanted) if small(wanted) else wanted, "class", "left_semi")
+    return keep(sets.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("tokens").alias("tokens")), "sets")
+
 
-    def near(batches):
-        for _, rows in grouped(batches, ["key"], block, BLOCK_BYTES):
+def first_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, text_col: str, k: int, percent: int, near: int) -> DataFrame:
+    """Verified links (u, v) of classes within blocks of their least and greatest buckets."""
+
+    def hopeful(batches):
+        for _, rows in grouped(batches, ["key"], near, NEAR_BYTES):
+            mark = np.zeros(rows.num_rows, bool)
+            if rows.num_rows > 1:
+                for i, j in candidates(rows["n"].to_numpy(), rows["bits"].to_pylist(), percent):
+                    mark[i] = mark[j] = True
+            yield from rows.select(["key", "class"]).filter(pa.array(mark)).to_batches()
+
+    def links_of(batches):
+        for _, rows in grouped(batches, ["key"], near, NEAR_BYTES):
             if rows.num_rows > 1:
                 kinds = rows["class"].to_numpy()
-                found = block_links(rows["n"].to_numpy(), bit_rows(rows["bits"].combine_chunks()), lists(rows["tokens"]), percent)
+                found = block_links(rows["n"].to_numpy(), rows["bits"].to_pylist(), lists(rows["tokens"]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([kinds[a] for a, _ in found], pa.int64()), pa.array([kinds[b] for _, b in found], pa.int64())], names=["u", "v"])
 
-    # The least shared hashes of a class; slice() of a sorted set of at most its prefix.
-    least = shared.groupBy("class").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).select("class", F.explode(F.slice(F.array_distinct(F.array("k1", "k2")), 1, first)).alias("key"))
-    least = least.join(sets, "class").repartitionByRange("key", "n", "class").sortWithinPartitions("key", "n", "class")
-    near_links = keep(least.mapInArrow(near, "u long, v long"), "near")
-    roots = components(near_links)
+    ends = shared.groupBy("class").agg(F.min("key").alias("a"), F.max("key").alias("b")).select("class", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
+    ends = ends.join(signs, "class").select("key", "n", "class", "bits").repartitionByRange("key", "n", "class").sortWithinPartitions("key", "n", "class")
+    hope = keep(ends.mapInArrow(hopeful, "key long, class long"), "hope")
+    sets = fetched(docs, keep(hope.select("class").distinct(), "met"), text_col, k)
+    rows = hope.join(sets, "class").select("key", "n", "class", "bits", "tokens").repartitionByRange("key", "n", "class").sortWithinPartitions("key", "n", "class")
+    return keep(rows.mapInArrow(links_of, "u long, v long"), "near")
 
-    held = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    held = keep(held, "held")
+
+def next_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, roots: DataFrame, text_col: str, k: int, percent: int, block: int, tries: int | None) -> DataFrame:
+    """Verified links across components: with tries=None of all pairs, else of a few for each class and component."""
+    held = keep(shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "held")
     open_keys = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b")
     open_keys = open_keys.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    open_rows = held.join(open_keys, "key").join(sets.select("class", "n", "bits"), "class")
+    rows = held.join(open_keys, "key").join(signs, "class")
     # A bucket of b blocks is searched as b * (b + 1) / 2 pairs of blocks; nearly all buckets have one block.
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    open_rows = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = open_rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "n", "bits")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    open_rows = open_rows.repartition(n_parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "class")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "n", "bits")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "class")
 
     def across(batches):
-        for (_, x, y), rows in grouped(batches, ["key", "x", "y"], 1 << 30, 1 << 40):
-            size, root, kinds, own_ = rows["n"].to_numpy(), rows["root"].to_numpy(), rows["class"].to_numpy(), rows["own"].to_numpy()
-            if len(np.unique(root)) < 2:
+        for (_, x, y), group in grouped(batches, ["key", "x", "y"], 2 * block + 1, 1 << 40):
+            size, root, kinds = group["n"].to_numpy(), group["root"].to_numpy(), group["class"].to_numpy()
+            side = None if x == y else (group["own"].to_numpy() == y).astype(np.int64)
+            if len(size) < 2 or root.min() == root.max():
                 continue
-            bits = bit_rows(rows["bits"].combine_chunks())
-            if x == y:
-                tree = Tree(size, bits)
-                sides = ((tree, tree, np.arange(len(size)), np.arange(len(size))),)
-            else:
-                p, q = np.flatnonzero(own_ == x), np.flatnonzero(own_ == y)
-                if not len(p) or not len(q):
-                    continue
-                sides = ((Tree(size[p], bits[p]), Tree(size[q], bits[q]), p, q),)
-            for s, t, p, q in sides:
-                for i, j in traverse(s, t, percent, same=s is t):
-                    i, j = p[i], q[j]
-                    apart = root[i] != root[j]
-                    i, j = i[apart], j[apart]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(kinds[i], kinds[j])), pa.array(np.maximum(kinds[i], kinds[j]))], names=["u", "v"])
-
-    pairs = open_rows.mapInArrow(across, "u long, v long").distinct()
+            done: dict[tuple[int, int], int] = {}
+            for i, j in candidates(size, group["bits"].to_pylist(), percent, root, side):
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                if tries is not None and len(i):
+                    stays = np.zeros(len(i), bool)
+                    for p, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                        for one, two in (((a, int(root[b])), (b, int(root[a]))),):
+                            if done.get(one, 0) < tries or done.get(two, 0) < tries:
+                                done[one] = done.get(one, 0) + 1
+                                done[two] = done.get(two, 0) + 1
+                                stays[p] = True
+                    i, j = i[stays], j[stays]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(kinds[i], kinds[j])), pa.array(np.maximum(kinds[i], kinds[j]))], names=["u", "v"])
 
     def check(batches):
         for batch in batches:
             ok = [linked(a, b, percent) for a, b in zip(lists(pa.chunked_array([batch.column("tu")])), lists(pa.chunked_array([batch.column("tv")])), strict=True)] if batch.num_rows else []
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    tokens = sets.select("class", "tokens")
+    pairs = keep(rows.mapInArrow(across, "u long, v long").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
+    wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "met")
+    tokens = fetched(docs, wanted, text_col, k).select("class", "tokens")
     checked = pairs.join(tokens.withColumnsRenamed({"class": "u", "tokens": "tu"}), "u").join(tokens.withColumnsRenamed({"class": "v", "tokens": "tv"}), "v")
-    more = keep(checked.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "more")
-    if more.isEmpty():
-        return roots
-    return components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return keep(checked.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "more")
+
+
+def links(docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int, near: int = NEAR, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
+    """(node, root) of the components of classes."""
+    real = classes.filter("n > 0")
+    rows = real.groupBy("class").agg(F.any_value("keys").alias("keys")).select(F.explode("keys").alias("key"), "class")
+    shared = keep(rows.repartitionByRange("key", "class").sortWithinPartitions("key", "class").mapInArrow(shared_only, "key long, class long"), "shared")
+    signs = real.select("class", "n", "bits").join(shared.select("class").distinct(), "class", "left_semi")
+    signs = keep(signs.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
+    roots = components(first_round(docs, shared, signs, text_col, k, percent, near))
+    for most in (tries, None):
+        more = next_round(docs, shared, signs, roots, text_col, k, percent, block, most)
+        if not more.isEmpty():
+            roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return roots
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, first: int = FIRST) -> DataFrame:
+def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
     """One row per row of docs: doc_id, row_key, n_shingles, component_id (the smallest doc_id that links reach)."""
     classes = keep(classes_of(docs, id_col, text_col, k, percent), "classes")
-    roots = links(docs, classes, text_col, k, percent, block, first)
+    roots = links(docs, classes, text_col, k, percent, near, block, tries)
     rows = classes.filter("n > 0").select("doc_id", "row_key", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
     rows = keep(rows.select("doc_id", "row_key", "n", F.coalesce("root", "class").alias("root")), "rooted")
     named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
