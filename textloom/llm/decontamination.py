@@ -6,6 +6,9 @@ hit of a run along a diagonal (document place less benchmark place) the item is
 compared by position: a leak is a window of WINDOW words of the item (the whole item if it is shorter) of which SHARE or
 more stand in the document at their places. Items shorter than SPAN are hashed whole and verified likewise.
 
+All masks hash the first and the last word of their span, so a place whose outer two words are those of no seed is
+passed over before the masks are tried.
+
 The seeds of the benchmark are broadcast if they are at most SEED_ROWS rows, which is counted first; the documents then
 are read once and not shuffled. Beyond that seeds are joined by shuffle, carrying ids and places only, and the words of
 the hits' rows are joined again for the check.
@@ -96,12 +99,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lengths = [r[0] for r in items.select(F.size("item_h").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]
     seeds = keep(seeds_of(items, lengths), "seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"), hashed(F.col(text_col)).alias("h"))
+    broadcast = small(seeds, seed_rows)
     keyed = rows.select("doc_id", "row_key", "h", F.posexplode_outer("h").alias("p", "_w")).drop("_w")
-    keys = F.array(*[seed(F.col("h"), F.col("p"), k, p) for k, p in enumerate(patterns(lengths))])
-    keyed = keyed.select("doc_id", "row_key", "h", "p", F.explode(keys).alias("key"))
+    spans = [SPAN, *sorted(lengths)]
+    if broadcast:
+        # No more rows than seeds.
+        span = F.when(F.col("pattern") < len(MASKS), F.lit(SPAN)).otherwise(F.size("item_h"))
+        outer = seeds.select(F.xxhash64(F.get("item_h", "q"), F.get("item_h", F.col("q") + span - 1), span).alias("outer")).distinct()
+        ends = [F.xxhash64(F.get("h", "p"), F.get("h", F.col("p") + n - 1), F.lit(n)) for n in spans]
+        if len(spans) == 1:
+            keyed = keyed.withColumn("outer", ends[0]).withColumn("span", F.lit(SPAN))
+        else:
+            keyed = keyed.select("*", F.posexplode(F.array(*ends)).alias("_s", "outer")).withColumn("span", F.get(F.array(*[F.lit(n) for n in spans]), "_s")).drop("_s")
+        keyed = keyed.join(F.broadcast(outer), "outer", "left_semi")
+    else:
+        keyed = keyed.withColumn("span", F.explode(F.array(*[F.lit(n) for n in spans])))
+    keys = [F.when(F.col("span") == (SPAN if k < len(MASKS) else len(p)), seed(F.col("h"), F.col("p"), k, p)) for k, p in enumerate(patterns(lengths))]
+    keyed = keyed.select("doc_id", "row_key", "h", "p", F.explode(F.array(*keys)).alias("key"))
     diagonal = (F.col("p") - F.col("q")).alias("diagonal")
     part = laid(F.col("h"), F.col("p") - F.col("q"), F.size("item_h")).alias("part")
-    if small(seeds, seed_rows):
+    if broadcast:
         hits = keyed.join(F.broadcast(seeds), "key").filter(first_of_run(lengths)).select("doc_id", "row_key", "item_id", "item_h", diagonal, part)
     else:
         narrow = keyed.drop("h").join(seeds.drop("item_h"), "key").select("doc_id", "row_key", "item_id", diagonal).distinct()
