@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    pass
+    from textloom.plans import search_suite  # noqa: F401
