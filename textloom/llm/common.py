@@ -59,9 +59,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(int(a), int(b - a))
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The texts, null as empty, as an array whose first offset is 0: pyarrow's ascii_lower relies on that."""
-    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+def compact(texts: pa.Array) -> pa.Array:
+    """The same large strings (no nulls) with a first offset of 0: pyarrow's ascii_lower relies on that."""
     if not len(texts):
         return texts
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -70,6 +69,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])))
 
 
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """The texts, null as empty."""
+    return compact(pc.fill_null(batch.column(column).cast(pa.large_string()), ""))
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words of each text: bounds (n + 1), the distinct words, and the code of each word."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))

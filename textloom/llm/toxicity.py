@@ -16,6 +16,7 @@ category has the share of its positive rows, or 0, as its probability, and is ne
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_of, gather, slices, table, texts_of, words_of
+from textloom.llm.common import compact, doc_of, gather, slices, table, texts_of, words_of
 
 TRAIN_ROWS, FEATURES, LEAST_DOCS, FOLDS, ROUNDS, L2 = 6_000, 6_000, 6, 3, 200, 1e-3
 #: Lengths of word beginnings, and letters of a word that count.
 PREFIXES, WORD = (3, 4, 5, 6, 7), 40
+#: Features are told apart by a hash of so many values; training texts are read in runs of so many rows.
+HASHED, RUN_ROWS = 1 << 21, 256
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -39,11 +42,11 @@ def categories() -> dict[str, Column]:
     return {"low_quality": quality == 0, "toxic": toxic == 1, "severe": (toxic == 1) & (quality == 0)}
 
 
-def features_of(word: str) -> tuple[str, ...]:
+def features_of(word: str) -> tuple[int, ...]:
     word = word.strip(STRIP).lower()[:WORD]
     if not word:
         return ()
-    return (word, *[word[:k] + "*" for k in PREFIXES if len(word) >= k])
+    return tuple({zlib.crc32(x.encode()) % HASHED for x in (word, *[word[:k] + "*" for k in PREFIXES if len(word) >= k])})
 
 
 @dataclass
@@ -68,19 +71,20 @@ class Rows:
         return Rows(bounds, self.index[at], self.value[at])
 
 
-def sparse(texts: pa.Array, known: dict[str, int] | None, cache: dict[str, tuple[int, ...]]) -> tuple[Rows, dict[str, int]]:
-    """Feature rows of texts; with known=None every feature found gets a number."""
+def sparse(texts: pa.Array, known: dict[int, int] | None, cache: dict[str, tuple[int, ...]]) -> Rows:
+    """Feature rows of texts; `known` numbers the features that count, None lets every hash count."""
     bounds, distinct, codes = words_of(texts)
-    names: dict[str, int] = {} if known is None else known
     ids: list[tuple[int, ...]] = []
     for w in distinct.to_pylist():
         found = cache.get(w)
         if found is None:
-            found = tuple(names.setdefault(f, len(names)) for f in features_of(w)) if known is None else tuple(names[f] for f in features_of(w) if f in names)
+            found = features_of(w)
+            if known is not None:
+                found = tuple(known[f] for f in found if f in known)
             if len(w) <= WORD:
                 cache[w] = found
         ids.append(found)
-    width = len(names) or 1
+    width = HASHED if known is None else max(1, len(known))
     flat = np.fromiter((f for x in ids for f in x), np.int64)
     runs = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
     doc = doc_of(bounds)
@@ -91,7 +95,7 @@ def sparse(texts: pa.Array, known: dict[str, int] | None, cache: dict[str, tuple
     key, count = np.unique(key, return_counts=True)
     row = key // width
     value = np.log1p(count) / np.sqrt(np.maximum(1, distinct_words))[row]
-    return Rows(np.searchsorted(row, np.arange(len(texts) + 1)), key % width, value), names
+    return Rows(np.searchsorted(row, np.arange(len(texts) + 1)), key % width, value)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -150,7 +154,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 @dataclass
 class Chain:
     names: list[str]
-    features: dict[str, int]
+    features: dict[int, int]
     models: list[Linear] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
 
@@ -161,35 +165,36 @@ class Chain:
         return before
 
     def predict_texts(self, texts: pa.Array, cache: dict[str, tuple[int, ...]]) -> np.ndarray:
-        return self.predict(sparse(texts, self.features, cache)[0])
+        return self.predict(sparse(texts, self.features, cache))
 
 
 def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
     """Chooses the features, then fits the categories in order; labels: 0 or 1 by category."""
     n = len(texts)
-    cache: dict[str, tuple[int, ...]] = {}
-    rows, names = sparse(texts, None, cache)
-    width = len(names)
-    there = Rows(rows.bounds, rows.index, np.ones(len(rows.index)))
-    docs = there.back(np.ones(n), width)
-    worth = np.zeros(width)
-    for y in labels.values():
+    runs = [(k, texts.slice(k, RUN_ROWS)) for k in range(0, n, RUN_ROWS)]
+    docs, inside = np.zeros(HASHED), {k: np.zeros(HASHED) for k in labels}
+    for first, part in runs:
+        rows = sparse(compact(part), None, {})
+        there = Rows(rows.bounds, rows.index, np.ones(len(rows.index)))
+        docs += there.back(np.ones(len(part)), HASHED)
+        for name, y in labels.items():
+            inside[name] += there.back(y[first : first + len(part)].astype(float), HASHED)
+    worth = np.zeros(HASHED)
+    for name, y in labels.items():
         pos = int(y.sum())
         if 0 < pos < n:
-            inside = there.back(y.astype(float), width)
             share = docs / n
             spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / pos + 1 / (n - pos)))
-            worth = np.maximum(worth, np.abs(inside / pos - (docs - inside) / (n - pos)) / spread)
+            worth = np.maximum(worth, np.abs(inside[name] / pos - (docs - inside[name]) / (n - pos)) / spread)
     worth[docs < LEAST_DOCS] = 0
     best = np.argsort(-worth, kind="stable")[:FEATURES]
     best = best[worth[best] > 0]
-    number = np.full(width, -1)
-    number[best] = np.arange(len(best))
-    back = {i: f for f, i in names.items()}
-    chain = Chain(list(labels), {back[i]: k for k, i in enumerate(best.tolist())})
-    stays = number[rows.index] >= 0
-    bounds = np.r_[0, np.cumsum(stays)][rows.bounds]
-    rows = Rows(bounds, number[rows.index][stays], rows.value[stays])
+    chain = Chain(list(labels), {f: k for k, f in enumerate(best.tolist())})
+    cache: dict[str, tuple[int, ...]] = {}
+    parts = [sparse(compact(part), chain.features, cache) for _, part in runs]
+    starts = np.r_[0, np.cumsum([len(p.index) for p in parts], dtype=np.int64)]
+    bounds = np.concatenate([np.zeros(1, np.int64), *[p.bounds[1:] + a for p, a in zip(parts, starts, strict=False)]])
+    rows = Rows(bounds, np.concatenate([np.zeros(0, np.int64), *[p.index for p in parts]]), np.concatenate([np.zeros(0), *[p.value for p in parts]]))
     width = max(1, len(best))
     fold = np.arange(n) % folds
     before = np.zeros((n, 0))
