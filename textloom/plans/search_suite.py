@@ -132,7 +132,7 @@ def category_match(spark, sf):
     return score(S.category_match(q7(spark, sf).withColumn("text", F.lit("About label 3")), cat, 0.05, 5), digits=4)
 
 
-@query("adaptive_weights", "SELECT doc_id, CASE WHEN regexp_matches(t, 'episode\\s*\\d+') THEN 0.25 WHEN w > 8 OR contains(t, '?') THEN 0.1 ELSE 0.15 END AS keyword, CASE WHEN regexp_matches(t, 'episode\\s*\\d+') THEN 0.15 WHEN w > 8 OR contains(t, '?') THEN 0.3 ELSE 0.25 END AS semantic FROM (SELECT doc_id, lower(text) AS t, len(string_split_regex(regexp_replace(lower(text), '^ +| +$', '', 'g'), '\\s+')) AS w FROM documents)")
+@query("adaptive_weights", "SELECT doc_id, (CASE WHEN regexp_matches(t, 'episode\\s*\\d+') THEN 0.25 WHEN w > 8 OR contains(t, '?') THEN 0.1 ELSE 0.15 END)::DOUBLE AS keyword, (CASE WHEN regexp_matches(t, 'episode\\s*\\d+') THEN 0.15 WHEN w > 8 OR contains(t, '?') THEN 0.3 ELSE 0.25 END)::DOUBLE AS semantic FROM (SELECT doc_id, lower(text) AS t, len(string_split_regex(regexp_replace(lower(text), '^ +| +$', '', 'g'), '\\s+')) AS w FROM documents)")
 def adaptive_weights(spark, sf):
     w = S.adaptive_weights(S.analyze_query(F.col("text"), ["carbon sequestration"]))
     return table(spark, sf, "documents").select("doc_id", w["keyword"].alias("keyword"), w["semantic"].alias("semantic"))

@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from textloom.plans import search_suite  # noqa: F401
+    from textloom.plans import search_suite, sql_suite  # noqa: F401
