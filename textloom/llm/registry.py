@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontamination, exact_dedup, ngram_join, secrets, sharding, toxicity
+from textloom.llm import bpe, decontamination, exact_dedup, katz, ngram_join, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
+    "op10_katz": katz.op10_katz,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
