@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontamination, exact_dedup, katz, ngram_join, secrets, sharding, toxicity
+from textloom.llm import bpe, decontamination, exact_dedup, katz, ngram_join, secrets, sharding, surrogates, toxicity
 
 QUERIES = {
+    "op1_surrogates": surrogates.op1_surrogates,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_sharding": sharding.op3_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
