@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontamination, exact_dedup, katz, ngram_join, secrets, sharding, surrogates, toxicity
+from textloom.llm import bpe, decontamination, exact_dedup, katz, ngram_join, secrets, sharding, suffix_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_surrogates": surrogates.op1_surrogates,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_sharding": sharding.op3_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_secrets": secrets.op8_secrets,
