@@ -11,8 +11,8 @@ shingle, one without words none. Two sets link when 100 * |x & y| >= PERCENT * |
    possible overlap (common bits, plus tokens that share a bit) is below the least that their sizes need, and those whose
    members are in one component already. Pairs of classes that survive are compared exactly.
 4. A first round searches the least and greatest bucket of each class only and joins most near copies into components.
-   Then every bucket that holds several components is searched for pairs across components, first with at most a few
-   partners for a class and a component, then, in what is still open, for all of them. This last search leaves none out.
+   Then every bucket that holds several components is searched for pairs across components, with at most a few partners
+   for a class and a component; buckets in which that left pairs out are then searched for all of them.
 
 Bounds: buckets are searched in blocks (first round) or as pairs of blocks (then), so no task holds an unbounded bucket.
 Only ids, hashes and bitmaps travel, and the sets of classes that a bitmap lets through.
@@ -247,6 +247,55 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size:
         yield key, pa.Table.from_batches(held)
 
 
+def together(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of sorted rows (cut like those of grouped()), many small ones at once: a table and where groups start (n + 1)."""
+    held, starts, n = [], [0], 0
+    for _, group in grouped(batches, keys, rows, size):
+        if held and n + group.num_rows > 16_384:
+            yield pa.concat_tables(held), np.array(starts)
+            held, starts, n = [], [0], 0
+        held.append(group)
+        n += group.num_rows
+        starts.append(n)
+    if held:
+        yield pa.concat_tables(held), np.array(starts)
+
+
+def pairs_of_small(size: np.ndarray, bits: list[bytes], starts: np.ndarray, percent: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may link within groups of at most FAN members: each is one node, so its members are compared at once."""
+    count = np.diff(starts)
+    which = np.repeat(np.where(count <= FAN, np.arange(len(count)), -1), count)
+    found = [np.flatnonzero((which[d:] == which[:-d]) & (which[d:] >= 0)) for d in range(1, FAN)]
+    i = np.concatenate(found)
+    j = np.concatenate([f + d for d, f in enumerate(found, 1)])
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    ok = 100 * low >= percent * high
+    if group is not None:
+        ok &= group[i] != group[j]
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return i, j
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    stays = np.zeros(len(i), bool)
+    flat, place = {}, np.zeros(len(bits), np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        flat[w] = np.frombuffer(b"".join([bits[k] for k in at.tolist()]), np.uint64).reshape(len(at), w // 8)
+    for a, b in {*zip(width[i].tolist(), width[j].tolist(), strict=True)}:
+        at = np.flatnonzero((width[i] == a) & (width[j] == b))
+        x, y = flat[a][place[i[at]]], flat[b][place[j[at]]]
+        while x.shape[1] > y.shape[1]:
+            x = fold(x)
+        while y.shape[1] > x.shape[1]:
+            y = fold(y)
+        n, m = size[i[at]], size[j[at]]
+        slack = np.minimum(n - np.bitwise_count(x).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+        most = np.minimum(np.minimum(n, m), np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + slack)
+        stays[at] = most >= -(-percent * (n + m) // (100 + percent))
+    return i[stays], j[stays]
+
+
 def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     column = column.combine_chunks()
     values, at = column.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
@@ -313,11 +362,15 @@ def first_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, text_col:
     """Verified links (u, v) of classes within blocks of their least and greatest buckets."""
 
     def hopeful(batches):
-        for _, rows in grouped(batches, ["key"], near, NEAR_BYTES):
+        for rows, starts in together(batches, ["key"], near, NEAR_BYTES):
             mark = np.zeros(rows.num_rows, bool)
-            if rows.num_rows > 1:
-                for i, j in candidates(rows["n"].to_numpy(), rows["bits"].to_pylist(), percent):
-                    mark[i] = mark[j] = True
+            size, bits = rows["n"].to_numpy(), rows["bits"].to_pylist()
+            i, j = pairs_of_small(size, bits, starts, percent)
+            mark[i] = mark[j] = True
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if b - a > FAN:
+                    for i, j in candidates(size[a:b], bits[a:b], percent):
+                        mark[a + i] = mark[a + j] = True
             yield from rows.select(["key", "class"]).filter(pa.array(mark)).to_batches()
 
     def links_of(batches):
@@ -335,8 +388,9 @@ def first_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, text_col:
     return keep(rows.mapInArrow(links_of, "u long, v long"), "near")
 
 
-def next_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, roots: DataFrame, text_col: str, k: int, percent: int, block: int, tries: int | None) -> DataFrame:
-    """Verified links across components: with tries=None of all pairs, else of a few for each class and component."""
+def next_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, roots: DataFrame, text_col: str, k: int, percent: int, block: int, tries: int | None) -> tuple[DataFrame, DataFrame]:
+    """Verified links across components: with tries=None of all pairs, else of a few for each class and component of a
+    bucket. Also the buckets in which pairs were left out."""
     held = keep(shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "held")
     open_keys = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b")
     open_keys = open_keys.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
@@ -348,39 +402,56 @@ def next_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, roots: Data
     rows = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "class")
 
     def across(batches):
-        for (_, x, y), group in grouped(batches, ["key", "x", "y"], 2 * block + 1, 1 << 40):
-            size, root, kinds = group["n"].to_numpy(), group["root"].to_numpy(), group["class"].to_numpy()
-            side = None if x == y else (group["own"].to_numpy() == y).astype(np.int64)
-            if len(size) < 2 or root.min() == root.max():
-                continue
-            done: dict[tuple[int, int], int] = {}
-            for i, j in candidates(size, group["bits"].to_pylist(), percent, root, side):
-                apart = root[i] != root[j]
-                i, j = i[apart], j[apart]
-                if tries is not None and len(i):
-                    stays = np.zeros(len(i), bool)
-                    for p, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                        for one, two in (((a, int(root[b])), (b, int(root[a]))),):
+        def out(u, v, key=None):
+            low, high = (u, u) if key is not None else (np.minimum(u, v), np.maximum(u, v))
+            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(key if key is not None else [None] * len(low), pa.int64())], names=["u", "v", "key"])
+
+        for rows_, starts in together(batches, ["key", "x", "y"], 2 * block + 1, 1 << 40):
+            sizes, roots_, kinds_, bits_ = rows_["n"].to_numpy(), rows_["root"].to_numpy(), rows_["class"].to_numpy(), rows_["bits"].to_pylist()
+            # Of groups with two sides the rows of one side alone meet in another group; small groups have one side.
+            i, j = pairs_of_small(sizes, bits_, starts, percent, roots_)
+            if len(i):
+                yield out(kinds_[i], kinds_[j])
+            keys, xs, ys, owns = (rows_[c].to_numpy() for c in ("key", "x", "y", "own"))
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                size, root, kinds = sizes[a:b], roots_[a:b], kinds_[a:b]
+                if b - a <= FAN or root.min() == root.max():
+                    continue
+                side = None if xs[a] == ys[a] else (owns[a:b] == ys[a]).astype(np.int64)
+                done: dict[tuple[int, int], int] = {}
+                left_out = False
+                for i, j in candidates(size, bits_[a:b], percent, root, side):
+                    apart = root[i] != root[j]
+                    i, j = i[apart], j[apart]
+                    if tries is not None and len(i):
+                        stays = np.zeros(len(i), bool)
+                        for p, (c, d) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                            one, two = (c, int(root[d])), (d, int(root[c]))
                             if done.get(one, 0) < tries or done.get(two, 0) < tries:
                                 done[one] = done.get(one, 0) + 1
                                 done[two] = done.get(two, 0) + 1
                                 stays[p] = True
-                    i, j = i[stays], j[stays]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(kinds[i], kinds[j])), pa.array(np.maximum(kinds[i], kinds[j]))], names=["u", "v"])
+                        left_out |= not stays.all()
+                        i, j = i[stays], j[stays]
+                    if len(i):
+                        yield out(kinds[i], kinds[j])
+                if left_out:  # this bucket is searched again
+                    yield out(kinds[:1], None, keys[a : a + 1])
 
     def check(batches):
         for batch in batches:
             ok = [linked(a, b, percent) for a, b in zip(lists(pa.chunked_array([batch.column("tu")])), lists(pa.chunked_array([batch.column("tv")])), strict=True)] if batch.num_rows else []
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = keep(rows.mapInArrow(across, "u long, v long").distinct(), "pairs")
+    found = keep(rows.mapInArrow(across, "u long, v long, key long").distinct(), "pairs")
+    again = found.filter("key IS NOT NULL").select("key").distinct()
+    pairs = found.filter("key IS NULL").select("u", "v")
     if pairs.isEmpty():
-        return pairs
+        return pairs, again
     wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "met")
     tokens = fetched(docs, wanted, text_col, k).select("class", "tokens")
     checked = pairs.join(tokens.withColumnsRenamed({"class": "u", "tokens": "tu"}), "u").join(tokens.withColumnsRenamed({"class": "v", "tokens": "tv"}), "v")
-    return keep(checked.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "more")
+    return keep(checked.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "more"), again
 
 
 def links(docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int, near: int = NEAR, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
@@ -392,9 +463,12 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: i
     signs = keep(signs.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
     roots = components(first_round(docs, shared, signs, text_col, k, percent, near))
     for most in (tries, None):
-        more = next_round(docs, shared, signs, roots, text_col, k, percent, block, most)
+        more, again = next_round(docs, shared, signs, roots, text_col, k, percent, block, most)
         if not more.isEmpty():
             roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        if again.isEmpty():
+            break
+        shared = shared.join(again, "key", "left_semi")
     return roots
 
 
