@@ -143,8 +143,8 @@ def bigrams_of(codes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, train: np
 
 
 def ordered(history: np.ndarray, word: np.ndarray, ids: np.ndarray, buckets: int):
-    """Pairs by bucket of their history, history and word hash."""
-    h, w = np.r_[START, ids][history], ids[word]
+    """Pairs by bucket of their history, history and 48 bits of the word hash: enough to tell the words after one history apart."""
+    h, w = np.r_[START, ids][history], ids[word] >> np.uint64(16)
     bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((w, h, bucket))
     met, first = np.unique(bucket[order], return_index=True)
