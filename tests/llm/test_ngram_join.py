@@ -105,3 +105,13 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(200, 260)] + [(7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert all(found[i] == 100 for i in range(101, 141)) and all(found[i] == 5 for i in range(200, 260)) and 7 not in found
+
+
+def test_pairs_of_blocks_are_searched_whole(spark):
+    # Pairs {hot, own, p, q}: the prefixes (two least hashes) of the two sets share the hot word's hash alone.
+    words = sorted((f"w{i}" for i in range(3000)), key=lambda w: int(nj.shingle_sets(nj.pa.array([w], nj.pa.large_string()), 1)[0][0]))
+    hot, own, rest = words[0], words[1:1001], words[1001:]
+    rows = [(2 * k + side, " ".join([hot, own[2 * k + side], rest[2 * k], rest[2 * k + 1]])) for k in range(500) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = nj.join(docs, 1, 60, near=2, block=50, tries=1)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {d: d - d % 2 for d, _ in rows}

@@ -15,6 +15,7 @@ shingle, one without words none. Two sets link when 100 * |x & y| >= PERCENT * |
    for a class and a component; buckets in which that left pairs out are then searched for all of them.
 
 Bounds: buckets are searched in blocks (first round) or as pairs of blocks (then), so no task holds an unbounded bucket.
+Blocks are filled by hash: a pair of them holds 2 * BLOCK rows give or take some hundreds, and is never cut.
 Only ids, hashes and bitmaps travel, and the sets of classes that a bitmap lets through.
 
 Defined results: null and empty texts have no shingle and link with nothing, not even each other; a null id never names
@@ -406,7 +407,8 @@ def next_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, roots: Data
             low, high = (u, u) if key is not None else (np.minimum(u, v), np.maximum(u, v))
             return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(key if key is not None else [None] * len(low), pa.int64())], names=["u", "v", "key"])
 
-        for rows_, starts in together(batches, ["key", "x", "y"], 2 * block + 1, 1 << 40):
+        # Groups are whole: blocks are filled by hash, so a pair of them may hold some rows more than 2 * block.
+        for rows_, starts in together(batches, ["key", "x", "y"], 1 << 60, 1 << 60):
             sizes, roots_, kinds_, bits_ = rows_["n"].to_numpy(), rows_["root"].to_numpy(), rows_["class"].to_numpy(), rows_["bits"].to_pylist()
             # Of groups with two sides the rows of one side alone meet in another group; small groups have one side.
             i, j = pairs_of_small(sizes, bits_, starts, percent, roots_)
