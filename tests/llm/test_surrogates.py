@@ -61,3 +61,18 @@ def test_distinct_entities_stay_distinct(spark):
     assert all(len(v) == 1 for v in kinds.values()) and len(set(new.values())) == len(kinds)
     assert not old & set(new.values())
     assert run(spark, texts[:50], key="other").select("text").first()[0] != new[0]
+
+
+def test_whole_names_and_spaced_numbers_are_replaced(spark):
+    numbers = ["+33 1 23 45 67 89", "+49 30 12 34 56", "+45 12 34 56 78", "+33-6-12-34-56-78"]
+    names = ["Mr McDonald", "Mr. Juan Carlos Lopez", "Mrs O'Brien", "Ms D’Arcy-Jones", "Mr J. R. Smith", "Mr. J.R. Smith", "Herr Otto von der Heide", "Mr van Dyke", "Mr Jean-Paul Petit Dupont"]
+    texts = [(k, f"so {x}, then") for k, x in enumerate([*numbers, *names])] + [(99, "from Mr Smith Mrs Jones Miss Ann Lee")]
+    out = {r.doc_id: r for r in run(spark, texts).collect()}
+    for k, x in enumerate([*numbers, *names]):
+        t = out[k].text
+        assert out[k].n_entities == 1 and t.startswith("so ") and t.endswith(", then") and x not in t
+        assert not set(re.findall(r"[^\W\d_]{2,}", x.partition(" ")[2])) & set(re.findall(r"[^\W\d_]+", t))
+        assert k >= len(numbers) or re.sub(r"\d", "0", t[3:-6]) == re.sub(r"\d", "0", x)
+    assert out[99].n_entities == 3 and re.fullmatch(r"from Mr [A-Z]\w+ Mrs [A-Z]\w+ Miss [A-Z]\w+ [A-Z]\w+", out[99].text)
+    every = spark.createDataFrame([(t,) for _, t in TEXTS + texts], "text string")
+    assert every.filter(every.text.rlike(surrogates.MASTER) & ~every.text.rlike(surrogates.HINT)).count() == 0

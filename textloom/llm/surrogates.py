@@ -37,6 +37,10 @@ SYLLABLES = {
     "latin": ("bar", "ber", "cor", "dal", "der", "fan", "gar", "hal", "jor", "kel", "lan", "mer", "nor", "pel", "ros", "tam"),
     "cyrillic": ("бар", "бер", "вол", "гор", "дан", "жар", "зим", "кор", "лан", "мир", "нов", "пет", "рос", "сав", "тар", "юр"),
 }
+TITLES = "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True))
+#: A name has any number of initials, particles and capitalised words, up to the next title; the last word ends it.
+PARTICLES = "(?:(?:" + "|".join(("al", "bin", "da", "das", "de", "degli", "dei", "del", "della", "den", "der", "des", "di", "do", "dos", "du", "el", "la", "las", "le", "los", "ten", "ter", "van", "von", "y", "zu", "zum", "zur")) + ") )*"
+WORD = r"(?:\p{Lu}\. ?)*\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
 #: Kinds and their patterns, in the order in which they are tried.
 NUMBER_START, NUMBER_END = r"(?<![0-9A-Za-z.])", r"(?![0-9A-Za-z])"
 PATTERNS = {
@@ -45,11 +49,11 @@ PATTERNS = {
     "ssn": NUMBER_START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + NUMBER_END,
     "card": NUMBER_START + r"(?:[0-9]{4}[ -]?){3}[0-9]{1,7}" + NUMBER_END,
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|" + NUMBER_START + r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})" + NUMBER_END,
-    "name": r"(?<!\p{L})(?:" + "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
+    "name": r"(?<!\p{L})(?:" + TITLES + r")\.? " + PARTICLES + WORD + "(?: " + PARTICLES + "(?!(?:" + TITLES + r")(?!\p{L}))" + WORD + ")*",
 }
 MASTER = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text that matches none of these cannot hold an entity; it is tried first because it is cheap.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|(?:" + "|".join((*MALE, *FEMALE)) + r")\.? \p{Lu}"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|(?:" + TITLES + r")\.? \p{L}"
 ATTEMPTS = 60
 
 
@@ -66,9 +70,20 @@ def bare(name: Column) -> Column:
     return F.regexp_replace(name, r"^\S+ ", "")
 
 
+def family_of(name: Column) -> Column:
+    """The last word of a titled name, with the particles before it."""
+    return F.regexp_extract(bare(name), "((?:(?<![^ ])" + PARTICLES + ")?[^ .]+)$", 1)
+
+
 def canonical(kind: Column, value: Column) -> Column:
     """What mentions of one entity share."""
-    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", F.lower(F.regexp_extract(value, r"(\p{L}+)$", 1))).otherwise(F.regexp_replace(value, r"[^0-9]", ""))
+    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", F.lower(family_of(value))).otherwise(F.regexp_replace(value, r"[^0-9]", ""))
+
+
+def given_of(name: Column) -> Column:
+    """What stands between the title and the family name, lower-cased and without dots; empty if there is nothing."""
+    rest = F.substr(bare(name), F.lit(1), F.length(bare(name)) - F.length(family_of(name)))
+    return F.lower(F.trim(F.regexp_replace(rest, r"[. ]+", " ")))
 
 
 def script(value: Column) -> Column:
@@ -156,8 +171,8 @@ def rendered(kind: Column, value: Column, surrogate: Column, key: str) -> Column
     number = F.concat(country, F.array_join(F.transform(F.split(rest, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(surrogate, head + 1 + F.aggregate(F.slice(marks, 1, i), F.lit(0), lambda a, b: a + b), F.lit(1))).otherwise(c)), ""))
     title = F.regexp_extract(value, r"^(\S+ )", 1)
     female = F.regexp_replace(F.trim(title), r"\.$", "").isin(*FEMALE)
-    given = F.regexp_extract(bare(value), r"^(\p{L}+)[ -]\p{L}", 1)
-    hex_ = digest(key, F.lit("given"), F.lower(given))
+    given = given_of(value)
+    hex_ = digest(key, F.lit("given"), given)
     cyrillic = script(value) == "cyrillic"
     first = F.when(female & cyrillic, pick(GIVEN["f", "cyrillic"], hex_, 1)).when(female, pick(GIVEN["f", "latin"], hex_, 1)).when(cyrillic, pick(GIVEN["m", "cyrillic"], hex_, 1)).otherwise(pick(GIVEN["m", "latin"], hex_, 1))
     name = F.concat(title, F.when(given != "", F.concat(first, F.lit(" "))).otherwise(F.lit("")), F.initcap(surrogate))
