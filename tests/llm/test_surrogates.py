@@ -76,3 +76,17 @@ def test_whole_names_and_spaced_numbers_are_replaced(spark):
     assert out[99].n_entities == 3 and re.fullmatch(r"from Mr [A-Z]\w+ Mrs [A-Z]\w+ Miss [A-Z]\w+ [A-Z]\w+", out[99].text)
     every = spark.createDataFrame([(t,) for _, t in TEXTS + texts], "text string")
     assert every.filter(every.text.rlike(surrogates.MASTER) & ~every.text.rlike(surrogates.HINT)).count() == 0
+
+
+def test_written_forms_stay_distinct(spark):
+    given = ["".join(chr(97 + (k * p) % 26) for p in (1, 3, 5)).capitalize() + "abcdefghij"[k % 10] for k in range(60)]
+    names = [*(f"Mr {g} Smith" for g in given), *(f"Mrs {g} Smith" for g in given[:20]), "Mr Smith"]
+    numbers = [f"+45 {10 + k // 90} {10 + k % 90}" + " 11" for k in range(2000)]
+    texts = [(k, x) for k, x in enumerate([*names, *numbers])]
+    new = {r.doc_id: r.text for r in run(spark, texts).collect()}
+    assert len(set(new.values())) == len(set(names + numbers)) and not set(new.values()) & set(names + numbers)
+    assert len({new[k].split(" ")[-1] for k in range(len(names))}) == 1
+    assert all(new[k].startswith("+45 ") for k in range(len(names), len(texts)))
+    same = run(spark, [(1, "+33 1 23 45 67 89"), (2, "+33123456789"), (3, "Mr J. Smith"), (4, "Mr. J Smith")])
+    t = {r.doc_id: re.sub(r"\W", "", r.text) for r in same.collect()}
+    assert t[1] == t[2] and t[3] == t[4]

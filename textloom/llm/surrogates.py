@@ -1,13 +1,13 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 E-mail addresses, IPv4 addresses, social security, card and phone numbers and titled names are detected by one pattern.
-An entity is a kind with a canonical form (digits of a number, lower-cased address, family name); every mention of it,
-in any format, gets the same surrogate, drawn from a keyed SHA-256 of the entity:
+An entity is a kind with a canonical form (digits of a number and its plus, lower-cased address, family name, and given
+names with gender within a family); every mention of it, in any format, gets the same surrogate, drawn from a keyed SHA-256 of the entity:
 digits take the place of digits and all other signs of a number stay, with its country code; addresses keep the shape of
 their local part and get a reserved domain; names keep their title and get a given name of its gender and a family name
 in the same script (Latin or Cyrillic).
 
-Collision checks: a surrogate that equals another one or any original of its kind is drawn again, with the next attempt
+Collision checks: a surrogate, in the form in which it is written, that equals another one or any original of its kind is drawn again, with the next attempt
 number, until all are distinct; so distinct entities stay distinct and nothing maps onto an original.
 
 Scale: texts without an entity pass through where they are read. Entities are aggregated before they are joined, so a
@@ -77,7 +77,19 @@ def family_of(name: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     """What mentions of one entity share."""
-    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", F.lower(family_of(value))).otherwise(F.regexp_replace(value, r"[^0-9]", ""))
+    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", F.lower(family_of(value))).otherwise(F.regexp_replace(value, r"(?!^\+)[^0-9]", ""))
+
+
+def country_length(value: Column) -> Column:
+    """Signs of a canonical number that its surrogate keeps: the plus and the country code, where a sign ends it."""
+    parted = F.length(F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))", 1))
+    return F.when(parted > 0, parted).otherwise(F.startswith(value, F.lit("+")).cast("int"))
+
+
+def full_name(value: Column) -> Column:
+    """Family name, gender and given names of a titled name, as one entity; null if it has no given name."""
+    title = F.regexp_replace(F.substring_index(value, " ", 1), r"\.$", "")
+    return F.when(given_of(value) != "", F.concat_ws("\x1f", F.lower(family_of(value)), F.when(title.isin(*FEMALE), "f").otherwise("m"), given_of(value)))
 
 
 def given_of(name: Column) -> Column:
@@ -127,7 +139,19 @@ def shaped(value: Column, hex_: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def drawn(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+def given_name(hex_: Column, canon: Column, attempt: Column) -> Column:
+    """A given name of the entity's gender and script; after some attempts a double one, then one with syllables."""
+    female, cyrillic = F.substring_index(F.substring_index(canon, "\x1f", 2), "\x1f", -1) == "f", script(canon) == "cyrillic"
+
+    def one(at):
+        f = F.when(cyrillic, pick(GIVEN["f", "cyrillic"], hex_, at)).otherwise(pick(GIVEN["f", "latin"], hex_, at))
+        return F.when(female, f).when(cyrillic, pick(GIVEN["m", "cyrillic"], hex_, at)).otherwise(pick(GIVEN["m", "latin"], hex_, at))
+
+    more = F.initcap(F.when(cyrillic, family(F.substring(hex_, 9, 32), "cyrillic", attempt)).otherwise(family(F.substring(hex_, 9, 32), "latin", attempt)))
+    return F.when(attempt > 6, F.concat(one(1), F.lit("-"), more)).when(attempt > 3, F.concat(one(1), F.lit("-"), one(5))).otherwise(one(1))
+
+
+def drawn(key: str, kind: Column, canon: Column, head: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate of an entity, for an attempt."""
     hex_ = digest(key, kind, canon, attempt.cast("string"))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
@@ -137,15 +161,19 @@ def drawn(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     mail = F.concat(F.when(attempt > 20, F.concat(shaped(local, hex_), F.substring(hex_, 1, 6))).otherwise(shaped(local, hex_)), F.lit("@m"), host, F.lit(".example."), F.when(tld.isin("com", "org", "net"), tld).otherwise(F.lit("com")))
     ip = F.concat_ws(".", byte_at(hex_, 0, 1, 223), byte_at(hex_, 1, 0, 256), byte_at(hex_, 2, 0, 256), byte_at(hex_, 3, 1, 254))
     name = F.when(script(canon) == "cyrillic", family(hex_, "cyrillic", attempt)).otherwise(family(hex_, "latin", attempt))
-    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "name", name).otherwise(F.substr(digits(hex_), F.lit(1), F.length(canon)))
+    # The family name tells apart draws of several families; it is a surrogate's own, so that only the given name is left.
+    given = F.concat(F.substring_index(canon, "\x1f", 1), F.lit("\x1f"), given_name(hex_, canon, attempt))
+    number = F.concat(F.substr(canon, F.lit(1), head), F.substr(digits(hex_), F.lit(1), F.length(canon) - head))
+    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "name", name).when(kind == "given", given).otherwise(number)
 
 
 def mapping(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """(kind, canon, surrogate) for distinct entities (kind, canon): distinct within a kind, and no original."""
+    """(kind, canon, surrogate) for distinct entities (kind, canon, head): distinct within a kind, and no original. Draws
+    are compared as they are written: numbers with the country code that they keep, given names within a family."""
     todo = keep(entities.withColumn("attempt", F.lit(0)), "entities")
     done = None
     for _ in range(attempts):
-        tries = todo.withColumn("surrogate", drawn(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        tries = todo.withColumn("surrogate", drawn(key, F.col("kind"), F.col("canon"), F.col("head"), F.col("attempt")))
         # Ties go to the first canonical form; the window is as large as draws collide.
         place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon"))
         taken = entities.select("kind", F.col("canon").alias("surrogate"))
@@ -155,28 +183,21 @@ def mapping(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFram
         tries = keep(tries.withColumn("ok", F.col("first") & F.col("taken").isNull()), "draws")
         good = tries.filter("ok").select("kind", "canon", "surrogate")
         done = good if done is None else done.unionByName(good)
-        todo = tries.filter("NOT ok").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        todo = tries.filter("NOT ok").select("kind", "canon", "head", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
             return done
     raise ValueError("surrogates still collide; a number may have fewer forms than the corpus has originals of its length")
 
 
-def rendered(kind: Column, value: Column, surrogate: Column, key: str) -> Column:
+def rendered(kind: Column, value: Column, surrogate: Column, given: Column) -> Column:
     """A mention in its own format with the surrogate's digits or names."""
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))", 1)
-    head = F.length(F.regexp_replace(country, r"[^0-9]", ""))
-    rest = F.substr(value, F.length(country) + 1)
     # The n-th digit of the mention takes the n-th digit of the surrogate.
-    marks = F.transform(F.split(rest, ""), lambda c: c.rlike("[0-9]").cast("int"))
-    number = F.concat(country, F.array_join(F.transform(F.split(rest, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(surrogate, head + 1 + F.aggregate(F.slice(marks, 1, i), F.lit(0), lambda a, b: a + b), F.lit(1))).otherwise(c)), ""))
+    plain = F.regexp_replace(surrogate, r"[^0-9]", "")
+    marks = F.transform(F.split(value, ""), lambda c: c.rlike("[0-9]").cast("int"))
+    number = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(plain, F.lit(1) + F.aggregate(F.slice(marks, 1, i), F.lit(0), lambda a, b: a + b), F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(value, r"^(\S+ )", 1)
-    female = F.regexp_replace(F.trim(title), r"\.$", "").isin(*FEMALE)
-    given = given_of(value)
-    hex_ = digest(key, F.lit("given"), given)
-    cyrillic = script(value) == "cyrillic"
-    first = F.when(female & cyrillic, pick(GIVEN["f", "cyrillic"], hex_, 1)).when(female, pick(GIVEN["f", "latin"], hex_, 1)).when(cyrillic, pick(GIVEN["m", "cyrillic"], hex_, 1)).otherwise(pick(GIVEN["m", "latin"], hex_, 1))
-    name = F.concat(title, F.when(given != "", F.concat(first, F.lit(" "))).otherwise(F.lit("")), F.initcap(surrogate))
-    return F.when(kind.isin("email", "ip"), surrogate).when(kind == "name", name).otherwise(number)
+    first = F.coalesce(F.concat(F.substring_index(given, "\x1f", -1), F.lit(" ")), F.lit(""))
+    return F.when(kind.isin("email", "ip"), surrogate).when(kind == "name", F.concat(title, first, F.initcap(surrogate))).otherwise(number)
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,9 +207,15 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     found = docs.filter(some).withColumns({i: F.col(id_col), k: row_key(text_col), e: F.regexp_extract_all(F.col(text_col), F.lit(MASTER), F.lit(0))})
     mentions = found.select(F.coalesce(F.col(i), F.lit(0)).alias(i), F.col(i).isNull().alias("z"), k, F.posexplode(e).alias("pos", "value"))
     mentions = mentions.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value")))
+    mentions = mentions.withColumn("full", F.when(F.col("kind") == "name", full_name(F.col("value"))))
     mentions = keep(mentions.distinct(), "mentions")
-    table_ = mapping(mentions.select("kind", "canon").distinct(), key)
-    made = mentions.join(table_, ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("value"), F.col("surrogate"), key))
+    entities = mentions.groupBy("kind", "canon").agg(F.max(F.when(F.col("kind") == "phone", country_length(F.col("value"))).otherwise(0)).alias("head"))
+    entities = entities.unionByName(mentions.filter("full IS NOT NULL").select(F.lit("given").alias("kind"), F.col("full").alias("canon"), F.lit(0).alias("head")).distinct())
+    table_ = mapping(entities, key)
+    givens = table_.filter("kind = 'given'").select(F.col("canon").alias("full"), F.col("surrogate").alias("given"))
+    # Mentions without a given name don't take part in that join: their nulls would meet in one task.
+    given = mentions.filter("full IS NOT NULL").join(givens, "full").unionByName(mentions.filter("full IS NULL").withColumn("given", F.lit(None).cast("string")))
+    made = given.join(table_.filter("kind <> 'given'"), ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("value"), F.col("surrogate"), F.col("given")))
     # A list for each text: as long as the text has entities.
     made = made.groupBy(i, "z", k).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias(m))
     gaps = F.split(F.col(text_col), MASTER, -1)
