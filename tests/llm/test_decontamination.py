@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -78,3 +80,27 @@ def test_stage_drops_rows_and_keeps_columns(spark, cases):
 
 def test_masks_have_one_span_and_weight():
     assert {len(m) for m in dec.MASKS} == {dec.SPAN} and len({m.count("1") for m in dec.MASKS}) == 1
+
+
+def test_no_allowed_changes_hide_an_item():
+    for n in range(1, 24):
+        w, span = min(n, dec.WINDOW), dec.run_length(n)
+        most = w - math.ceil(w * dec.SHARE)
+        for changed in itertools.combinations(range(w), most):
+            cuts = [-1, *changed, w]
+            assert max(b - a - 1 for a, b in itertools.pairwise(cuts)) >= span
+    assert dec.run_length(dec.WINDOW) == dec.SPAN
+
+
+@pytest.mark.parametrize("seed_rows", [dec.SEED_ROWS, 0])
+def test_changed_items_are_found_wherever_the_changes_stand(spark, seed_rows):
+    items, docs = [], []
+    for n, most in ((5, 1), (9, 1), (11, 2), (12, 2), (15, 3), (20, 4)):
+        body = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(body)))
+        for k, changed in enumerate(itertools.combinations(range(n), most)):
+            if k % 7 == 0 or 0 in changed or n - 1 in changed:
+                docs.append((n * 10_000 + k, "before it " + " ".join("zzz" if i in changed else x for i, x in enumerate(body)) + " after it"))
+        docs.append((n * 10_000 + 9999, " ".join("zzz" if i <= most else x for i, x in enumerate(body))))
+    found = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), seed_rows=seed_rows)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, d // 10_000) for d, _ in docs if d % 10_000 != 9999}

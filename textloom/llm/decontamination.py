@@ -1,13 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Words are lower-cased runs of letters and digits. A mask of SPAN places marks the words that a seed hashes; it ignores
-the others, so a seed survives substitutions there. Seeds of the benchmark and of the documents are joined. At the first
+Words are lower-cased runs of letters and digits. A seed hashes a run of words, so short that no allowed changes break all
+such runs: a window of w words with at most c changed ones has a run of (w - c) / (c + 1) unchanged ones, rounded up. This
+is SPAN for the windows of longer items and 2 to 4 for shorter items. Seeds of the benchmark and of the documents are joined. At the first
 hit of a run along a diagonal (document place less benchmark place) the item is laid on the document, and words are
 compared by position: a leak is a window of WINDOW words of the item (the whole item if it is shorter) of which SHARE or
-more stand in the document at their places. Items shorter than SPAN are hashed whole and verified likewise.
-
-All masks hash the first and the last word of their span, so a place whose outer two words are those of no seed is
-passed over before the masks are tried.
+more stand in the document at their places.
 
 The seeds of the benchmark are broadcast if they are at most SEED_ROWS rows, which is counted first; the documents then
 are read once and not shuffled. Beyond that seeds are joined by shuffle, carrying ids and places only, and the words of
@@ -19,14 +17,16 @@ that it holds, with its best window; repeated rows count as one; an item that oc
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import keep, row_key, small, table, without
 
-#: Fixed masks of equal weight and span: 1 marks a word that is hashed.
-MASKS = ("11101100101", "11010011101", "10111001011")
-SPAN = 11
+#: The mask of a seed in a window of WINDOW words: 1 marks a word that is hashed.
+MASKS = ("1111",)
+SPAN = 4
 WINDOW, SHARE = 20, 0.8
 SEED_ROWS = 500_000
 
@@ -41,40 +41,30 @@ def hashed(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def offsets(mask: str) -> list[int]:
-    return [k for k, x in enumerate(mask) if x == "1"]
-
+def run_length(n: int, window: int = WINDOW, share: float = SHARE) -> int:
+    """Words of the longest run that is unchanged in every leak of an item of n words."""
+    w = min(n, window)
+    same = math.ceil(w * share)
+    return max(1, -(-same // (w - same + 1)))
 
-def patterns(lengths: list[int]) -> list[list[int]]:
-    """Places that a seed hashes: the masks, and all words of the lengths below SPAN that items have."""
-    return [offsets(m) for m in MASKS] + [list(range(n)) for n in sorted(lengths) if 0 < n < SPAN]
 
+def seed(h: Column, at: Column, span: int) -> Column:
+    """The key of the `span` words from a place; null if there are fewer."""
+    return F.when(at + span <= F.size(h), F.xxhash64(F.lit(span), *[F.get(h, at + o) for o in range(span)]))
 
-def seed(h: Column, at: Column, k: int, pattern: list[int]) -> Column:
-    span = SPAN if k < len(MASKS) else len(pattern)
-    return F.when(at + span <= F.size(h), F.xxhash64(F.lit(k), *[F.get(h, at + o) for o in pattern]))
 
-
-def seeds_of(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """item_id, the item's word hashes, and its seeds: pattern, place and key."""
+def seeds_of(items: DataFrame, spans: dict[int, list[int]], window: int) -> DataFrame:
+    """item_id, the item's word hashes, and its seeds: place and key; spans: the lengths (up to the window) of each run."""
     rows = items.select("item_id", "item_h", F.posexplode("item_h").alias("q", "_w")).drop("_w")
-    n = F.size("item_h")
-    keys = [
-        F.when((n >= SPAN) if k < len(MASKS) else (n == len(p)), F.struct(F.lit(k).alias("pattern"), seed(F.col("item_h"), F.col("q"), k, p).alias("key")))
-        for k, p in enumerate(patterns(lengths))
-    ]
-    return rows.select("item_id", "item_h", "q", F.explode(F.array_compact(F.array(*keys))).alias("s")).select("item_id", "item_h", "q", "s.pattern", "s.key").filter("key IS NOT NULL")
+    key = F.lit(None).cast("long")
+    for span, lengths in spans.items():
+        key = F.when(F.least(F.size("item_h"), F.lit(window)).isin(lengths), seed(F.col("item_h"), F.col("q"), span)).otherwise(key)
+    return rows.withColumn("key", key).filter("key IS NOT NULL")
 
 
-def first_of_run(lengths: list[int]) -> Column:
-    """Whether the same seed one word to the left, in document and item, differs: only then is the hit verified."""
-    out = F.lit(True)
-    for k, p in enumerate(patterns(lengths)):
-        same = F.lit(True)
-        for o in p:
-            same = same & (F.get("h", F.col("p") - 1 + o) == F.get("item_h", F.col("q") - 1 + o))
-        out = F.when((F.col("pattern") == k) & (F.col("q") > 0) & (F.col("p") > 0), ~same).otherwise(out)
-    return out
+def first_of_run() -> Column:
+    """Whether the words to the left of a hit, in document and item, differ: only then is the hit verified."""
+    return (F.col("q") == 0) | (F.col("p") == 0) | (F.get("h", F.col("p") - 1) != F.get("item_h", F.col("q") - 1))
 
 
 def laid(h: Column, diagonal: Column, n: Column) -> Column:
@@ -95,31 +85,21 @@ def measured(hits: DataFrame, window: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: float = SHARE, seed_rows: int = SEED_ROWS) -> DataFrame:
     """One row per document and item that it holds: doc_id, row_key, item_id, word_start, window and item matches."""
     items = keep(benchmark.select("item_id", hashed(F.col("text")).alias("item_h")).filter(F.size("item_h") > 0).distinct(), "items")
-    # At most SPAN - 1 lengths.
-    lengths = [r[0] for r in items.select(F.size("item_h").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]
-    seeds = keep(seeds_of(items, lengths), "seeds")
+    # At most `window` lengths.
+    lengths = [r[0] for r in items.select(F.least(F.size("item_h"), F.lit(window)).alias("n")).distinct().collect()]
+    spans: dict[int, list[int]] = {}
+    for n in sorted(lengths):
+        spans.setdefault(run_length(n, window, share), []).append(n)
+    seeds = keep(seeds_of(items, spans, window), "seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"), hashed(F.col(text_col)).alias("h"))
     broadcast = small(seeds, seed_rows)
     keyed = rows.select("doc_id", "row_key", "h", F.posexplode_outer("h").alias("p", "_w")).drop("_w")
-    spans = [SPAN, *sorted(lengths)]
-    if broadcast:
-        # No more rows than seeds.
-        span = F.when(F.col("pattern") < len(MASKS), F.lit(SPAN)).otherwise(F.size("item_h"))
-        outer = seeds.select(F.xxhash64(F.get("item_h", "q"), F.get("item_h", F.col("q") + span - 1), span).alias("outer")).distinct()
-        ends = [F.xxhash64(F.get("h", "p"), F.get("h", F.col("p") + n - 1), F.lit(n)) for n in spans]
-        if len(spans) == 1:
-            keyed = keyed.withColumn("outer", ends[0]).withColumn("span", F.lit(SPAN))
-        else:
-            keyed = keyed.select("*", F.posexplode(F.array(*ends)).alias("_s", "outer")).withColumn("span", F.get(F.array(*[F.lit(n) for n in spans]), "_s")).drop("_s")
-        keyed = keyed.join(F.broadcast(outer), "outer", "left_semi")
-    else:
-        keyed = keyed.withColumn("span", F.explode(F.array(*[F.lit(n) for n in spans])))
-    keys = [F.when(F.col("span") == (SPAN if k < len(MASKS) else len(p)), seed(F.col("h"), F.col("p"), k, p)) for k, p in enumerate(patterns(lengths))]
-    keyed = keyed.select("doc_id", "row_key", "h", "p", F.explode(F.array(*keys)).alias("key"))
+    keys = [seed(F.col("h"), F.col("p"), span) for span in spans]
+    keyed = keyed.select("doc_id", "row_key", "h", "p", F.explode(F.array(*keys) if keys else F.array().cast("array<bigint>")).alias("key")).filter("key IS NOT NULL")
     diagonal = (F.col("p") - F.col("q")).alias("diagonal")
     part = laid(F.col("h"), F.col("p") - F.col("q"), F.size("item_h")).alias("part")
     if broadcast:
-        hits = keyed.join(F.broadcast(seeds), "key").filter(first_of_run(lengths)).select("doc_id", "row_key", "item_id", "item_h", diagonal, part)
+        hits = keyed.join(F.broadcast(seeds), "key").filter(first_of_run()).select("doc_id", "row_key", "item_id", "item_h", diagonal, part)
     else:
         narrow = keyed.drop("h").join(seeds.drop("item_h"), "key").select("doc_id", "row_key", "item_id", diagonal).distinct()
         hits = narrow.join(items, "item_id").join(rows.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "h"), F.col("row_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "row_key", "item_id", "item_h", "diagonal", laid(F.col("h"), F.col("diagonal"), F.size("item_h")).alias("part"))
