@@ -39,7 +39,7 @@ SQL: dict[str, tuple[str, str]] = {
     "previews": ("FLT13 RK19", "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS preview, coalesce(lang, 'unknown') AS lang FROM documents"),
     "conflicts": ("FLT18", "SELECT count(*) AS total, CAST(sum(CASE WHEN l_tax >= 0.06 AND l_discount < 0.03 THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM lineitem"),
     "stale_labels": ("FLT19", "SELECT d.source, l.field, l.label, count(*) AS n FROM documents d JOIN (SELECT doc_id, 'quality' AS field, quality AS label FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1, 2, 3"),
-    "population_reversal": ("FLT20", "SELECT a.s_suppkey AS source, b.c_custkey AS target FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey WHERE b.c_acctbal > 0 AND a.s_acctbal > 1.5 * b.c_acctbal AND b.c_custkey % 10 = a.s_suppkey % 10"),
+    "population_reversal": ("FLT20", "SELECT a.s_suppkey AS source, b.c_custkey AS target FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey WHERE b.c_acctbal > 0 AND a.s_acctbal > 1.5 * b.c_acctbal"),
     "first_pattern": ("FLT17", "SELECT p_partkey, rule FROM (SELECT p_partkey, r.rule, row_number() OVER (PARTITION BY p_partkey ORDER BY r.o) AS k FROM part JOIN (SELECT 1 AS o, 'small' AS rule, 5 AS lim UNION ALL SELECT 2, 'middle', 25 UNION ALL SELECT 3, 'large', 100) r ON p_size <= r.lim) x WHERE k = 1"),
     # --- joins
     "left_metadata": ("JN1 JN19 JN22", "SELECT d.doc_id, d.source, l.quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
