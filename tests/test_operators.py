@@ -1,3 +1,4 @@
+import difflib
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -148,3 +149,13 @@ def test_file_sources(spark, tmp_path):
 def test_callable_over_batches(spark):
     df = spark.range(5)
     assert C.batches_through(df, lambda f: pd.DataFrame({"y": f.id * 2}), "y long").agg(F.sum("y")).first()[0] == 20
+
+
+def test_fuzzy_pairs_are_all_pairs(spark):
+    names = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000013", "upplier#000000001", "xSupplier#000000001", "a", "A", "b", "", "", None, "ab", "abababababa", "bababababab", "abcdefghij", "zbcdefghijk", "abcdefghijk", "bcdefghijka"]
+    rows = [(k, "PQ"[k % 5 == 4], n) for k, n in enumerate(names * 2)]
+    df = spark.createDataFrame(rows, "id long, type string, name string")
+    for least in (90, 60):
+        want = {(i, j) for i, s, x in rows for j, t, y in rows if i < j and s == t and x is not None and y is not None and 100 * difflib.SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio() >= least}
+        found = [(r.a, r.b) for r in R.fuzzy_pairs(df, least).collect()]
+        assert len(found) == len(set(found)) and set(found) == want

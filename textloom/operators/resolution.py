@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import canonical_score
@@ -22,20 +22,37 @@ def alias_groups(names: DataFrame, manual: dict[str, str] | None = None) -> Data
     return out
 
 
-def fuzzy_pairs(entities: DataFrame, least: int = 90, prefix: int = 3) -> DataFrame:
-    """JN13, JN14, ER4, ER7: pairs (a < b) of one type with a ratio of at least `least`, within blocks of type and name beginning.
+def near_names(names: DataFrame, least: int) -> DataFrame:
+    """Pairs (type, x <= y) of distinct names (type, name) that may reach the ratio; none that reaches it is missing.
 
-    Blocking loses pairs whose first letters differ; a length band and the edit distance are tried before the ratio.
+    A partner of a name of n letters is at most k = 2n(100 - least) / least insertions and deletions away, each of which
+    breaks at most two of its n + 1 pairs of letters (with both ends). So the 2k + 1 rarest pairs of letters of two such
+    names have one in common; names so short that all may break are also put together.
     """
-    rows = entities.select("id", "type", F.lower("name").alias("name")).withColumn("block", F.substring("name", 1, prefix))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.type") == F.col("b.type")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")))
-    x, y = F.length("a.name"), F.length("b.name")
+    padded = F.concat(F.lit("\x02"), F.col("name"), F.lit("\x03"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("name") + 1), lambda i: F.substr(padded, i, F.lit(2)))
+    rows = names.withColumn("grams", pairs).withColumn("most", 2 * F.floor(F.length("name") * (2 * (100 - least)) / least) + 1)
+    # The n-th occurrence of a pair of letters in a name is told apart from the others.
+    grams = rows.select("type", "name", "most", F.explode(F.transform("grams", lambda x, i: F.concat(x, F.size(F.filter(F.slice("grams", 1, i), lambda y: y == x)).cast("string")))).alias("gram"))
+    count = grams.groupBy("type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("type", "name").orderBy("n", "gram"))
+    keys = grams.join(count, ["type", "gram"]).withColumn("place", place).filter(F.col("place") <= F.col("most")).select("type", "name", "gram")
+    keys = keys.unionByName(rows.filter(F.col("most") > F.size("grams")).select("type", "name", F.lit("").alias("gram")))
+    a, b = keys.withColumnRenamed("name", "x"), keys.withColumnRenamed("name", "y")
     # A ratio of r needs an indel distance of at most (1 - r) * (|a| + |b|), and the edit distance is no greater.
-    pairs = pairs.filter(F.levenshtein("a.name", "b.name") <= (100 - least) / 100 * (x + y))
+    close = 100 * F.levenshtein("x", "y") <= (100 - least) * (F.length("x") + F.length("y"))
+    return a.join(b, ["type", "gram"]).filter((F.col("x") <= F.col("y")) & close).select("type", "x", "y").distinct()
+
+
+def fuzzy_pairs(entities: DataFrame, least: int = 90) -> DataFrame:
+    """JN13, JN14, ER4, ER7: all pairs (a < b) of one type with a ratio of at least `least`."""
+    rows = entities.select("id", "type", F.lower("name").alias("name")).filter("name IS NOT NULL AND type IS NOT NULL")
+    near = near_names(rows.select("type", "name").distinct(), least)
+    near = near.unionByName(near.filter("x <> y").select("type", F.col("y").alias("x"), F.col("x").alias("y")))
+    pairs = near.join(rows.select("type", F.col("id").alias("a"), F.col("name").alias("x")), ["type", "x"]).join(rows.select("type", F.col("id").alias("b"), F.col("name").alias("y")), ["type", "y"]).filter("a < b")
     from textloom.functions.text import fuzzy_ratio
 
-    out = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), fuzzy_ratio(F.col("a.name"), F.col("b.name")).alias("ratio"))
-    return out.filter(F.col("ratio") >= least)
+    return pairs.select("a", "b", fuzzy_ratio(F.col("x"), F.col("y")).alias("ratio")).filter(F.col("ratio") >= least)
 
 
 def greedy_clusters(entities: DataFrame, least: int = 90) -> DataFrame:
