@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
+"""Benchmark decontamination by seeds of unbroken runs, in DataFrame operations only.
 
 Words are lower-cased runs of letters and digits. A seed hashes a run of words, so short that no allowed changes break all
 such runs: a window of w words with at most c changed ones has a run of (w - c) / (c + 1) unchanged ones, rounded up. This
