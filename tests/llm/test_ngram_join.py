@@ -73,7 +73,7 @@ def test_components_follow_brute_force(spark, near, block, k, percent):
     rows = corpus()
     rows += [rows[3], (None, rows[3][1]), (None, "nothing like it at all here"), (5000, rows[-9][1])]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int")
-    out = nj.join(docs, k, percent, near=near, block=block, tries=1)
+    out = nj.join(docs, k, percent, near=near, block=block)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == brute(rows, k, percent)
 
 
@@ -113,5 +113,5 @@ def test_pairs_of_blocks_are_searched_whole(spark):
     hot, own, rest = words[0], words[1:1001], words[1001:]
     rows = [(2 * k + side, " ".join([hot, own[2 * k + side], rest[2 * k], rest[2 * k + 1]])) for k in range(500) for side in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = nj.join(docs, 1, 60, near=2, block=50, tries=1)
+    out = nj.join(docs, 1, 60, near=2, block=50)
     assert {r.doc_id: r.component_id for r in out.collect()} == {d: d - d % 2 for d, _ in rows}

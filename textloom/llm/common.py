@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,14 +19,73 @@ BLANKS = r"[\x20\x09-\x0D]"
 SLICE_BYTES = 4 << 20
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finishing steps of splitmix64, on unsigned 64-bit integers."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: Hash values of bytes, A-Z as a-z; whether a byte belongs to a word; the base of the polynomial over them and its inverse.
+LETTER = mix(np.r_[np.arange(1, 66), np.arange(98, 124), np.arange(92, 257)].astype(np.uint64))
+WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+LENGTH = np.uint64(0xD1342543DE82EF95)
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i for i below n at least; those of an ordinary slice are held."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    size = max(n, SLICE_BYTES + (1 << 16))
+    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    if size <= 4 * SLICE_BYTES:
+        _powers["up"], _powers["down"] = up, down
+    return up, down
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds (n + 1) of the words of each text, and the 64-bit hash of each lower-cased (A-Z) word, alike in every process."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint64)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if at[-1] == at[0]:
+        return np.zeros(len(at), np.int64), np.zeros(0, np.uint64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    inside = WORD[data]
+    before = np.r_[False, inside[:-1]]
+    before[at[:-1][at[:-1] < len(data)]] = False
+    first = np.flatnonzero(inside & ~before)
+    after = np.r_[inside[1:], False]
+    after[at[1:][at[1:] > 0] - 1] = False
+    end = np.flatnonzero(inside & ~after) + 1
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTER[data] * down[: len(data)], out=total[1:])
+    h = (total[end] - total[first]) * up[first] + (end - first).astype(np.uint64) * LENGTH
+    return np.searchsorted(first, at), mix(h)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests, where it is unset, a new one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, as in tests, a new folder in local
+    mode, whose driver and executors are one process; on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -90,17 +150,6 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return bounds, distinct, codes
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finishing steps of splitmix64, on unsigned 64-bit integers."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
 def hash_strings(strings: pa.Array) -> np.ndarray:
     """64-bit hashes of strings, alike in every process."""
     import xxhash

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from textloom.llm.common import keep
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one smaller node that hangs on none; edges(u, v) are distinct with v < u."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+    inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return twice.unionByName(inner).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,16 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     and their joins can be split by adaptive execution.
     """
     edges = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(edges)
-    while before[0]:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = keep(small.distinct(), "edges")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -4,22 +4,27 @@ A text's set holds the hashes (64 bits) of its distinct shingles of k lower-case
 shingle, one without words none. Two sets link when 100 * |x & y| >= PERCENT * |x | y|.
 
 1. Texts with equal sets are one class; copies never meet as pairs.
-2. Two linked sets share one of the least |x| - ceil(t |x|) + 1 hashes of each (prefix filter), so classes meet in the
-   buckets of their prefix hashes; hashes that only one class has are dropped.
+2. Shingles have one order: by how often their slot of a sketch (SLOTS counters, filled from all texts) was met, on a
+   logarithmic scale, ties by hash. Two linked sets share one of the first |x| - ceil(t |x|) + 1 shingles of each
+   (prefix filter; it is exact in any order), so classes meet in the buckets of these shingles. Common lines come late
+   in the order, so buckets stay small. Shingles that only one class has in its prefix are dropped.
 3. In a bucket classes stand in signature trees, one for each width of bitmap: nodes hold OR-combined bitmaps of the
    members' tokens and ranges of their sizes. A dual traversal goes down pairs of nodes and prunes those whose greatest
    possible overlap (common bits, plus tokens that share a bit) is below the least that their sizes need, and those whose
-   members are in one component already. Pairs of classes that survive are compared exactly.
-4. A first round searches the least and greatest bucket of each class only and joins most near copies into components.
-   Then every bucket that holds several components is searched for pairs across components, with at most a few partners
-   for a class and a component; buckets in which that left pairs out are then searched for all of them.
+   members are in one component already. A bucket of at most FAN classes is one node; many such are compared at once.
+4. Classes with a partner that the traversal leaves fetch their sets, read from the texts again. The same groups are then
+   searched with the sets at hand: a surviving pair of two components is compared exactly and, if it links, joins them.
+   So a group gives out at most as many links as it has classes, and never a candidate.
+5. Two rounds look at two buckets of each class only, in blocks, and join most near copies into components. The last one
+   searches every bucket that still holds several components, whole.
 
-Bounds: buckets are searched in blocks (first round) or as pairs of blocks (then), so no task holds an unbounded bucket.
-Blocks are filled by hash: a pair of them holds 2 * BLOCK rows give or take some hundreds, and is never cut.
-Only ids, hashes and bitmaps travel, and the sets of classes that a bitmap lets through.
+Bounds: groups are blocks of a bucket (first rounds) or pairs of blocks (last round), filled by hash and so many that a
+block holds about BLOCK classes and TOKENS shingles; a pair of blocks is never cut. Only ids, hashes and bitmaps travel,
+and the sets of classes that a bitmap lets through. The sketch is the one thing that reaches the driver: SLOTS counters.
 
 Defined results: null and empty texts have no shingle and link with nothing, not even each other; a null id never names
-a component unless no other id is there; repeated rows are in one component; an empty table gives an empty result.
+a component unless no other id is there; repeated rows are in one component; an empty table gives an empty result; a
+text of any length is one set, which one task holds whole.
 """
 
 from __future__ import annotations
@@ -29,32 +34,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import hash_strings, keep, mix, row_key, slices, small, table, texts_of, without, words_of
+from textloom.llm.common import fresh, hashed_words, keep, mix, row_key, slices, small, table, texts_of, without
 from textloom.llm.components import components
 
+#: Counters of the sketch, and of a row in which they travel.
+SLOTS, PIECE = 1 << 20, 1 << 14
 #: Least and most bits of a signature, children of a tree node.
-LEAST_BITS, MOST_BITS, FAN = 512, 8192, 8
-#: Classes and bytes of a block with sets, classes of a block with bitmaps only.
-NEAR, NEAR_BYTES, BLOCK = 1024, 16 << 20, 16_384
-#: Partners that a class tries in another component before all are tried.
-TRIES = 4
+LEAST_BITS, MOST_BITS, FAN = 512, 1 << 16, 8
+#: Classes and bytes of a block of the first rounds; classes and shingles of a block of the last one.
+NEAR, NEAR_BYTES, BLOCK, TOKENS = 1024, 16 << 20, 8192, 4 << 20
+#: No limit: the group is whole.
+WHOLE = 1 << 60
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    bounds, distinct, codes = words_of(texts)
-    h = mix(hash_strings(distinct))[codes] if len(codes) else np.zeros(0, np.uint64)
+    bounds, h = hashed_words(texts)
     n = max(0, len(h) - k + 1)
-    s = np.full(n, k, np.uint64)
-    for j in range(k):
-        s = mix(s + h[j : j + n])
+    s = np.zeros(n, np.uint64)
+    for j, c in enumerate(mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)):
+        s += h[j : j + n] * c
+    s = mix(s)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(s[a : b - k + 1]))
+            own = np.sort(s[a : b - k + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
         elif b > a:
             whole = np.full(1, b - a, np.uint64)
             for x in h[a:b]:
@@ -65,17 +73,52 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+
+
+def sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """For each slot twice the binary logarithm of how many shingles of all texts fell into it, as a byte."""
+
+    def count(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in slices([batch], text_col):
+                sets = shingle_sets(texts_of(part, text_col), k)
+                seen += np.bincount(slots(np.concatenate(sets)), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS // PIECE)), pa.array([x.astype("<i8").tobytes() for x in seen.reshape(-1, PIECE)], pa.binary())], names=["piece", "seen"])
+
+    def add(batches):
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                seen[piece] = seen.get(piece, 0) + np.frombuffer(data, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["piece", "seen"])
+
+    shape = "piece long, seen binary"
+    each = docs.select(text_col).mapInArrow(count, shape)
+    total = np.zeros((SLOTS // PIECE, PIECE), np.int64)
+    for row in each.repartition("piece").mapInArrow(add, shape).collect():  # SLOTS counters in all
+        total[row.piece] = np.frombuffer(row.seen, "<i8")
+    return np.minimum(255, 2 * np.log2(1 + total.ravel())).astype(np.uint8)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def prefix(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set in the common order."""
+    return tokens[np.argsort(level[slots(tokens)], kind="stable")[: prefix_length(len(tokens), percent)]]
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def width_of(n: int) -> int:
-    """Bits of the signature of n tokens: so many that two thirds are empty, or as many as are allowed."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (n * 3 // 2).bit_length()))
+    """Bits of the signature of n tokens: 6 to 12 a token, so that few share one, or as many as are allowed."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (n * 6).bit_length()))
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -210,17 +253,21 @@ def candidates(size: np.ndarray, bits: list[bytes], percent: int, group: np.ndar
                         yield p[i], q[j]
 
 
-def block_links(size: np.ndarray, bits: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the components of a block, each verified on the sets."""
+def block_links(size: np.ndarray, bits: list[bytes], sets: list[np.ndarray], percent: int, group: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Members that links join to other groups (each a group of its own if there are none), and one member of what they
+    are joined to. Every link is verified on the sets; members of one group count as joined."""
     parent = list(range(len(size)))
-    out = []
-    for i, j in candidates(size, bits, percent):
+    if group is not None:
+        _, first, back = np.unique(group, return_index=True, return_inverse=True)
+        parent = first[back].tolist()
+    met = set()
+    for i, j in candidates(size, bits, percent, group, side):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             p, q = find(parent, a), find(parent, b)
             if p != q and linked(sets[a], sets[b], percent):
                 parent[q] = p
-                out.append((a, b))
-    return out
+                met |= {a, b, p, q}
+    return [(a, find(parent, a)) for a in sorted(met) if find(parent, a) != a]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -304,35 +351,22 @@ def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """doc_id, row_key, class, n, the prefix hashes and the signature of each row."""
+    """doc_id, row_key, class, n, the prefix and the signature of each row."""
+    level = docs.sparkSession.sparkContext.broadcast(sketch(docs, text_col, k))
 
     def run(batches):
         for batch in slices(batches, text_col):
             sets = shingle_sets(texts_of(batch, text_col), k)
             n = [len(s) for s in sets]
             kinds = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            keys = [as_long(s[: prefix_length(len(s), percent)]) for s in sets]
+            keys = [as_long(prefix(s, level.value, percent)) for s in sets]
             at = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("row_key"), pa.array(as_long(kinds)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), pa.array([signature(s) for s in sets], pa.binary())], names=["doc_id", "row_key", "class", "n", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(as_long(kinds)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), pa.array([signature(s) for s in sets], pa.binary())], names=["doc_id", "row_key", "class", "n", "keys", "bits"])
 
-    rows = docs.select(id_col, text_col, row_key(text_col).alias("row_key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), row_key(text_col).alias("row_key"))
     return rows.mapInArrow(run, "doc_id long, row_key long, class long, n long, keys array<long>, bits binary")
 
 
-def sets_of(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """class, n, signature and shingles of each row's text."""
-
-    def run(batches):
-        for batch in slices(batches, text_col):
-            sets = [s for s in shingle_sets(texts_of(batch, text_col), k) if len(s)]
-            if sets:
-                at = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-                kinds = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(kinds)), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(as_long(np.concatenate(sets))))], names=["class", "n", "bits", "tokens"])
-
-    return docs.select(text_col).mapInArrow(run, "class long, n long, bits binary, tokens array<long>")
-
-
 def shared_only(batches):
     """Of rows sorted by key, those whose key another row has, and those at the ends, whose neighbours are elsewhere."""
     tail = None
@@ -353,131 +387,122 @@ def shared_only(batches):
         yield tail
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, text_col: str, k: int) -> DataFrame:
-    """class, n, bits and tokens of the classes in `wanted` (stored), read from the texts again."""
-    sets = sets_of(docs, text_col, k).join(F.broadcast(wanted) if small(wanted) else wanted, "class", "left_semi")
-    return keep(sets.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("tokens").alias("tokens")), "sets")
-
-
-def first_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, text_col: str, k: int, percent: int, near: int) -> DataFrame:
-    """Verified links (u, v) of classes within blocks of their least and greatest buckets."""
-
-    def hopeful(batches):
-        for rows, starts in together(batches, ["key"], near, NEAR_BYTES):
-            mark = np.zeros(rows.num_rows, bool)
-            size, bits = rows["n"].to_numpy(), rows["bits"].to_pylist()
-            i, j = pairs_of_small(size, bits, starts, percent)
-            mark[i] = mark[j] = True
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if b - a > FAN:
-                    for i, j in candidates(size[a:b], bits[a:b], percent):
-                        mark[a + i] = mark[a + j] = True
-            yield from rows.select(["key", "class"]).filter(pa.array(mark)).to_batches()
-
-    def links_of(batches):
-        for _, rows in grouped(batches, ["key"], near, NEAR_BYTES):
-            if rows.num_rows > 1:
-                kinds = rows["class"].to_numpy()
-                found = block_links(rows["n"].to_numpy(), rows["bits"].to_pylist(), lists(rows["tokens"]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([kinds[a] for a, _ in found], pa.int64()), pa.array([kinds[b] for _, b in found], pa.int64())], names=["u", "v"])
-
-    ends = shared.groupBy("class").agg(F.min("key").alias("a"), F.max("key").alias("b")).select("class", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
-    ends = ends.join(signs, "class").select("key", "n", "class", "bits").repartitionByRange("key", "n", "class").sortWithinPartitions("key", "n", "class")
-    hope = keep(ends.mapInArrow(hopeful, "key long, class long"), "hope")
-    sets = fetched(docs, keep(hope.select("class").distinct(), "met"), text_col, k)
-    rows = hope.join(sets, "class").select("key", "n", "class", "bits", "tokens").repartitionByRange("key", "n", "class").sortWithinPartitions("key", "n", "class")
-    return keep(rows.mapInArrow(links_of, "u long, v long"), "near")
-
-
-def next_round(docs: DataFrame, shared: DataFrame, signs: DataFrame, roots: DataFrame, text_col: str, k: int, percent: int, block: int, tries: int | None) -> tuple[DataFrame, DataFrame]:
-    """Verified links across components: with tries=None of all pairs, else of a few for each class and component of a
-    bucket. Also the buckets in which pairs were left out."""
-    held = keep(shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "held")
-    open_keys = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b")
-    open_keys = open_keys.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = held.join(open_keys, "key").join(signs, "class")
+def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """class and tokens of the classes in `wanted` (stored), each read from one of its texts again."""
+
+    def run(batches):
+        for batch in slices(batches, text_col):
+            sets = [s for s in shingle_sets(texts_of(batch, text_col), k) if len(s)]
+            if sets:
+                at = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                kinds = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(kinds)), pa.ListArray.from_arrays(pa.array(at), pa.array(as_long(np.concatenate(sets))))], names=["class", "tokens"])
+
+    few = small(wanted)
+    wanted = F.broadcast(wanted) if few else wanted
+    i, r = fresh(docs, "_set_id"), fresh(docs, "_set_key")
+    chosen = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias(i), F.col("row_key").alias(r))).alias("x")).select("x.*").distinct()
+    rows = docs.select(F.col(text_col), F.coalesce(F.col(id_col), F.lit(0)).alias(i), row_key(text_col).alias(r))
+    sets = rows.join(F.broadcast(chosen) if few else chosen, [i, r], "left_semi").select(text_col).mapInArrow(run, "class long, tokens array<long>")
+    return keep(sets.groupBy("class").agg(F.any_value("tokens").alias("tokens")), "sets")
+
+
+#: Rows of a group: its key and blocks, the block that the class is in, and the component that it is in.
+GROUP = ["key", "x", "y"]
+
+
+def meeting(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each group, the classes with a partner in another component that the signatures allow."""
+    for held, starts in together(batches, GROUP, rows, size):
+        mark = np.zeros(held.num_rows, bool)
+        n, root, bits = held["n"].to_numpy(), held["root"].to_numpy(), held["bits"].to_pylist()
+        i, j = pairs_of_small(n, bits, starts, percent, root)
+        mark[i] = mark[j] = True
+        x, y, own = (held[c].to_numpy() for c in ("x", "y", "own"))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a > FAN and (root[a:b] != root[a]).any():
+                # Of a pair of blocks the rows of one block alone meet in another group.
+                side = None if x[a] == y[a] else (own[a:b] == y[a]).astype(np.int64)
+                for i, j in candidates(n[a:b], bits[a:b], percent, root[a:b], side):
+                    mark[a + i] = mark[a + j] = True
+        yield from held.filter(pa.array(mark)).combine_chunks().to_batches()
+
+
+def joining(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Verified links (u, v) of each group that connect its components."""
+    for _, held in grouped(batches, GROUP, rows, size):
+        if held.num_rows > 1:
+            kinds, root = held["class"].to_numpy(), held["root"].to_numpy()
+            x, y = held["x"][0].as_py(), held["y"][0].as_py()
+            side = None if x == y or held.num_rows <= FAN else (held["own"].to_numpy() == y).astype(np.int64)
+            found = block_links(held["n"].to_numpy(), held["bits"].to_pylist(), lists(held["tokens"]), percent, root, side)
+            yield pa.RecordBatch.from_arrays([pa.array([kinds[a] for a, _ in found], pa.int64()), pa.array([kinds[b] for _, b in found], pa.int64())], names=["u", "v"])
+
+
+def searched(fetch, rows: DataFrame, percent: int, most_rows: int, most_bytes: int) -> DataFrame:
+    """Verified links of groups; rows: key, x, y, own, class, root, n, bits. Groups over the limits are cut."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = "key long, x int, y int, own int, class long, root long, n long, bits binary"
+    rows = rows.select("key", "x", "y", "own", "class", "root", "n", "bits").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "n", "class")
+    met = keep(rows.mapInArrow(lambda b: meeting(b, most_rows, most_bytes, percent), shape), "met")
+    sets = fetch(keep(met.select("class").distinct(), "wanted"))
+    full = met.join(sets, "class").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "n", "class")
+    return keep(full.mapInArrow(lambda b: joining(b, most_rows, most_bytes, percent), "u long, v long"), "links")
+
+
+def open_rows(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """key, class, root of each class of a bucket, and key, number of classes and shingles of buckets with several components."""
+    held = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")) if roots is not None else shared.withColumn("root", F.col("class"))
+    held = keep(held, "held")
+    keys = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).filter("a <> b")
+    return held, keys.select("key", "m", "tokens")
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return components(links)
+
+
+def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int, near: int = NEAR, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the components of classes."""
+    real = classes.filter("n > 0")
+    rows = real.groupBy("class").agg(F.any_value("keys").alias("keys"), F.any_value("n").alias("n")).select(F.explode("keys").alias("key"), "class", "n")
+    shared = keep(rows.repartitionByRange("key", "class").sortWithinPartitions("key", "class").mapInArrow(shared_only, "key long, class long, n long"), "shared")
+    signs = real.select("class", "bits").join(shared.select("class").distinct(), "class", "left_semi")
+    signs = keep(signs.groupBy("class").agg(F.any_value("bits").alias("bits")), "signs")
+    fetch = lambda wanted: fetched(docs, real, wanted, id_col, text_col, k)
+    roots = None
+    for turn in (0, 1):
+        # Blocks of two buckets of each class: of neighbours in size, then of classes that chance brings together.
+        held, keys = open_rows(shared, roots)
+        if turn and keys.isEmpty():
+            return roots
+        mine = held.join(keys, "key") if turn else held
+        ends = mine.groupBy("class").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.any_value("root").alias("root"), F.any_value("n").alias("n"))
+        ends = ends.select("class", "root", "n", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
+        if turn:
+            blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / near)
+            block_ = F.pmod(F.xxhash64("class", F.lit(turn)), blocks).cast("int")
+        else:
+            block_ = F.lit(0)
+        ends = ends.withColumn("x", block_).select("key", "x", F.col("x").alias("y"), F.col("x").alias("own"), "class", "root", "n").join(signs, "class")
+        roots = merged(roots, searched(fetch, ends, percent, near, NEAR_BYTES))
+    held, keys = open_rows(shared, roots)
+    if keys.isEmpty():
+        return roots
+    keys = keys.select("key", F.ceil(F.greatest(F.col("m") / block, F.col("tokens") / TOKENS)).cast("int").alias("blocks"))
     # A bucket of b blocks is searched as b * (b + 1) / 2 pairs of blocks; nearly all buckets have one block.
+    rows = held.join(keys, "key").join(signs, "class")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "n", "bits")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "class")
-
-    def across(batches):
-        def out(u, v, key=None):
-            low, high = (u, u) if key is not None else (np.minimum(u, v), np.maximum(u, v))
-            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(key if key is not None else [None] * len(low), pa.int64())], names=["u", "v", "key"])
-
-        # Groups are whole: blocks are filled by hash, so a pair of them may hold some rows more than 2 * block.
-        for rows_, starts in together(batches, ["key", "x", "y"], 1 << 60, 1 << 60):
-            sizes, roots_, kinds_, bits_ = rows_["n"].to_numpy(), rows_["root"].to_numpy(), rows_["class"].to_numpy(), rows_["bits"].to_pylist()
-            # Of groups with two sides the rows of one side alone meet in another group; small groups have one side.
-            i, j = pairs_of_small(sizes, bits_, starts, percent, roots_)
-            if len(i):
-                yield out(kinds_[i], kinds_[j])
-            keys, xs, ys, owns = (rows_[c].to_numpy() for c in ("key", "x", "y", "own"))
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                size, root, kinds = sizes[a:b], roots_[a:b], kinds_[a:b]
-                if b - a <= FAN or root.min() == root.max():
-                    continue
-                side = None if xs[a] == ys[a] else (owns[a:b] == ys[a]).astype(np.int64)
-                done: dict[tuple[int, int], int] = {}
-                left_out = False
-                for i, j in candidates(size, bits_[a:b], percent, root, side):
-                    apart = root[i] != root[j]
-                    i, j = i[apart], j[apart]
-                    if tries is not None and len(i):
-                        stays = np.zeros(len(i), bool)
-                        for p, (c, d) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                            one, two = (c, int(root[d])), (d, int(root[c]))
-                            if done.get(one, 0) < tries or done.get(two, 0) < tries:
-                                done[one] = done.get(one, 0) + 1
-                                done[two] = done.get(two, 0) + 1
-                                stays[p] = True
-                        left_out |= not stays.all()
-                        i, j = i[stays], j[stays]
-                    if len(i):
-                        yield out(kinds[i], kinds[j])
-                if left_out:  # this bucket is searched again
-                    yield out(kinds[:1], None, keys[a : a + 1])
-
-    def check(batches):
-        for batch in batches:
-            ok = [linked(a, b, percent) for a, b in zip(lists(pa.chunked_array([batch.column("tu")])), lists(pa.chunked_array([batch.column("tv")])), strict=True)] if batch.num_rows else []
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    found = keep(rows.mapInArrow(across, "u long, v long, key long").distinct(), "pairs")
-    again = found.filter("key IS NOT NULL").select("key").distinct()
-    pairs = found.filter("key IS NULL").select("u", "v")
-    if pairs.isEmpty():
-        return pairs, again
-    wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "met")
-    tokens = fetched(docs, wanted, text_col, k).select("class", "tokens")
-    checked = pairs.join(tokens.withColumnsRenamed({"class": "u", "tokens": "tu"}), "u").join(tokens.withColumnsRenamed({"class": "v", "tokens": "tv"}), "v")
-    return keep(checked.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "more"), again
+    return merged(roots, searched(fetch, rows, percent, WHOLE, WHOLE))
 
 
-def links(docs: DataFrame, classes: DataFrame, text_col: str, k: int, percent: int, near: int = NEAR, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
-    """(node, root) of the components of classes."""
-    real = classes.filter("n > 0")
-    rows = real.groupBy("class").agg(F.any_value("keys").alias("keys")).select(F.explode("keys").alias("key"), "class")
-    shared = keep(rows.repartitionByRange("key", "class").sortWithinPartitions("key", "class").mapInArrow(shared_only, "key long, class long"), "shared")
-    signs = real.select("class", "n", "bits").join(shared.select("class").distinct(), "class", "left_semi")
-    signs = keep(signs.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
-    roots = components(first_round(docs, shared, signs, text_col, k, percent, near))
-    for most in (tries, None):
-        more, again = next_round(docs, shared, signs, roots, text_col, k, percent, block, most)
-        if not more.isEmpty():
-            roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        if again.isEmpty():
-            break
-        shared = shared.join(again, "key", "left_semi")
-    return roots
-
-
-def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, block: int = BLOCK, tries: int = TRIES) -> DataFrame:
+def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, row_key, n_shingles, component_id (the smallest doc_id that links reach)."""
     classes = keep(classes_of(docs, id_col, text_col, k, percent), "classes")
-    roots = links(docs, classes, text_col, k, percent, near, block, tries)
+    roots = links(docs, classes, id_col, text_col, k, percent, near, block)
     rows = classes.filter("n > 0").select("doc_id", "row_key", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
     rows = keep(rows.select("doc_id", "row_key", "n", F.coalesce("root", "class").alias("root")), "rooted")
     named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
