@@ -12,6 +12,7 @@ shingle, one without words none. Two sets link when 100 * |x & y| >= PERCENT * |
    members' tokens and ranges of their sizes. A dual traversal goes down pairs of nodes and prunes those whose greatest
    possible overlap (common bits, plus tokens that share a bit) is below the least that their sizes need, and those whose
    members are in one component already. A bucket of at most FAN classes is one node; many such are compared at once.
+   Before signatures travel, classes leave whose bucket holds none of a fitting size in another component.
 4. Classes with a partner that the traversal leaves fetch their sets, read from the texts again. The same groups are then
    searched with the sets at hand: a surviving pair of two components is compared exactly and, if it links, joins them.
    So a group gives out at most as many links as it has classes, and never a candidate.
@@ -44,6 +45,8 @@ from textloom.llm.components import components
 SLOTS, PIECE = 1 << 20, 1 << 14
 #: Least and most bits of a signature, children of a tree node.
 LEAST_BITS, MOST_BITS, FAN = 512, 1 << 16, 8
+#: Bits a token, at least, of the signatures that travel, and of those made where the sets are at hand.
+NARROW, WIDE = 3, 12
 #: Classes and bytes of a block of the first rounds; classes and shingles of a block of the last one.
 NEAR, NEAR_BYTES, BLOCK, TOKENS = 1024, 16 << 20, 8192, 4 << 20
 #: No limit: the group is whole.
@@ -116,17 +119,17 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def width_of(n: int) -> int:
-    """Bits of the signature of n tokens: 6 to 12 a token, so that few share one, or as many as are allowed."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (n * 6).bit_length()))
+def width_of(n: int, bits: int) -> int:
+    """Bits of the signature of n tokens: `bits` to twice as many a token, or as many as are allowed."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (n * bits).bit_length()))
 
 
-def signature(tokens: np.ndarray) -> bytes:
+def signature(tokens: np.ndarray, bits: int = NARROW) -> bytes:
     """Bit t mod width for each token t; a wider signature folds into a narrower one by OR of its halves."""
-    width = width_of(len(tokens))
-    bits = np.zeros(width, np.uint8)
-    bits[(tokens % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    width = width_of(len(tokens), bits)
+    out = np.zeros(width, np.uint8)
+    out[(tokens % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
 
 
 class Tree:
@@ -411,6 +414,17 @@ def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str,
 GROUP = ["key", "x", "y"]
 
 
+def sized(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each group, sorted by n, the classes with one of another component in reach: sizes without a gap lie between."""
+    for held, starts in together(batches, GROUP, rows, size):
+        n, root = held["n"].to_numpy(), held["root"].to_numpy()
+        new = np.r_[True, 100 * n[:-1] < percent * n[1:]]
+        new[starts[:-1]] = True
+        first = np.flatnonzero(new)
+        mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        yield from held.filter(pa.array(mixed[np.cumsum(new) - 1])).combine_chunks().to_batches()
+
+
 def meeting(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of each group, the classes with a partner in another component that the signatures allow."""
     for held, starts in together(batches, GROUP, rows, size):
@@ -425,7 +439,7 @@ def meeting(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: in
                 side = None if x[a] == y[a] else (own[a:b] == y[a]).astype(np.int64)
                 for i, j in candidates(n[a:b], bits[a:b], percent, root[a:b], side):
                     mark[a + i] = mark[a + j] = True
-        yield from held.filter(pa.array(mark)).combine_chunks().to_batches()
+        yield from held.drop(["bits"]).filter(pa.array(mark)).combine_chunks().to_batches()
 
 
 def joining(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -435,19 +449,23 @@ def joining(batches: Iterator[pa.RecordBatch], rows: int, size: int, percent: in
             kinds, root = held["class"].to_numpy(), held["root"].to_numpy()
             x, y = held["x"][0].as_py(), held["y"][0].as_py()
             side = None if x == y or held.num_rows <= FAN else (held["own"].to_numpy() == y).astype(np.int64)
-            found = block_links(held["n"].to_numpy(), held["bits"].to_pylist(), lists(held["tokens"]), percent, root, side)
+            sets = lists(held["tokens"])
+            found = block_links(held["n"].to_numpy(), [signature(t, WIDE) for t in sets], sets, percent, root, side)
             yield pa.RecordBatch.from_arrays([pa.array([kinds[a] for a, _ in found], pa.int64()), pa.array([kinds[b] for _, b in found], pa.int64())], names=["u", "v"])
 
 
-def searched(fetch, rows: DataFrame, percent: int, most_rows: int, most_bytes: int) -> DataFrame:
-    """Verified links of groups; rows: key, x, y, own, class, root, n, bits. Groups over the limits are cut."""
+def searched(fetch, rows: DataFrame, signs: DataFrame, percent: int, most_rows: int, most_bytes: int) -> DataFrame:
+    """Verified links of groups; rows: key, x, y, own, class, root, n. Groups over the limits are cut."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shape = "key long, x int, y int, own int, class long, root long, n long, bits binary"
-    rows = rows.select("key", "x", "y", "own", "class", "root", "n", "bits").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "n", "class")
-    met = keep(rows.mapInArrow(lambda b: meeting(b, most_rows, most_bytes, percent), shape), "met")
+    shape = "key long, x int, y int, own int, class long, root long, n long"
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "n", "class")
+
+    rows = dealt(rows.select("key", "x", "y", "own", "class", "root", "n")).mapInArrow(lambda b: sized(b, most_rows, most_bytes, percent), shape)
+    met = keep(dealt(rows.join(signs, "class").select("key", "x", "y", "own", "class", "root", "n", "bits")).mapInArrow(lambda b: meeting(b, most_rows, most_bytes, percent), shape), "met")
     sets = fetch(keep(met.select("class").distinct(), "wanted"))
-    full = met.join(sets, "class").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "n", "class")
-    return keep(full.mapInArrow(lambda b: joining(b, most_rows, most_bytes, percent), "u long, v long"), "links")
+    return keep(dealt(met.join(sets, "class")).mapInArrow(lambda b: joining(b, most_rows, most_bytes, percent), "u long, v long"), "links")
 
 
 def open_rows(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -486,17 +504,17 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
             block_ = F.pmod(F.xxhash64("class", F.lit(turn)), blocks).cast("int")
         else:
             block_ = F.lit(0)
-        ends = ends.withColumn("x", block_).select("key", "x", F.col("x").alias("y"), F.col("x").alias("own"), "class", "root", "n").join(signs, "class")
-        roots = merged(roots, searched(fetch, ends, percent, near, NEAR_BYTES))
+        ends = ends.withColumn("x", block_).select("key", "x", F.col("x").alias("y"), F.col("x").alias("own"), "class", "root", "n")
+        roots = merged(roots, searched(fetch, ends, signs, percent, near, NEAR_BYTES))
     held, keys = open_rows(shared, roots)
     if keys.isEmpty():
         return roots
     keys = keys.select("key", F.ceil(F.greatest(F.col("m") / block, F.col("tokens") / TOKENS)).cast("int").alias("blocks"))
     # A bucket of b blocks is searched as b * (b + 1) / 2 pairs of blocks; nearly all buckets have one block.
-    rows = held.join(keys, "key").join(signs, "class")
+    rows = held.join(keys, "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "n", "bits")
-    return merged(roots, searched(fetch, rows, percent, WHOLE, WHOLE))
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "n")
+    return merged(roots, searched(fetch, rows, signs, percent, WHOLE, WHOLE))
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, block: int = BLOCK) -> DataFrame:
