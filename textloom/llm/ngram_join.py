@@ -17,7 +17,8 @@ shingle, one without words none. Two sets link when 100 * |x & y| >= PERCENT * |
    searched with the sets at hand: a surviving pair of two components is compared exactly and, if it links, joins them.
    So a group gives out at most as many links as it has classes, and never a candidate.
 5. Two rounds look at two buckets of each class only, in blocks, and join most near copies into components. The last one
-   searches every bucket that still holds several components, whole.
+   searches every bucket that still holds several components, whole; two classes that meet in several buckets of up
+   to ONCE classes are compared in the first of these only.
 
 Bounds: groups are blocks of a bucket (first rounds) or pairs of blocks (last round), filled by hash and so many that a
 block holds about BLOCK classes and TOKENS shingles; a pair of blocks is never cut. Only ids, hashes and bitmaps travel,
@@ -49,6 +50,8 @@ LEAST_BITS, MOST_BITS, FAN = 512, 1 << 16, 8
 NARROW, WIDE = 3, 12
 #: Classes and bytes of a block of the first rounds; classes and shingles of a block of the last one.
 NEAR, NEAR_BYTES, BLOCK, TOKENS = 1024, 16 << 20, 8192, 4 << 20
+#: Most classes of a bucket whose pairs are listed, so that each is compared in one bucket.
+ONCE = 64
 #: No limit: the group is whole.
 WHOLE = 1 << 60
 
@@ -509,12 +512,17 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
     held, keys = open_rows(shared, roots)
     if keys.isEmpty():
         return roots
-    keys = keys.select("key", F.ceil(F.greatest(F.col("m") / block, F.col("tokens") / TOKENS)).cast("int").alias("blocks"))
-    # A bucket of b blocks is searched as b * (b + 1) / 2 pairs of blocks; nearly all buckets have one block.
     rows = held.join(keys, "key")
+    # Of buckets of up to ONCE classes: a pair of classes that meets in several of them is looked at in one.
+    few = rows.filter(F.col("m") <= ONCE).select("key", *[F.struct("class", "root", "n").alias("u")])
+    pairs = few.join(few.withColumnRenamed("u", "v"), "key").filter((F.col("u.class") < F.col("v.class")) & (F.col("u.root") != F.col("v.root")))
+    pairs = pairs.filter(100 * F.least("u.n", "v.n") >= percent * F.greatest("u.n", "v.n"))
+    met = pairs.groupBy("u", "v").agg(F.min("key").alias("key")).select("key", F.explode(F.array("u", "v")).alias("w")).distinct().select("key", *[F.lit(0).alias(c) for c in ("x", "y", "own")], "w.*")
+    # A larger bucket of b blocks is searched as b * (b + 1) / 2 pairs of blocks.
+    rows = rows.filter(F.col("m") > ONCE).withColumn("blocks", F.ceil(F.greatest(F.col("m") / block, F.col("tokens") / TOKENS)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "n")
-    return merged(roots, searched(fetch, rows, signs, percent, WHOLE, WHOLE))
+    return merged(roots, searched(fetch, rows.unionByName(met), signs, percent, WHOLE, WHOLE))
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, block: int = BLOCK) -> DataFrame:
