@@ -17,42 +17,53 @@ def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
 
 
-def brute(rows):
-    """Katz backoff straight from its definition."""
+def brute(rows, order=2):
+    """Katz backoff straight from its definition; a history is the tuple of the tokens before, "start" (0) included."""
     held = [zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d, _ in rows]
-    c1, c2 = Counter(), defaultdict(Counter)
+    c1, c = Counter(), {k: defaultdict(Counter) for k in range(2, order + 1)}
+
+    def histories(ts, at, k):
+        return tuple([0, *ts[:at]][-(k - 1) :])
+
     for (_, t), h in zip(rows, held):
         if not h:
-            before = 0
-            for w in tokens(t):
+            ts = tokens(t)
+            for at, w in enumerate(ts):
                 c1[w] += 1
-                c2[before][w] += 1
-                before = w
+                for k in c:
+                    c[k][histories(ts, at, k)][w] += 1
     n, v = sum(c1.values()), len(c1)
-    types = Counter(r for f in c2.values() for r in f.values())
-    d = katz.discounts(np.array([types[r] for r in range(1, katz.TOP + 2)]))
+    d = {}
+    for k in c:
+        types = Counter(r for f in c[k].values() for r in f.values())
+        d[k] = katz.discounts(np.array([types[r] for r in range(1, katz.TOP + 2)]))
     p1 = lambda w: (c1[w] + 0.1) / (n + 0.1 * (v + 1))
 
-    def p2(h, w):
-        f = c2.get(h)
-        if not f:
+    def p(k, h, w):
+        if k == 1:
             return p1(w)
-        kept = sum(r * (d[r] if r <= katz.TOP else 1) for r in f.values())
+        # The shorter history drops the word farthest away, if there are as many as the order allows.
+        lower = lambda x: p(k - 1, h[-(k - 2) :] if k > 2 else (), x)
+        f = c[k].get(h)
+        if not f:
+            return lower(w)
+        kept = sum(r * (d[k][r] if r <= katz.TOP else 1) for r in f.values())
         whole = sum(f.values())
         whole += kept >= whole
         if w in f:
-            return f[w] * (d[f[w]] if f[w] <= katz.TOP else 1) / whole
-        return (1 - kept / whole) / (1 - sum(map(p1, f))) * p1(w)
+            return f[w] * (d[k][f[w]] if f[w] <= katz.TOP else 1) / whole
+        return (1 - kept / whole) / (1 - sum(map(lower, f))) * lower(w)
 
     out = []
     for (doc, t), h in zip(rows, held):
-        s, b, before, known = 0.0, 0.0, 0, 0
-        for w in tokens(t):
-            s, b, known = s + math.log10(p2(before, w)), b + math.log10(p1(w)), known + (c1[w] > 0)
-            before = w
-        out.append((doc, h, len(tokens(t)), known, n, b, s))
-    for h in [0, None, *VOCAB[:20], "never"]:  # every history's distribution sums to one; the last place is for all unknown words
-        assert abs(sum(p2(h, w) for w in [*c1, "unknown"]) - 1) < 1e-9
+        s, b, known = 0.0, 0.0, 0
+        ts = tokens(t)
+        for at, w in enumerate(ts):
+            s, b, known = s + math.log10(p(order, histories(ts, at, order), w)), b + math.log10(p1(w)), known + (c1[w] > 0)
+        out.append((doc, h, len(ts), known, n, b, s))
+    for k in c:  # every history's distribution sums to one; the last place is for all unknown words
+        for h in [*list(c[k])[:25], ("never",) * (k - 1)]:
+            assert abs(sum(p(k, h, w) for w in [*c1, "unknown"]) - 1) < 1e-9
     return out
 
 
@@ -64,18 +75,30 @@ def rows():
     return [*out, (7, out[7][1]), (None, "w1 W2"), (400, None), (401, ""), (402, "w1\tw2 " * 4000), (403, "only here é")]
 
 
-@pytest.mark.parametrize("size", [katz.SLICE, 500])
-def test_scores_follow_brute_force(spark, size, monkeypatch):
-    data = rows()
+@pytest.mark.parametrize("size, order, hot", [(katz.SLICE, 2, katz.HOT), (500, 2, 100), (700, 3, 100)])
+def test_scores_follow_brute_force(spark, size, order, hot, monkeypatch):
+    data = [(d, t if t is None or len(t) < 9999 else t[: 15 * 40]) for d, t in rows()] if order > 2 else rows()
     monkeypatch.setattr(katz, "SLICE", size)
     docs = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, score string")
-    got = sorted(map(tuple, katz.score(docs).collect()), key=repr)
-    want = sorted(brute(data), key=repr)
+    got = sorted(map(tuple, katz.score(docs, order=order, hot=hot).collect()), key=repr)
+    want = sorted(brute(data, order), key=repr)
     assert [x[:5] for x in got] == [x[:5] for x in want]
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9)
     assert katz.score(docs.limit(0)).count() == 0
 
 
+def test_tables_hold_the_counts(spark):
+    docs = spark.createDataFrame([(k + 1 + (k == 9), t) for k, t in enumerate(["a b a b c", "a b", "c"])], "doc_id long, text string")
+    held = [zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in docs.collect()]
+    want = Counter()
+    for r, h in zip(docs.collect(), held):
+        if not h:
+            want.update(zip(["<s>", *r.text.split()], [*r.text.split(), "</s>"]))
+    (pairs,) = katz.tables(docs, hot=1)
+    assert sorted(r["count"] for r in pairs.collect()) == sorted(want.values())
+    assert pairs.filter("history = 0").count() == len({w for h, w in want if h == "<s>"})
+
+
 def test_packing():
     for arrays in ([np.arange(5, dtype=np.uint64) << np.uint64(60), np.zeros(0), np.array([1.5, -2.0])], [np.arange(300_000, dtype=np.uint32)]):
         back = katz.unpack(katz.pack(*arrays))
