@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 
 from textloom.llm import common
@@ -25,3 +26,24 @@ def test_fresh_names():
         columns = ["a", "_A", "b"]
 
     assert common.fresh(Frame, "A") == "__A"
+
+
+def test_hashed_words_are_the_words(monkeypatch):
+    import pyarrow as pa
+
+    from textloom.llm import common
+
+    texts = ["", "a b  A", " \t", "b", "Aé\x0bé a", "x" * 70 + " y", "a b"] * 9
+    column = common.compact(pa.array(["cut away", *texts], pa.large_string()).slice(1))
+    want = [t.split() for t in ["".join(c.lower() if c < "\x80" else c for c in t) for t in texts]]
+    found = []
+    for piece in (8, 1 << 18):
+        monkeypatch.setattr(common, "PIECE", piece)
+        bounds, h = common.hashed_words(column)
+        assert np.diff(bounds).tolist() == [len(w) for w in want]
+        found.append(h)
+    assert (found[0] == found[1]).all()
+    name = dict(zip([w for ws in want for w in ws], found[0].tolist()))
+    assert len(set(name.values())) == len(name) and [name[w] for ws in want for w in ws] == found[0].tolist()
+    bounds, h = common.hashed_words(pa.array([], pa.large_string()))
+    assert bounds.tolist() == [0] and not len(h)

@@ -36,20 +36,15 @@ WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LENGTH = np.uint64(0xD1342543DE82EF95)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes that are hashed at once; a longer word is hashed by itself.
+PIECE = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i for i below n at least; those of an ordinary slice are held."""
-    if len(_powers.get("up", ())) >= n:
-        return _powers["up"], _powers["down"]
-    size = max(n, SLICE_BYTES + (1 << 16))
-    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+    """BASE ** i and BASE ** -i for i below n."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
     up[0] = down[0] = 1
-    up, down = np.cumprod(up), np.cumprod(down)
-    if size <= 4 * SLICE_BYTES:
-        _powers["up"], _powers["down"] = up, down
-    return up, down
+    return np.cumprod(up), np.cumprod(down)
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +63,16 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = np.r_[inside[1:], False]
     after[at[1:][at[1:] > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(LETTER[data] * down[: len(data)], out=total[1:])
-    h = (total[end] - total[first]) * up[first] + (end - first).astype(np.uint64) * LENGTH
+    h = (end - first).astype(np.uint64) * LENGTH
+    short, k = powers(PIECE), 0
+    while k < len(h):
+        m = max(k + 1, int(np.searchsorted(end, first[k] + PIECE, "right")))
+        low, n = first[k], end[m - 1] - first[k]
+        up, down = short if n <= PIECE else powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(LETTER[data[low : low + n]] * down[:n], out=total[1:])
+        h[k:m] += (total[end[k:m] - low] - total[first[k:m] - low]) * up[first[k:m] - low]
+        k = m
     return np.searchsorted(first, at), mix(h)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_of, hashed_words, keep, mix, slices, table, texts_of
 
-ADD, TOP, SLICE = 0.1, 5, 12 << 20
+ADD, TOP, SLICE = 0.1, 5, 10 << 20
 #: Order of the registered query. Distinct trigrams of the test tables nearly equal their tokens: a third order would
 #: travel about as a second copy of the corpus.
 ORDER = 2
