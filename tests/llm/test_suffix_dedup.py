@@ -42,8 +42,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("length, anchor, chunk, block", [(40, 20, sd.CHUNK, sd.BLOCK), (40, 12, 2000, 400), (25, 25, 500, 1000)])
-def test_bytes_left_follow_brute_force(spark, length, anchor, chunk, block):
+@pytest.mark.parametrize("length, anchor, chunk, block, hot", [(40, 20, sd.CHUNK, sd.BLOCK, sd.HOT), (40, 12, 2000, 400, 20), (25, 25, 500, 1000, 1)])
+def test_bytes_left_follow_brute_force(spark, length, anchor, chunk, block, hot, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", hot)  # 1: no anchor is hot
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")
     out = sd.removed(docs, length, anchor, chunk=chunk, block=block).collect()
@@ -71,3 +72,10 @@ def test_production_length(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.removed(docs).collect()), key=repr)
     assert got == brute(rows, sd.LENGTH) and hashlib.sha256(got[0][4]).hexdigest()
+
+
+def test_query_carries_the_text_left(spark, tmp_path):
+    shared = "é" * 150 + prose(300)
+    spark.createDataFrame([(1, "ab" + shared + "ß"), (2, shared + "c"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: "abß", 2: "c", 3: ""}

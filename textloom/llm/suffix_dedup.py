@@ -34,6 +34,8 @@ from textloom.llm.common import keep, mix, slices, small, table
 LENGTH, ANCHOR = 400, 200
 #: Bytes of segments that are transformed at once, and of a block of a hot anchor.
 CHUNK, BLOCK = 1 << 20, 4 << 20
+#: Share of all rows above which an anchor is hot.
+HOT = 1000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LETTER = mix(np.arange(1, 257, dtype=np.uint64))
 PLACE = np.uint64((1 << 24) - 1)
@@ -189,8 +191,13 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col:
     shape = "anchor long, t1 long, t2 long, a long, b long, seg long"
     found = rows.select("text", "t1", "t2").mapInArrow(anchors, shape)
     found = keep(found.groupBy("anchor", "t1", "t2", "a", "b", "seg").agg(F.count(F.lit(1)).alias("m")), "anchors")
-    groups = found.groupBy("anchor").agg(F.sum("m").alias("total"), (F.min("seg") == F.max("seg")).alias("plain"), F.sum(F.col("b") - F.col("a") + length).alias("bytes")).filter("total >= 2")
-    open_ = keep(found.join(groups.drop("total"), "anchor"), "open")
+    groups = found.groupBy("anchor").agg(F.sum("m").alias("total"), (F.min("seg") == F.max("seg")).alias("plain"), F.sum(F.col("b") - F.col("a") + length).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    groups = keep(groups.filter("total >= 2").drop("total"), "groups")
+    # Anchors with over a HOT-th of all rows: fewer than HOT, so their facts are broadcast and their rows stay where they are.
+    is_hot = F.col("n") * HOT > found.count()
+    hot = F.broadcast(groups.filter(is_hot).drop("n"))
+    cold = found.join(hot.select("anchor"), "anchor", "left_anti").join(groups.filter(~is_hot).drop("n"), "anchor")
+    open_ = keep(found.join(hot, "anchor").unionByName(cold), "open")
     plain = open_.filter("plain").select("t1", "t2", "a", "b")
 
     # Bytes of one occurrence of each distinct segment of the anchors left.
@@ -277,7 +284,9 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Beside the digest the text that is left; bytes of a character that was cut stand there as U+FFFD."""
+    rows = removed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 __all__ = ["long_prefixes", "op5_suffix_dedup", "removed", "repeated_windows", "segments"]
