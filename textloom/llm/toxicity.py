@@ -1,8 +1,8 @@
 """Toxicity by classifier chains.
 
 Categories are predicted one after another by linear (logistic) models. Each later model also gets the probabilities of
-the categories before it; in training those come from models of other folds (out-of-fold), so that a later model never
-sees a probability that was fitted to its own row. Features are words and word beginnings of 3 to 7 letters,
+the categories before it; in training those come from models of other folds (out-of-fold), features included, so that a
+later model never sees a probability that was fitted to its own row; equal texts are in one fold. Features are words and word beginnings of 3 to 7 letters,
 chosen by how much more often they stand in texts of one class and scaled by their log-count ratio. The probability from
 which a document is toxic is the one that gives the out-of-fold predictions the best F1.
 
@@ -37,7 +37,8 @@ STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def categories() -> dict[str, Column]:
-    """In the order of the chain; over the columns quality and toxic of labels."""
+    """In the order of the chain; over the columns quality and toxic of labels. "severe" has no label of its own: toxic
+    and of low quality."""
     quality, toxic = F.coalesce(F.col("quality"), F.lit(1)), F.coalesce(F.col("toxic"), F.lit(0))
     return {"low_quality": quality == 0, "toxic": toxic == 1, "severe": (toxic == 1) & (quality == 0)}
 
@@ -168,44 +169,71 @@ class Chain:
         return self.predict(sparse(texts, self.features, cache))
 
 
-def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
-    """Chooses the features, then fits the categories in order; labels: 0 or 1 by category."""
-    n = len(texts)
-    runs = [(k, texts.slice(k, RUN_ROWS)) for k in range(0, n, RUN_ROWS)]
-    docs, inside = np.zeros(HASHED), {k: np.zeros(HASHED) for k in labels}
-    for first, part in runs:
-        rows = sparse(compact(part), None, {})
-        there = Rows(rows.bounds, rows.index, np.ones(len(rows.index)))
-        docs += there.back(np.ones(len(part)), HASHED)
-        for name, y in labels.items():
-            inside[name] += there.back(y[first : first + len(part)].astype(float), HASHED)
+def chosen(docs: np.ndarray, inside: dict[str, np.ndarray], n: int, pos: dict[str, int]) -> np.ndarray:
+    """Features by how much more often they stand in texts of one class; docs and inside count texts, all and positive."""
     worth = np.zeros(HASHED)
-    for name, y in labels.items():
-        pos = int(y.sum())
-        if 0 < pos < n:
+    for name, have in inside.items():
+        if 0 < pos[name] < n:
             share = docs / n
-            spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / pos + 1 / (n - pos)))
-            worth = np.maximum(worth, np.abs(inside[name] / pos - (docs - inside[name]) / (n - pos)) / spread)
+            spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / pos[name] + 1 / (n - pos[name])))
+            worth = np.maximum(worth, np.abs(have / pos[name] - (docs - have) / (n - pos[name])) / spread)
     worth[docs < LEAST_DOCS] = 0
     best = np.argsort(-worth, kind="stable")[:FEATURES]
-    best = best[worth[best] > 0]
-    chain = Chain(list(labels), {f: k for k, f in enumerate(best.tolist())})
+    return best[worth[best] > 0]
+
+
+def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
+    """Chooses the features, then fits the categories in order; labels: 0 or 1 by category. Equal texts are in one fold,
+    and a fold's own texts have no part in choosing the features of the models that predict it."""
+    n = len(texts)
+    runs = [(k, compact(texts.slice(k, RUN_ROWS))) for k in range(0, n, RUN_ROWS)]
+    fold = np.fromiter((zlib.crc32(t.as_py().encode()) % folds for _, part in runs for t in part), np.int64, n)
+    docs = np.zeros((folds, HASHED), np.int32)
+    inside = {k: np.zeros((folds, HASHED), np.int32) for k in labels}
+    for first, part in runs:
+        rows = sparse(part, None, {})
+        own = fold[first : first + len(part)]
+        for f in range(folds):
+            there = rows.take(np.flatnonzero(own == f))
+            docs[f] += np.bincount(there.index, minlength=HASHED).astype(np.int32)
+            for name, y in labels.items():
+                there = rows.take(np.flatnonzero((own == f) & (y[first : first + len(part)] == 1)))
+                inside[name][f] += np.bincount(there.index, minlength=HASHED).astype(np.int32)
+
+    def choice(used: np.ndarray) -> np.ndarray:
+        at = np.isin(fold, used)
+        return chosen(docs[used].sum(axis=0), {k: v[used].sum(axis=0) for k, v in inside.items()}, int(at.sum()), {k: int(y[at].sum()) for k, y in labels.items()})
+
+    best = choice(np.arange(folds))
+    others = [choice(np.flatnonzero(np.arange(folds) != f)) for f in range(folds)]
+    del docs, inside
+    # Features of all models, those of the chain first.
+    known = {f: k for k, f in enumerate(dict.fromkeys(np.concatenate([best, *others]).tolist()))}
     cache: dict[str, tuple[int, ...]] = {}
-    parts = [sparse(compact(part), chain.features, cache) for _, part in runs]
+    parts = [sparse(part, known, cache) for _, part in runs]
     starts = np.r_[0, np.cumsum([len(p.index) for p in parts], dtype=np.int64)]
     bounds = np.concatenate([np.zeros(1, np.int64), *[p.bounds[1:] + a for p, a in zip(parts, starts, strict=False)]])
     rows = Rows(bounds, np.concatenate([np.zeros(0, np.int64), *[p.index for p in parts]]), np.concatenate([np.zeros(0), *[p.value for p in parts]]))
-    width = max(1, len(best))
-    fold = np.arange(n) % folds
+    width = max(1, len(known))
+
+    def only(features: np.ndarray) -> Rows:
+        mask = np.zeros(width, bool)
+        mask[[known[f] for f in features.tolist()]] = True
+        stays = mask[rows.index]
+        return Rows(np.r_[0, np.cumsum(stays)][rows.bounds], rows.index[stays], rows.value[stays])
+
+    chain = Chain(list(labels), {f: k for k, f in enumerate(best.tolist())})
+    whole, seen = only(best), [only(x) for x in others]
     before = np.zeros((n, 0))
     for y in labels.values():
         y = y.astype(float)
-        chain.models.append(fit_linear(rows, before, y, width))
+        model = fit_linear(whole, before, y, width)
+        chain.models.append(Linear(model.weights[: max(1, len(best))], model.before, model.bias))
         out = np.zeros(n)
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if len(train) and len(test):
-                out[test] = fit_linear(rows.take(train), before[train], y[train], width).predict(rows.take(test), before[test])
+                out[test] = fit_linear(seen[k].take(train), before[train], y[train], width).predict(seen[k].take(test), before[test])
         chain.thresholds.append(best_threshold(out, y))
         before = np.c_[before, out]
     return chain
