@@ -171,15 +171,15 @@ class Chain:
 
 def chosen(docs: np.ndarray, inside: dict[str, np.ndarray], n: int, pos: dict[str, int]) -> np.ndarray:
     """Features by how much more often they stand in texts of one class; docs and inside count texts, all and positive."""
-    worth = np.zeros(HASHED)
+    there = np.flatnonzero(docs >= LEAST_DOCS)
+    docs, worth = docs[there].astype(float), np.zeros(len(there))
     for name, have in inside.items():
         if 0 < pos[name] < n:
-            share = docs / n
+            have, share = have[there].astype(float), docs / n
             spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / pos[name] + 1 / (n - pos[name])))
             worth = np.maximum(worth, np.abs(have / pos[name] - (docs - have) / (n - pos[name])) / spread)
-    worth[docs < LEAST_DOCS] = 0
     best = np.argsort(-worth, kind="stable")[:FEATURES]
-    return best[worth[best] > 0]
+    return there[best[worth[best] > 0]]
 
 
 def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
@@ -188,21 +188,22 @@ def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS
     n = len(texts)
     runs = [(k, compact(texts.slice(k, RUN_ROWS))) for k in range(0, n, RUN_ROWS)]
     fold = np.fromiter((zlib.crc32(t.as_py().encode()) % folds for _, part in runs for t in part), np.int64, n)
-    docs = np.zeros((folds, HASHED), np.int32)
-    inside = {k: np.zeros((folds, HASHED), np.int32) for k in labels}
+    count = np.min_scalar_type(n)  # two bytes for up to 65,535 texts
+    docs = np.zeros((folds, HASHED), count)
+    inside = {k: np.zeros((folds, HASHED), count) for k in labels}
     for first, part in runs:
         rows = sparse(part, None, {})
         own = fold[first : first + len(part)]
         for f in range(folds):
             there = rows.take(np.flatnonzero(own == f))
-            docs[f] += np.bincount(there.index, minlength=HASHED).astype(np.int32)
+            docs[f] += np.bincount(there.index, minlength=HASHED).astype(count)
             for name, y in labels.items():
                 there = rows.take(np.flatnonzero((own == f) & (y[first : first + len(part)] == 1)))
-                inside[name][f] += np.bincount(there.index, minlength=HASHED).astype(np.int32)
+                inside[name][f] += np.bincount(there.index, minlength=HASHED).astype(count)
 
     def choice(used: np.ndarray) -> np.ndarray:
         at = np.isin(fold, used)
-        return chosen(docs[used].sum(axis=0), {k: v[used].sum(axis=0) for k, v in inside.items()}, int(at.sum()), {k: int(y[at].sum()) for k, y in labels.items()})
+        return chosen(docs[used].sum(axis=0, dtype=count), {k: v[used].sum(axis=0, dtype=count) for k, v in inside.items()}, int(at.sum()), {k: int(y[at].sum()) for k, y in labels.items()})
 
     best = choice(np.arange(folds))
     others = [choice(np.flatnonzero(np.arange(folds) != f)) for f in range(folds)]
