@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -158,6 +159,14 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(s) for s in strings.cast(pa.large_binary()).to_pylist()), np.uint64, len(strings))
 
 
+def give_back() -> None:
+    """Hands memory that was freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def doc_of(bounds: np.ndarray) -> np.ndarray:
     """For each word, the number of its text."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

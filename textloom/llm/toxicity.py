@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import compact, doc_of, gather, slices, table, texts_of, words_of
+from textloom.llm.common import compact, doc_of, gather, give_back, slices, table, texts_of, words_of
 
 TRAIN_ROWS, FEATURES, LEAST_DOCS, FOLDS, ROUNDS, L2 = 6_000, 6_000, 6, 3, 200, 1e-3
 #: Lengths of word beginnings, and letters of a word that count.
@@ -224,7 +224,7 @@ def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS
         return Rows(np.r_[0, np.cumsum(stays)][rows.bounds], rows.index[stays], rows.value[stays])
 
     chain = Chain(list(labels), {f: k for k, f in enumerate(best.tolist())})
-    whole, seen = only(best), [only(x) for x in others]
+    whole = only(best)
     before = np.zeros((n, 0))
     for y in labels.values():
         y = y.astype(float)
@@ -234,7 +234,8 @@ def fit_chain(texts: pa.Array, labels: dict[str, np.ndarray], folds: int = FOLDS
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if len(train) and len(test):
-                out[test] = fit_linear(seen[k].take(train), before[train], y[train], width).predict(seen[k].take(test), before[test])
+                seen = only(others[k])
+                out[test] = fit_linear(seen.take(train), before[train], y[train], width).predict(seen.take(test), before[test])
         chain.thresholds.append(best_threshold(out, y))
         before = np.c_[before, out]
     return chain
@@ -248,8 +249,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most train_rows rows of an id and a few bits.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(train_rows)
     found = rows.toArrow()
+    known = {k: pc.fill_null(found[f"_{k}"], 0).to_numpy() for k in kinds}
     texts = pc.fill_null(found["_text"].combine_chunks().cast(pa.large_string()), "")
-    return fit_chain(texts, {k: pc.fill_null(found[f"_{k}"], 0).to_numpy() for k in kinds})
+    del found
+    chain = fit_chain(texts, known)
+    del texts
+    give_back()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", reject: float | None = None) -> DataFrame:
