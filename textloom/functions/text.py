@@ -206,11 +206,19 @@ def p_true(text: Column, knowledge: Column, prior: Column, conflict: Column) ->
 
 
 def properties(members: Column) -> Column:
-    """SC47: flags by what any member contains."""
-    def some(*parts):
-        return F.exists(members, lambda m: any_of(F.lower(m), parts))
-
-    return F.struct(some("fund", "invest", "donat").alias("financial"), some("teach", "learn", "educat").alias("knowledge_transfer"), some("creat", "found", "build").alias("creative"), some("caus", "lead", "result").alias("causal"))
+    """SC47: flags by what any member contains, in capitals."""
+    # Parts of relation names by property.
+    parts = {
+        "financial": ("FUND", "FINANC", "INVEST"),
+        "knowledge_transfer": ("TEACH", "MENTOR", "EDUCAT"),
+        "creative": ("CREATE", "PRODUCE", "BUILD"),
+        "causal": ("CAUSE", "LEAD", "RESULT"),
+        "attributive": ("HAS_", "CONTAIN", "POSSESS"),
+    }
+    def some(values):
+        return F.exists(members, lambda m: any_of(m, values))
+
+    return F.struct(*[some(v).alias(k) for k, v in parts.items()])
 
 
 def best_window(text: Column, words: Column, width: int = 500) -> Column:

@@ -153,3 +153,31 @@ def analyze_query(text: Column, technical: list[str]) -> Column:
     words = F.size(F.split(F.trim(t), r"\s+"))
     many = F.size(F.filter(F.array(*[F.lit(x) for x in technical]), lambda x: F.contains(t, x)))
     return F.when(t.rlike(r"episode\s*\d+"), "keyword_heavy").when(many >= 2, "keyword_heavy").when((words > 8) | t.contains("?"), "semantic_heavy").otherwise("hybrid")
+
+
+def rerank(found: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """RK12: the 2k rows before the cut in the order of a model's scores (doc_id, model_score); rows without one last."""
+    rows = found.join(scores, "doc_id", "left")
+    return top(rows, k, F.desc_nulls_last("model_score"), F.desc("score"), F.asc("doc_id"))
+
+
+def retrieve(method: str, keyword: DataFrame, semantic: DataFrame, category: DataFrame, k: int = 10, scores: DataFrame | None = None) -> DataFrame:
+    """RK11, RK13: (doc_id, score) by "bm25", "semantic" or "hybrid" (ranked lists fused, category first, reranked if
+    there are scores and over k rows); "auto" is hybrid where there is a category list."""
+    if method not in ("auto", "bm25", "semantic", "hybrid"):
+        raise ValueError(f"no such method: {method}")
+    if method == "auto":
+        method = "bm25" if category.isEmpty() else "hybrid"
+    if method != "hybrid":
+        return top({"bm25": keyword, "semantic": semantic}[method].select("doc_id", "score"), k, F.desc("score"), F.asc("doc_id"))
+    order = [F.desc("is_category"), F.desc("score"), F.asc("doc_id")]
+    fused = category_first(keyword, semantic, category).withColumn("score", F.round("score", 8))
+    if scores is None:
+        return top(fused, k, *order).select("doc_id", "score")
+    return rerank(top(fused, 2 * k, *order), scores, k).select("doc_id", "score")
+
+
+def recommendations(found: DataFrame, k: int = 3) -> DataFrame:
+    """RK17: of the best 2k rows (source, doc_id, score) the first of each source, k at most."""
+    order = [F.desc("score"), F.asc("doc_id")]
+    return keep_first(top(found, 2 * k, *order), ["source"], *order, most=k)

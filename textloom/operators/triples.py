@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import any_of
 
-AUTHORSHIP = ("authored", "wrote", "penned", "published", "edited", "created", "composed", "written by")
-FIGURATIVE = ("sacred", "magic", "spiritual", "divine", "soul", "spirit", "mystical", "holy", "heart of", "essence", "dance", "symphony", "tapestry", "journey", "compass", "beacon", "cathedral", "temple")
-BAD_ENDS = ("and", "of", "the", "to", "for", "with", "in", "on", "by")
+# Predicates of authorship, words that end no title, figurative words, abstract nouns, generic words.
+AUTHORSHIP = ("authored", "wrote", "published", "created", "composed", "edited", "compiled", "produced")
+BAD_ENDS = ("and", "or", "but", "to", "for", "with", "by", "in", "on", "at", "of", "the", "a", "an")
+FIGURATIVE = ("sacred", "magic", "magical", "mystical", "spiritual", "alchemy", "divine", "blessed", "holy", "sanctity", "touch of god", "god's touch", "miracle", "miraculous", "soul", "spirit", "essence", "nexus")
+ABSTRACT = ("compass", "journey", "quest", "adventure", "path", "gateway", "portal", "door", "key", "bridge")
+GENERIC = ("it", "this", "that", "these", "those", "thing", "stuff", "way", "method")
 LOOPS = ("influences", "supports", "relates to", "contains")
-GENERIC = ("it", "this", "that", "they", "thing", "things", "something", "people", "stuff")
 
 
 def flag(df: DataFrame, name: str, when: Column, factor: float | None = None) -> DataFrame:
@@ -59,7 +61,9 @@ def context(df: DataFrame) -> DataFrame:
 
 def figurative(df: DataFrame) -> DataFrame:
     """PP7."""
-    return flag(df, "figurative", any_of(F.lower("target"), FIGURATIVE), 0.6)
+    low = F.lower("target")
+    said = F.lower("relationship").isin("is a", "is the", "is-a") & any_of(low, ABSTRACT)
+    return flag(df, "figurative", any_of(low, FIGURATIVE) | said, 0.6)
 
 
 def issues(df: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def issues(df: DataFrame) -> DataFrame:
     bare_number = F.col("target").rlike(r"^[0-9.,]+%?$")
     words = F.split(F.lower("target"), " +")
     there = F.size(F.filter(words, lambda w: F.contains(F.lower("evidence"), w))) / F.size(words)
-    found = F.array(F.when(bare_number, F.lit("number without context")), F.when(F.lower("source").isin(*GENERIC), F.lit("generic entity")), F.when(F.lower("source") == F.lower("target"), F.lit("odd")), F.when(there < 0.7, F.lit("not in evidence")))
+    found = F.array(F.when(bare_number, F.lit("number without context")), F.when(F.lower(F.trim("source")).isin(*GENERIC) | (F.length("source") < 3), F.lit("generic entity")), F.when(F.lower("source") == F.lower("target"), F.lit("odd")), F.when(there < 0.7, F.lit("not in evidence")))
     return df.withColumn("issues", F.array_compact(found))
 
 
