@@ -5,6 +5,7 @@ Each round is stored in the shared checkpoint folder, so that lineage stays shor
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
+    """df, written into the folder that all executors share and read again; in local mode a new folder will do."""
     spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     path = f"{path.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -55,11 +59,11 @@ def shortest_path(edges: DataFrame, a: str, b: str, most: int = 6) -> DataFrame:
     return hit
 
 
-def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """GR9: (id, component), the least id that undirected links reach, by label propagation with pointer jumping."""
     links = both_ways(edges).select("src", "dst").distinct()
     label = stored(links.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(most):
+    while True:
         near = links.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         new = label.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
@@ -67,15 +71,14 @@ def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
         changed = not new.exceptAll(label).isEmpty()
         label = new
         if not changed:
-            break
-    return label
+            return label
 
 
-def cycle_nodes(edges: DataFrame, most: int = 100) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
     """GR10: nodes left when nodes without incoming or outgoing edges are peeled off until nothing changes."""
     left = stored(edges.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(most):
+    while True:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         left = stored(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         now = left.count()

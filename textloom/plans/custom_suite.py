@@ -34,14 +34,17 @@ def shortest_path(spark, sf):
     return G.shortest_path(edges(spark, sf), "s1", "r2", 4).select("hops")
 
 
-@query("connected_components", "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(DISTINCT l_partkey) FROM lineitem) AS nodes, 1 AS components")
+@query("connected_components", "WITH e AS (SELECT concat('c', c_custkey) AS c, concat('n', c_nationkey) AS n FROM customer), l AS (SELECT n, min(c) AS low FROM e GROUP BY n) SELECT c AS id, low AS component FROM e JOIN l USING (n) UNION ALL SELECT n, low FROM l")
 def connected_components(spark, sf):
-    return G.connected_components(edges(spark, sf)).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("component").cast("int").alias("components"))
+    # Customers and their nations: a component for each nation.
+    return G.connected_components(edges(spark, sf).filter("src LIKE 'c%'"))
 
 
-@query("cycle_nodes", "SELECT DISTINCT concat('n', n_nationkey) AS id FROM nation WHERE false")
+@query("cycle_nodes", "SELECT concat('n', n_nationkey) AS id FROM nation WHERE n_nationkey < 5")
 def cycle_nodes(spark, sf):
-    return G.cycle_nodes(edges(spark, sf))
+    # Five nations in a circle; all else leads into it or out of it.
+    circle = table(spark, sf, "nation").filter("n_nationkey < 5").selectExpr("concat('n', n_nationkey) AS src", "concat('n', (n_nationkey + 1) % 5) AS dst", "'NEXT' AS type")
+    return G.cycle_nodes(edges(spark, sf).unionByName(circle))
 
 
 @query("hierarchy_paths", "SELECT concat('n', n_nationkey) AS id, 1 AS depth, concat('r', n_regionkey, '/n', n_nationkey) AS path FROM nation UNION ALL SELECT concat('r', r_regionkey), 0, concat('r', r_regionkey) FROM region")

@@ -228,6 +228,60 @@ def category_fallback(spark, sf):
     return S.jaccard_match(["red", "bolt", "economy"], rows, 0.2, 15).withColumn("score", F.round("score", 6))
 
 
+# --- aggregates that keep lists
+@query("entity_unions", "SELECT key, type, array_to_string(list_sort(list_distinct(list(p_size))), ',') AS episodes, arg_max(p_name, length(p_name) * 1000000000 - p_partkey) AS description, count(*) AS mention_count, count(DISTINCT p_size) AS episode_count FROM (SELECT lower(p_type) AS key, p_brand AS type, p_size, p_name, p_partkey FROM part) t GROUP BY key, type")
+def entity_unions(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_type").alias("name"), F.col("p_brand").alias("type"), F.col("p_size").alias("episode"), F.col("p_name").alias("description"), F.col("p_partkey").alias("seq"))
+    return R.merge_entities(rows).withColumn("episodes", F.array_join(F.col("episodes").cast("array<string>"), ","))
+
+
+@query("variant_sets", "SELECT lower(p_type) AS key, array_to_string(list_sort(list_distinct(list(v))), ',') AS variants, count(*) AS n FROM (SELECT p_type, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE lower(p_type) END AS v FROM part) t GROUP BY 1")
+def variant_sets(spark, sf):
+    v = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
+    return table(spark, sf, "part").groupBy(F.lower("p_type").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(v)), ",").alias("variants"), F.count(F.lit(1)).alias("n"))
+
+
+@query("first_titles", "SELECT source, lang, count(*) AS n, arg_min(substr(text, 1, 40), doc_id) AS title FROM documents GROUP BY 1, 2")
+def first_titles(spark, sf):
+    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.substring("text", 1, 40), "doc_id").alias("title"))
+
+
+@query("stratified_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, (SELECT count(DISTINCT source) FROM documents) AS g FROM documents) t WHERE k <= 100 // g")
+def stratified_sample(spark, sf):
+    docs = table(spark, sf, "documents").select("source", "doc_id")
+    groups = docs.agg(F.count_distinct("source").alias("g"))
+    rows = S.ranked(docs, F.asc("doc_id"), partition=["source"]).crossJoin(F.broadcast(groups))  # one row
+    return rows.filter(F.col("rank") < F.floor(F.lit(100) / F.col("g"))).select("source", "doc_id")
+
+
+@query("viz_counts", "SELECT 'type' AS kind, p_type AS name, count(*) AS n FROM part GROUP BY p_type UNION ALL SELECT 'domain', d, count(*) FROM (SELECT unnest(CASE WHEN p_size > 25 THEN [p_brand, 'big'] ELSE [p_brand] END) AS d FROM part) t GROUP BY d")
+def viz_counts(spark, sf):
+    part = table(spark, sf, "part")
+    own = F.when(F.col("p_size") > 25, F.array("p_brand", F.lit("big"))).otherwise(F.array("p_brand"))
+    count = lambda df, kind: df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+    return count(part.select(F.col("p_type").alias("name")), "type").unionByName(count(part.select(F.explode(own).alias("name")), "domain"))
+
+
+@query("cache_keys", "SELECT p_partkey, sha1(concat(sha1(concat(p_name, '|', p_brand)), '|', 'v1', '|', substr(sha1(p_type), 1, 8))) AS cache_key FROM part")
+def cache_keys(spark, sf):
+    uid = F.sha1(F.concat_ws("|", "p_name", "p_brand"))
+    return table(spark, sf, "part").select("p_partkey", F.sha1(F.concat_ws("|", uid, F.lit("v1"), F.substring(F.sha1("p_type"), 1, 8))).alias("cache_key"))
+
+
+@query("category_ids", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label ORDER BY n DESC, label LIMIT 2) SELECT array_to_string(list_sort(list(vec_id)), ',') AS ids, count(*) AS n FROM embeddings WHERE label IN (SELECT label FROM c)")
+def category_ids(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    best = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(2)
+    found = rows.join(F.broadcast(best.select("label")), "label", "left_semi")
+    return found.agg(F.array_join(F.array_sort(F.collect_set("vec_id")).cast("array<string>"), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+@query("positive_scores", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE round(score, 6) > 0")
+def positive_scores(spark, sf):
+    found = S.bm25(table(spark, sf, "documents"), ["the", "and", "with", "this"])
+    return found.select("doc_id", F.round("score", 6).alias("score")).filter("score > 0")
+
+
 # --- retrieval methods
 FUSED = f"{BM25}, {KW}, {SEM}, {CAT}, fused AS (SELECT doc_id, round(sum(s), 8) AS score, bool_or(c) AS is_category FROM (SELECT doc_id, 0.15 / (61 + rank) AS s, false AS c FROM kw UNION ALL SELECT doc_id, 0.25 / (61 + rank), false FROM sem UNION ALL SELECT doc_id, 0.6 / (61 + rank), true FROM cat) GROUP BY doc_id)"
 

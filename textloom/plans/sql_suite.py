@@ -29,11 +29,11 @@ DOCID = "concat('episode ', CAST(doc_id AS STRING))"
 SQL: dict[str, tuple[str, str]] = {
     # --- filters and projections
     "metadata_filter": ("FLT1 FLT12", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')"),
-    "substring_filter": ("FLT2 TK3", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('EN')) ORDER BY p_retailprice DESC, p_partkey LIMIT 20"),
+    "substring_filter": ("FLT2 TK3", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('OLD')) ORDER BY p_retailprice DESC, p_partkey LIMIT 20"),
     "type_filter": ("FLT3", "SELECT p_partkey, p_type, p_retailprice FROM part WHERE p_type = (SELECT min(p_type) FROM part) ORDER BY p_retailprice DESC, p_partkey LIMIT 50"),
     "common_entities": ("FLT4", "SELECT a.l_partkey AS part FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 1) a JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 2) b ON a.l_partkey = b.l_partkey"),
     "viz_filter": ("FLT5", f"WITH {EDGES}, top AS (SELECT p_partkey, concat('p', p_partkey) AS id FROM part WHERE p_retailprice >= 900 AND p_size IN (1, 2, 3, 4, 5, 6, 7, 8) ORDER BY p_retailprice DESC, p_partkey LIMIT 100) SELECT src, dst FROM edges WHERE type = 'SUPPLIES' AND dst IN (SELECT id FROM top)"),
-    "confidence_buckets": ("FLT8 FLT6 FLT7", "SELECT CASE WHEN l_discount >= 0.075 THEN 'high' WHEN l_discount >= 0.05 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n FROM lineitem WHERE l_discount > 0 GROUP BY 1"),
+    "confidence_buckets": ("FLT8", "SELECT CASE WHEN l_discount >= 0.075 THEN 'high' WHEN l_discount >= 0.05 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n FROM lineitem WHERE l_discount > 0 GROUP BY 1"),
     "type_violations": ("FLT9 FLT10", f"WITH {EDGES}, {NODES}, rules AS (SELECT 'LOCATED_IN' AS type, 'Customer' AS s, 'Nation' AS t UNION ALL SELECT 'PART_OF', 'Nation', 'Region' UNION ALL SELECT 'SUPPLIES', 'Supplier', 'Part') SELECT e.type, x.type AS source_type, y.type AS target_type, count(*) AS n, CAST(sum(CASE WHEN r.type IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM edges e JOIN nodes x ON e.src = x.id JOIN nodes y ON e.dst = y.id LEFT JOIN rules r ON r.type = e.type AND r.s = x.type AND r.t = y.type GROUP BY 1, 2, 3"),
     "min_degree_subgraph": ("FLT11", f"WITH {EDGES}, {BOTH}, keepers AS (SELECT a FROM both_ways GROUP BY a HAVING count(*) >= 20) SELECT src, dst, type FROM edges WHERE src IN (SELECT a FROM keepers) AND dst IN (SELECT a FROM keepers)"),
     "previews": ("FLT13 RK19", "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS preview, coalesce(lang, 'unknown') AS lang FROM documents"),
@@ -60,7 +60,7 @@ SQL: dict[str, tuple[str, str]] = {
     "chapter_range": ("JN21 SC50", "SELECT p_partkey, p_size, c.chapter FROM part JOIN (SELECT 1 AS chapter, 0 AS lo, 10 AS hi UNION ALL SELECT 2, 11, 25 UNION ALL SELECT 3, 26, 1000) c ON p_size BETWEEN c.lo AND c.hi"),
     # --- aggregates
     "category_counts": ("AG4 AG12", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY 2 DESC, 1"),
-    "entity_merge": ("AG5 AG7 WN9", "SELECT lower(trim(p_type)) AS k, count(*) AS mention_count, count(DISTINCT p_brand) AS brands, max(length(p_name)) AS longest FROM part GROUP BY 1"),
+    "entity_merge": ("WN9", "SELECT lower(trim(p_type)) AS k, count(*) AS mention_count, count(DISTINCT p_brand) AS brands, max(length(p_name)) AS longest FROM part GROUP BY 1"),
     "edge_dedup": ("AG6 AG8", "SELECT l_suppkey, l_partkey, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1, 2"),
     "importance": ("AG9", f"WITH {EDGES}, d AS (SELECT dst AS id, count(*) AS connections FROM edges GROUP BY 1), m AS (SELECT concat('p', l_partkey) AS id, count(*) AS mentions, count(DISTINCT l_orderkey) AS episodes FROM lineitem GROUP BY 1) SELECT m.id, CAST(round(0.3 * mentions + 0.4 * episodes + 0.3 * coalesce(connections, 0), 2) AS DOUBLE) AS importance FROM m LEFT JOIN d ON m.id = d.id"),
     "importance_variants": ("AG10 AG11", "SELECT l_partkey, count(DISTINCT l_orderkey) * 10 + count(*) AS by_episodes, least(CAST(count(*) AS DOUBLE) / 10, 1) AS by_mentions FROM lineitem GROUP BY 1"),
@@ -92,7 +92,7 @@ SQL: dict[str, tuple[str, str]] = {
     "neighbours": ("WN5 WN6", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations"),
     "chunk_index": ("WN7", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS chunk_total FROM conversations"),
     "every_nth": ("WN10", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, (SELECT count(*) FROM documents) AS n FROM documents) x WHERE (rn - 1) % CAST(floor(n / 20.0) AS BIGINT) = 0 ORDER BY doc_id LIMIT 20"),
-    "zscore": ("WN12", "SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () * 500, 4) + 0.0 AS z FROM supplier"),
+    "zscore": ("WN12", "SELECT s_suppkey, round((s_acctbal - m) / s * 500, 4) + 0.0 AS z FROM supplier CROSS JOIN (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier) t"),
     "recency_bonus": ("WN13 RK18", "SELECT conv_id, turn, CAST((count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1) * 2 AS BIGINT) AS bonus FROM conversations"),
     "worst_share": ("WN14", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rn, (SELECT count(*) FROM lineitem) AS n FROM lineitem) x WHERE rn <= greatest(50, floor(n / 20.0))"),
     "window_frames": ("extension", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s FROM events"),
@@ -121,7 +121,7 @@ SQL: dict[str, tuple[str, str]] = {
     "entity_details": ("GR1", f"WITH {EDGES}, {NODES}, {BOTH} SELECT n.id, n.name, count(w.b) AS degree FROM nodes n LEFT JOIN both_ways w ON n.id = w.a WHERE n.id = 'n3' GROUP BY 1, 2"),
     "related_1hop": ("GR2", f"WITH {EDGES}, {NODES} SELECT n.id, n.type, e.type AS relation FROM edges e JOIN nodes n ON e.dst = n.id WHERE e.src = 's1' ORDER BY n.id LIMIT 20"),
     "related_2hop": ("GR3", f"WITH {EDGES}, hops AS (SELECT dst AS id, 1 AS h FROM edges WHERE src = 's1' UNION ALL SELECT b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 's1') SELECT id, min(h) AS min_hops FROM hops GROUP BY 1"),
-    "neighborhood": ("GR5 GR7", f"WITH {EDGES}, {BOTH}, near AS (SELECT 'r1' AS id UNION SELECT b FROM both_ways WHERE a = 'r1' UNION SELECT y.b FROM both_ways x JOIN both_ways y ON x.b = y.a WHERE x.a = 'r1') SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)"),
+    "neighborhood": ("GR5 GR7", f"WITH {EDGES}, {BOTH}, first AS (SELECT DISTINCT b AS id FROM both_ways WHERE a = 'r1'), second AS (SELECT DISTINCT b AS id FROM both_ways WHERE a IN (SELECT id FROM first)), near AS (SELECT 'r1' AS id UNION SELECT id FROM first UNION SELECT id FROM second) SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)"),
     "timeline": ("GR8", "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS mentions FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = 7 GROUP BY 1"),
     "sync_check": ("GR14", "SELECT (SELECT count(*) FROM documents) AS extracted, (SELECT count(DISTINCT doc_id) FROM documents) AS pages, (SELECT count(*) FROM documents) = (SELECT count(DISTINCT doc_id) FROM documents) AS in_step"),
     "graph_nodes": ("GR13 GR15 SRC12", f"WITH {NODES} SELECT id, type, substr(name, 1, 500) AS description, CAST(0.8 AS DOUBLE) AS importance FROM nodes"),
