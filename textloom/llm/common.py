@@ -167,6 +167,18 @@ def give_back() -> None:
         trim(0)
 
 
+def released(f):
+    """f, a function of batches for mapInArrow; a worker, which later stages use again, hands back its memory at the end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def doc_of(bounds: np.ndarray) -> np.ndarray:
     """For each word, the number of its text."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

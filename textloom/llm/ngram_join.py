@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, hashed_words, keep, mix, row_key, slices, small, table, texts_of, without
+from textloom.llm.common import fresh, hashed_words, keep, mix, released, row_key, slices, small, table, texts_of, without
 from textloom.llm.components import components
 
 #: Counters of the sketch, and of a row in which they travel.
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["piece", "seen"])
 
     shape = "piece long, seen binary"
-    each = docs.select(text_col).mapInArrow(count, shape)
+    each = docs.select(text_col).mapInArrow(released(count), shape)
     total = np.zeros((SLOTS // PIECE, PIECE), np.int64)
     for row in each.repartition("piece").mapInArrow(add, shape).collect():  # SLOTS counters in all
         total[row.piece] = np.frombuffer(row.seen, "<i8")
@@ -370,7 +370,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(as_long(kinds)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), pa.array([signature(s) for s in sets], pa.binary())], names=["doc_id", "row_key", "class", "n", "keys", "bits"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), row_key(text_col).alias("row_key"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, class long, n long, keys array<long>, bits binary")
+    return rows.mapInArrow(released(run), "doc_id long, row_key long, class long, n long, keys array<long>, bits binary")
 
 
 def shared_only(batches):
@@ -409,7 +409,7 @@ def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str,
     i, r = fresh(docs, "_set_id"), fresh(docs, "_set_key")
     chosen = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias(i), F.col("row_key").alias(r))).alias("x")).select("x.*").distinct()
     rows = docs.select(F.col(text_col), F.coalesce(F.col(id_col), F.lit(0)).alias(i), row_key(text_col).alias(r))
-    sets = rows.join(F.broadcast(chosen) if few else chosen, [i, r], "left_semi").select(text_col).mapInArrow(run, "class long, tokens array<long>")
+    sets = rows.join(F.broadcast(chosen) if few else chosen, [i, r], "left_semi").select(text_col).mapInArrow(released(run), "class long, tokens array<long>")
     return keep(sets.groupBy("class").agg(F.any_value("tokens").alias("tokens")), "sets")
 
 
@@ -466,9 +466,9 @@ def searched(fetch, rows: DataFrame, signs: DataFrame, percent: int, most_rows:
         return df.repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "n", "class")
 
     rows = dealt(rows.select("key", "x", "y", "own", "class", "root", "n")).mapInArrow(lambda b: sized(b, most_rows, most_bytes, percent), shape)
-    met = keep(dealt(rows.join(signs, "class").select("key", "x", "y", "own", "class", "root", "n", "bits")).mapInArrow(lambda b: meeting(b, most_rows, most_bytes, percent), shape), "met")
+    met = keep(dealt(rows.join(signs, "class").select("key", "x", "y", "own", "class", "root", "n", "bits")).mapInArrow(released(lambda b: meeting(b, most_rows, most_bytes, percent)), shape), "met")
     sets = fetch(keep(met.select("class").distinct(), "wanted"))
-    return keep(dealt(met.join(sets, "class")).mapInArrow(lambda b: joining(b, most_rows, most_bytes, percent), "u long, v long"), "links")
+    return keep(dealt(met.join(sets, "class")).mapInArrow(released(lambda b: joining(b, most_rows, most_bytes, percent)), "u long, v long"), "links")
 
 
 def open_rows(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:

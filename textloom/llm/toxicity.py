@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import compact, doc_of, gather, give_back, slices, table, texts_of, words_of
+from textloom.llm.common import compact, doc_of, gather, give_back, released, slices, table, texts_of, words_of
 
 TRAIN_ROWS, FEATURES, LEAST_DOCS, FOLDS, ROUNDS, L2 = 6_000, 6_000, 6, 3, 200, 1e-3
 #: Lengths of word beginnings, and letters of a word that count.
 PREFIXES, WORD = (3, 4, 5, 6, 7), 40
 #: Features are told apart by a hash of so many values; training texts are read in runs of so many rows.
 HASHED, RUN_ROWS = 1 << 21, 256
+#: Words whose features a scoring task remembers.
+CACHED = 200_000
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -268,11 +270,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         cache: dict[str, tuple[int, ...]] = {}
         for batch in slices(batches, text_col):
             p = chain.predict_texts(texts_of(batch, text_col), cache)
-            if len(cache) > 1_000_000:
+            if len(cache) > CACHED:
                 cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, at] >= reject)], names=["doc_id", *names, "toxic"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id long, {', '.join(f'{n} double' for n in names)}, toxic boolean")
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"doc_id long, {', '.join(f'{n} double' for n in names)}, toxic boolean")
 
 
 def clean(docs: DataFrame, chain: Chain, text_col: str = "text", reject: float | None = None) -> DataFrame:
@@ -284,11 +286,11 @@ def clean(docs: DataFrame, chain: Chain, text_col: str = "text", reject: float |
         cache: dict[str, tuple[int, ...]] = {}
         for batch in slices(batches, text_col):
             p = chain.predict_texts(texts_of(batch, text_col), cache)
-            if len(cache) > 1_000_000:
+            if len(cache) > CACHED:
                 cache.clear()
             yield batch.filter(pa.array(p[:, at] < reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
