@@ -26,11 +26,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from textloom.llm.common import gather, slices, table, texts_of
+from textloom.llm.common import gather, released, slices, table, texts_of
 
 NONE = np.iinfo(np.int64).max
 #: Letters of pieces that a worker remembers before it starts anew.
-REMEMBERED = 10 << 20
+REMEMBERED = 4 << 20
+#: Text bytes that are encoded at once.
+SLICE = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -203,10 +205,10 @@ def over(df: DataFrame, path: str, schema: str, make: Callable, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(data.value))
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             yield make(batch, *encoder.batch(texts_of(batch, text_col)))
 
-    return df.select(*columns or [f"`{c}`" for c in df.columns]).mapInArrow(run, schema)
+    return df.select(*columns or [f"`{c}`" for c in df.columns]).mapInArrow(released(run), schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
