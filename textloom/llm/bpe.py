@@ -30,9 +30,9 @@ from textloom.llm.common import gather, released, slices, table, texts_of
 
 NONE = np.iinfo(np.int64).max
 #: Letters of pieces that a worker remembers before it starts anew.
-REMEMBERED = 4 << 20
+REMEMBERED = 1 << 20
 #: Text bytes that are encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -153,10 +153,10 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers short pieces between batches."""
+    """Encodes batches of texts; remembers short pieces between batches. Without `shows` it decodes nothing."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, shows: bool = True):
+        self.vocabulary, self.shows = vocabulary, shows
         self.forget()
 
     def forget(self) -> None:
@@ -169,14 +169,15 @@ class Encoder:
         base = self.at[-1]
         self.ids.append(ids)
         self.at += (at[1:] + base).tolist()
-        tokens = [self.vocabulary.tokens[i] for i in ids.tolist()]
-        self.shown += [" ".join(tokens[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        if self.shows:
+            tokens = [self.vocabulary.tokens[i] for i in ids.tolist()]
+            self.shown += [" ".join(tokens[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for p in pieces:
             self.code[p] = len(self.code)
             self.size += len(p)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Ids of all texts as one flat array, where each text starts (n + 1), and each text decoded again."""
+        """Ids of all texts as one flat array, where each text starts (n + 1), and each text decoded again (if it shows)."""
         parts = pc.ascii_split_whitespace(texts)
         bounds = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
@@ -189,6 +190,8 @@ class Encoder:
         codes = local[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         self.ids = [np.concatenate(self.ids)]
         ids, ends = gather(self.ids[0], np.array(self.at), codes)
+        if not self.shows:
+            return ids, ends[bounds], []
         shown, as_list, b = self.shown, codes.tolist(), bounds.tolist()
         decoded = [" ".join(filter(None, [shown[c] for c in as_list[i:j]])) for i, j in zip(b[:-1], b[1:], strict=True)]
         return ids, ends[bounds], decoded
@@ -199,12 +202,12 @@ def vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def over(df: DataFrame, path: str, schema: str, make: Callable, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+def over(df: DataFrame, path: str, schema: str, make: Callable, text_col: str = "text", columns: list[str] | None = None, shows: bool = True) -> DataFrame:
     """Applies make(batch, ids, bounds, decoded) -> RecordBatch to each batch of encoded texts."""
     data = df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(data.value))
+        encoder = Encoder(Vocabulary(data.value), shows)
         for batch in slices(batches, text_col, SLICE):
             yield make(batch, *encoder.batch(texts_of(batch, text_col)))
 
@@ -217,7 +220,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def make(batch, ids, bounds, decoded):
         return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "n_tokens", "ids"])
 
-    return over(docs, path, "doc_id long, n_tokens long, ids array<int>", make, text_col, [id_col, text_col])
+    return over(docs, path, "doc_id long, n_tokens long, ids array<int>", make, text_col, [id_col, text_col], shows=False)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
