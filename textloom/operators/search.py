@@ -181,3 +181,10 @@ def recommendations(found: DataFrame, k: int = 3) -> DataFrame:
     """RK17: of the best 2k rows (source, doc_id, score) the first of each source, k at most."""
     order = [F.desc("score"), F.asc("doc_id")]
     return keep_first(top(found, 2 * k, *order), ["source"], *order, most=k)
+
+
+def graph_first(graph: DataFrame, text: DataFrame, k: int = 8) -> DataFrame:
+    """RK16: of rows (chunk_id, preview, score) those of the graph, then those of the text search, each by score and id;
+    of equal (chunk_id, preview) the first; the first k, with their origin."""
+    rows = graph.withColumn("origin", F.lit("graph")).unionByName(text.withColumn("origin", F.lit("text")))
+    return keep_first(rows, ["chunk_id", "preview"], F.asc("origin"), F.desc("score"), F.asc("chunk_id"), most=k)

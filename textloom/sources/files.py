@@ -87,3 +87,22 @@ def migrate(rows: DataFrame, stale: dict[str, str]) -> tuple[DataFrame, DataFram
 
     new = rows.withColumn("new", rewrite_labels(F.col("labels"), stale)).filter(~F.col("new").eqNullSafe(F.col("labels")))
     return new.withColumn("labels", F.col("new")).drop("new"), new.groupBy("namespace").agg(F.count(F.lit(1)).alias("changed"))
+
+
+def books(spark: SparkSession, path: str) -> DataFrame:
+    """SRC3: book metadata, one JSON file a folder, with the folder's name; broken files are left out."""
+    rows = spark.read.schema("title string, author string, pages int, _corrupt_record string").option("multiLine", True).json(f"{path}/*/metadata.json")
+    return rows.withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2)).filter("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
+def feed_items(feed: DataFrame, known: DataFrame) -> DataFrame:
+    """SRC13: rows of a feed (title) whose title names an episode that `known` (episode) lacks, with its number."""
+    items = feed.withColumn("episode", F.expr(r"try_cast(nullif(regexp_extract(title, 'Episode\\s+([0-9]+)', 1), '') AS BIGINT)"))
+    return items.filter(F.col("episode").isNotNull()).join(known.select("episode").distinct(), "episode", "left_anti")
+
+
+def preview(chunks: DataFrame, most: int = 10, letters: int = 200) -> DataFrame:
+    """SRC19: the first chunks (id, text) by id, shortened, with the number, letters and mean length of all chunks."""
+    total = chunks.agg(F.count(F.lit(1)).alias("total"), F.sum(F.length("text")).alias("letters"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
+    first = chunks.orderBy("id").limit(most).select("id", F.substring("text", 1, letters).alias("preview"))
+    return first.crossJoin(F.broadcast(total))
