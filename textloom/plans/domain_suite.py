@@ -11,13 +11,25 @@ from textloom.sources import files
 from textloom.sources.tables import table
 
 REACH = "reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)"
-NEAR = "near AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a, embeddings b WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.7 OR a.vec_id = b.vec_id)"
-MEANS = "means AS (SELECT label AS id, list(m ORDER BY k) AS v FROM (SELECT label, k, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k) GROUP BY label)"
+#: Names, each with the counts of its letters as its vector.
+NAMES = "SELECT n_name AS name FROM nation UNION SELECT c_mktsegment FROM customer UNION SELECT o_orderpriority FROM orders UNION SELECT event_type FROM events UNION SELECT r_name FROM region"
+VECTORS = f"vectors AS (SELECT name AS id, list_transform(range(97, 123), lambda c: CAST(length(name) - length(replace(lower(name), chr(CAST(c AS INTEGER)), '')) AS DOUBLE)) AS v FROM ({NAMES}))"
 
 
-@query("relation_clusters", f"WITH RECURSIVE {NEAR}, cores AS (SELECT x FROM near GROUP BY x HAVING count(*) >= 3), link AS (SELECT * FROM near WHERE x IN (SELECT x FROM cores) AND y IN (SELECT x FROM cores)), {REACH}, named AS (SELECT x, min(y) AS cluster FROM reach GROUP BY x) SELECT near.x AS id, min(cluster) AS cluster, near.x IN (SELECT x FROM cores) AS core FROM near JOIN named ON near.y = named.x GROUP BY near.x")
+def near(least: float) -> str:
+    return f"near AS (SELECT a.id AS x, b.id AS y FROM vectors a, vectors b WHERE list_cosine_similarity(a.v, b.v) >= {least} OR a.id = b.id)"
+
+
+def names(spark, sf):
+    for t in ("nation", "customer", "orders", "events", "region"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    counts = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length("name") - F.length(F.replace(F.lower("name"), F.char(c), F.lit("")))).cast("double"))
+    return spark.sql(NAMES).select(F.col("name").alias("id"), counts.alias("vector"))
+
+
+@query("relation_clusters", f"WITH RECURSIVE {VECTORS}, {near(0.7)}, cores AS (SELECT x FROM near GROUP BY x HAVING count(*) >= 3), link AS (SELECT * FROM near WHERE x IN (SELECT x FROM cores) AND y IN (SELECT x FROM cores)), {REACH}, named AS (SELECT x, min(y) AS cluster FROM reach GROUP BY x) SELECT near.x AS id, CASE WHEN near.x IN (SELECT x FROM cores) THEN (SELECT cluster FROM named WHERE named.x = near.x) ELSE min(named.cluster) END AS cluster, near.x IN (SELECT x FROM cores) AS core FROM near JOIN named ON near.y = named.x GROUP BY near.x")
 def relation_clusters(spark, sf):
-    return D.density_clusters(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return D.density_clusters(names(spark, sf))
 
 
 @query("domain_cohesion", "SELECT n.label AS domain, n.n, round(p.c, 6) AS cohesion FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) n LEFT JOIN (SELECT a.label, avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label) p ON n.label = p.label")
@@ -26,10 +38,19 @@ def domain_cohesion(spark, sf):
     return D.cohesion(rows).withColumn("cohesion", F.round("cohesion", 6))
 
 
-@query("domain_mergers", f"WITH RECURSIVE {MEANS}, link AS (SELECT a.id AS x, b.id AS y FROM means a, means b WHERE list_cosine_similarity(a.v, b.v) >= 0.85 OR a.id = b.id), {REACH} SELECT x AS id, min(y) AS keep FROM reach GROUP BY x")
+@query("domain_mergers", f"WITH RECURSIVE {VECTORS}, {near(0.85)}, link AS (SELECT * FROM near), {REACH} SELECT x AS id, min(y) AS keep FROM reach GROUP BY x")
 def domain_mergers(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("label").alias("domain"), F.col("embedding").alias("vector"))
-    return D.mergers(D.centroids(rows))
+    return D.mergers(names(spark, sf))
+
+
+MEANS = "SELECT label, k, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k"
+
+
+@query("domain_centroids", f"SELECT label AS id, CAST(count(*) AS INTEGER) AS dimensions, round(sum(m * k), 6) AS mark FROM ({MEANS}) GROUP BY label")
+def domain_centroids(spark, sf):
+    rows = D.centroids(table(spark, sf, "embeddings").select(F.col("label").alias("domain"), F.col("embedding").alias("vector")))
+    mark = F.aggregate(F.zip_with("vector", F.sequence(F.lit(1), F.size("vector")), lambda m, k: m * k), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("id", F.size("vector").alias("dimensions"), F.round(mark, 6).alias("mark"))
 
 
 @query("topic_terms", "WITH w AS (SELECT source AS topic, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents), c AS (SELECT topic, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL), s AS (SELECT topic, sum(n) AS size FROM c GROUP BY topic), f AS (SELECT word, sum(n) AS f FROM c GROUP BY word), x AS (SELECT topic, word, round(n / size * ln(1 + (SELECT sum(n) / count(DISTINCT topic) FROM c) / f), 6) AS weight FROM c JOIN s USING (topic) JOIN f USING (word)) SELECT topic, word, weight FROM x QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) <= 10")
