@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -52,3 +53,24 @@ def test_random_texts_and_forgetting(library, monkeypatch):
         ids, at, decoded = encoder.batch(pa.array(texts[k : k + 40], pa.large_string()))
         for j, t in enumerate(texts[k : k + 40]):
             assert (ids[at[j] : at[j + 1]].tolist(), decoded[j]) == expected(library, t)
+
+
+def test_special_tokens_without_a_common_letter(library):
+    spec = json.loads(bpe.vocabulary(bpe.default_path()))
+    for token, i in (("[PAD]", 0), ("@@", 1)):
+        spec["added_tokens"].append({**spec["added_tokens"][0], "id": len(spec["model"]["vocab"]) + i, "content": token})
+    data = json.dumps(spec)
+    other = Tokenizer.from_str(data)
+    other.no_padding()
+    other.no_truncation()
+    assert other.token_to_id("[PAD]") != other.token_to_id("@@")
+    for t in spec["added_tokens"]:
+        t["id"] = other.token_to_id(t["content"])
+    texts = ["a[PAD]b @@ c", "x@@[PAD]<|endoftext|>y", "plain words", "[pad]"]
+    encoder = bpe.Encoder(bpe.Vocabulary(json.dumps(spec).encode()))
+    ids, at, decoded = encoder.batch(pa.array(texts, pa.large_string()))
+    for k, t in enumerate(texts):
+        assert (ids[at[k] : at[k + 1]].tolist(), decoded[k]) == expected(other, t)
+    spec["added_tokens"][-1]["content"] = "a b"
+    with pytest.raises(ValueError, match="blanks"):
+        bpe.Vocabulary(json.dumps(spec).encode())

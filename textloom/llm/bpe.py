@@ -63,6 +63,10 @@ class Vocabulary:
         self.first = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + end] for x in letters], np.int64)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if any(not x or any(c in " \t\n\v\f\r" for c in x) for x in self.special):
+            raise ValueError("special tokens with blanks are not supported")
+        # A letter that every special token has, or the empty string, which every piece has.
+        self.sign = min(set.intersection(*map(set, self.special)), default="") if self.special else ""
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
@@ -126,7 +130,7 @@ class Vocabulary:
         counts = np.zeros(len(pieces), np.int64)
         for k, piece in enumerate(pieces):
             before = len(parts)
-            if self.marks is not None and "<" in piece:
+            if self.marks is not None and self.sign in piece:
                 for n, x in enumerate(self.marks.split(piece)):
                     if n % 2:
                         code = known.setdefault(f"{x} ", len(known))  # no word holds a space
