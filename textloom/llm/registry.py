@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontamination, exact_dedup, katz, mixing, ngram_join, runs, secrets, sharding, suffix_dedup, surrogates, toxicity
+from textloom.llm import bpe, decontamination, exact_dedup, katz, mixing, ngram_join, runs, secrets, sharding, spelling, suffix_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_surrogates": surrogates.op1_surrogates,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_katz": katz.op10_katz,
     "op11_runs": runs.op11_runs,
     "op12_mixing": mixing.op12_mixing,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
