@@ -13,18 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written into the folder that all executors share and read again; in local mode a new folder will do."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; in local mode a new folder will do."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written into the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

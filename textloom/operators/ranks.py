@@ -35,3 +35,16 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     starts = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
     at = F.lit(0).cast("long") if starts is None else (F.col(place) - F.shiftleft(F.shiftright(place, 33), 33) + F.element_at(starts, F.shiftright(place, 33)))
     return rows.withColumn(name, at.cast("long")).drop(place)
+
+
+def every_nth(df: DataFrame, order: list[Column], count: int) -> DataFrame:
+    """WN10: `count` rows that lie equally far apart in the order, from the first; all rows if there are no more."""
+    rows = ranked(df, order, "_rank")
+    step = max(1, rows.count() // count)
+    return rows.filter((F.col("_rank") % step == 0) & (F.col("_rank") < step * count)).drop("_rank")
+
+
+def worst(df: DataFrame, order: list[Column], share: float, least: int) -> DataFrame:
+    """WN14: the first `share` of all rows in the order, but `least` rows at least."""
+    rows = ranked(df, order, "_rank")
+    return rows.filter(F.col("_rank") < max(least, int(rows.count() * share))).drop("_rank")

@@ -91,30 +91,32 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
 
 def weighted_fusion(keyword: DataFrame, semantic: DataFrame, keyword_weight: float = 0.4, semantic_weight: float = 0.6) -> DataFrame:
     """Full outer merge of two score lists; a keyword score also gains (n - rank) / n; the best chunk score counts."""
-    n = keyword.count()
-    kw = keyword.select("doc_id", (F.col("score") + (F.lit(n) - F.col("rank")) / F.lit(max(n, 1))).alias("k"))
+    size = keyword.agg(F.count(F.lit(1)).alias("_n"))
+    kw = keyword.crossJoin(F.broadcast(size)).select("doc_id", (F.col("score") + (F.col("_n") - F.col("rank")) / F.col("_n")).alias("k"))
     sem = semantic.groupBy("doc_id").agg(F.max("score").alias("s"))
     both = kw.join(sem, "doc_id", "full")
     return both.select("doc_id", (keyword_weight * F.coalesce("k", F.lit(0.0)) + semantic_weight * F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
-def category_first(keyword: DataFrame, semantic: DataFrame, category: DataFrame, weights: tuple[float, float, float] = (0.15, 0.25, 0.6), k: int = RRF_K) -> DataFrame:
-    """Documents of the category list first, then the others, each tier by weighted reciprocal ranks."""
+def category_first(keyword: DataFrame, semantic: DataFrame, category: DataFrame, weights: tuple[float, float, float] | Column = (0.15, 0.25, 0.6), k: int = RRF_K) -> DataFrame:
+    """Documents of the category list first, then the others, each tier by weighted reciprocal ranks; weights are three
+    numbers or a struct of them (keyword, semantic, category)."""
+    if not isinstance(weights, Column):
+        weights = F.struct(*[F.lit(w).alias(n) for n, w in zip(("keyword", "semantic", "category"), weights, strict=True)])
     union = None
-    for w, x in zip(weights, (keyword, semantic, category), strict=True):
-        part = x.select("doc_id", (F.lit(w) / (k + F.col("rank") + 1)).alias("s"), F.lit(x is category).alias("c"))
+    for name, x in (("keyword", keyword), ("semantic", semantic), ("category", category)):
+        part = x.select("doc_id", (weights[name] / (k + F.col("rank") + 1)).alias("s"), F.lit(name == "category").alias("c"))
         union = part if union is None else union.unionByName(part)
     return union.groupBy("doc_id").agg(F.sum("s").alias("score"), F.max("c").alias("is_category"))
 
 
 def diverse(scored: DataFrame, k: int) -> DataFrame:
     """Top rows by score with a cap for each source: max(3, k // groups) gathered, max(3, k // max(groups // 2, 1)) given."""
-    groups = scored.select("source").distinct().count()
-    if not groups:
-        return scored
-    first, cap = max(3, k // groups), max(3, k // max(groups // 2, 1))
+    groups = F.broadcast(scored.agg(F.count_distinct("source").alias("_g")))
+    cap = F.least(F.greatest(F.lit(3), F.floor(F.lit(k) / F.greatest(F.col("_g"), F.lit(1)))), F.greatest(F.lit(3), F.floor(F.lit(k) / F.greatest(F.floor(F.col("_g") / 2), F.lit(1)))))
     order = [F.desc("score"), F.asc("doc_id")]
-    rows = ranked(scored, *order, partition=["source"]).filter(F.col("rank") < min(first, cap)).drop("rank")
+    # No source gives more than k rows, whatever the number of sources; ranks are cut before they meet the cap.
+    rows = ranked(scored, *order, partition=["source"]).filter(F.col("rank") < max(3, k)).crossJoin(groups).filter(F.col("rank") < cap).drop("rank", "_g")
     return top(rows, k, *order)
 
 
@@ -147,12 +149,14 @@ def jaccard_match(query_terms: list[str], categories: DataFrame, threshold: floa
     return top(categories.select("label", score.alias("score")).filter(F.col("score") >= threshold), most, F.desc("score"), F.asc("label"))
 
 
-def analyze_query(text: Column, technical: list[str]) -> Column:
-    """Method of a query: an episode number or technical terms ask for keywords, long questions for meaning."""
+def analyze_query(text: Column, technical: list[str], has_category: Column | None = None) -> Column:
+    """SC5: the method of a query: an episode number or a technical term asks for keywords, more than 15 words for meaning,
+    a matched category for categories; else hybrid."""
     t = F.lower(text)
-    words = F.size(F.split(F.trim(t), r"\s+"))
-    many = F.size(F.filter(F.array(*[F.lit(x) for x in technical]), lambda x: F.contains(t, x)))
-    return F.when(t.rlike(r"episode\s*\d+"), "keyword_heavy").when(many >= 2, "keyword_heavy").when((words > 8) | t.contains("?"), "semantic_heavy").otherwise("hybrid")
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    named = F.exists(F.array(*[F.lit(x) for x in technical]), lambda x: F.contains(t, x)) if technical else F.lit(False)
+    category = F.lit(False) if has_category is None else has_category
+    return F.when(t.rlike(r"episode\s*\d+") | named, "keyword_heavy").when(words > 15, "semantic_heavy").when(category, "category_heavy").otherwise("hybrid")
 
 
 def rerank(found: DataFrame, scores: DataFrame, k: int) -> DataFrame:
@@ -161,17 +165,20 @@ def rerank(found: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return top(rows, k, F.desc_nulls_last("model_score"), F.desc("score"), F.asc("doc_id"))
 
 
-def retrieve(method: str, keyword: DataFrame, semantic: DataFrame, category: DataFrame, k: int = 10, scores: DataFrame | None = None) -> DataFrame:
-    """RK11, RK13: (doc_id, score) by "bm25", "semantic" or "hybrid" (ranked lists fused, category first, reranked if
-    there are scores and over k rows); "auto" is hybrid where there is a category list."""
-    if method not in ("auto", "bm25", "semantic", "hybrid"):
+METHODS = ("auto", "bm25", "semantic", "hybrid", "keyword_heavy", "semantic_heavy", "category_heavy")
+
+
+def retrieve(method: str, keyword: DataFrame, semantic: DataFrame, category: DataFrame, k: int = 10, scores: DataFrame | None = None, text: str = "", technical: list[str] = (), matched: bool = False) -> DataFrame:
+    """RK11, RK13: (doc_id, score) by "bm25", "semantic" or a hybrid method (ranked lists fused by the weights of the method,
+    category first, reranked if there are scores and over k rows). "auto" takes the method that the query's text suggests;
+    `matched` says whether it matched a category."""
+    if method not in METHODS:
         raise ValueError(f"no such method: {method}")
-    if method == "auto":
-        method = "bm25" if category.isEmpty() else "hybrid"
-    if method != "hybrid":
+    if method in ("bm25", "semantic"):
         return top({"bm25": keyword, "semantic": semantic}[method].select("doc_id", "score"), k, F.desc("score"), F.asc("doc_id"))
+    chosen = analyze_query(F.lit(text), list(technical), F.lit(matched)) if method == "auto" else F.lit(method)
     order = [F.desc("is_category"), F.desc("score"), F.asc("doc_id")]
-    fused = category_first(keyword, semantic, category).withColumn("score", F.round("score", 8))
+    fused = category_first(keyword, semantic, category, adaptive_weights(chosen)).withColumn("score", F.round("score", 8))
     if scores is None:
         return top(fused, k, *order).select("doc_id", "score")
     return rerank(top(fused, 2 * k, *order), scores, k).select("doc_id", "score")

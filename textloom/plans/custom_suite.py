@@ -10,6 +10,7 @@ from textloom.operators import graph as G
 from textloom.operators import resolution as R
 from textloom.operators import search as S
 from textloom.plans.catalogue import query
+from textloom.plans.search_suite import ANALYSED
 from textloom.plans.sql_suite import EDGES, views
 from textloom.sources import files
 from textloom.sources.tables import table
@@ -185,6 +186,6 @@ def budget_fold(spark, sf):
     return streams.budget(table(spark, sf, "events").filter("event_type = 'click'").select("ts", F.lit("reserve").alias("kind"), F.lit(0.03).alias("cost")), 0.09)
 
 
-@query("category_weights")
+@query("category_weights", ANALYSED)
 def category_weights(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.analyze_query(F.col("text"), ["soil", "carbon"]).alias("method"))
+    return table(spark, sf, "documents").select("doc_id", S.analyze_query(F.col("text"), ["carbon sequestration", "soil"]).alias("method"))

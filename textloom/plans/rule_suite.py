@@ -8,9 +8,10 @@ from textloom.functions import text as X
 from textloom.operators import ontology as O
 from textloom.operators import resolution as R
 from textloom.operators import search as S
+from textloom.operators import text_index as I
 from textloom.operators import triples as T
 from textloom.plans.catalogue import query
-from textloom.plans.search_suite import BM25, CAT, KW, SEM, lists
+from textloom.plans.search_suite import BM25, CAT, KW, SEM, TERMS, index, lists
 from textloom.sources import files
 from textloom.sources.tables import table
 
@@ -278,7 +279,7 @@ def category_ids(spark, sf):
 
 @query("positive_scores", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE round(score, 6) > 0")
 def positive_scores(spark, sf):
-    found = S.bm25(table(spark, sf, "documents"), ["the", "and", "with", "this"])
+    found = I.scores(index(spark, sf), TERMS)
     return found.select("doc_id", F.round("score", 6).alias("score")).filter("score > 0")
 
 
@@ -288,7 +289,7 @@ FUSED = f"{BM25}, {KW}, {SEM}, {CAT}, fused AS (SELECT doc_id, round(sum(s), 8)
 
 @query("hybrid_search", f"WITH {FUSED} SELECT doc_id, score FROM fused ORDER BY is_category DESC, score DESC, doc_id LIMIT 10")
 def hybrid_search(spark, sf):
-    return S.retrieve("auto", *lists(spark, sf), k=10)
+    return S.retrieve("hybrid", *lists(spark, sf), k=10)
 
 
 @query("reranked_search", f"WITH {FUSED}, first AS (SELECT * FROM fused ORDER BY is_category DESC, score DESC, doc_id LIMIT 20) SELECT f.doc_id, f.score FROM first f JOIN documents d ON f.doc_id = d.doc_id ORDER BY d.n_chars DESC, f.score DESC, f.doc_id LIMIT 10")
@@ -304,5 +305,5 @@ def bm25_method(spark, sf):
 @query("recommendations", f"WITH {BM25}, best AS (SELECT doc_id, source, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 6) SELECT doc_id, source, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM best) t WHERE k = 1 ORDER BY score DESC, doc_id LIMIT 3")
 def recommendations(spark, sf):
     docs = table(spark, sf, "documents")
-    found = S.bm25(docs, ["the", "and", "with", "this"]).select("doc_id", F.round("score", 6).alias("score"))
+    found = I.search(index(spark, sf), TERMS, 6).select("doc_id", F.round("score", 6).alias("score"))
     return S.recommendations(found.join(docs.select("doc_id", "source"), "doc_id"))

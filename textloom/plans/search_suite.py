@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import search as S
+from textloom.operators import text_index as I
 from textloom.plans.catalogue import query
 from textloom.sources.tables import table
 
@@ -27,13 +28,18 @@ def q7(spark, sf):
     return table(spark, sf, "embeddings").filter("vec_id = 7").select(F.col("embedding").alias("q"))
 
 
+def index(spark, sf):
+    """The stored index of the documents; the first query of a session builds it."""
+    return I.index_of(table(spark, sf, "documents"))
+
+
 def score(df, name="score", digits=6):
     return df.withColumn(name, F.round(name, digits) + 0.0)
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id DESC LIMIT 20")
 def bm25_topk(spark, sf):
-    return S.top(score(S.bm25(table(spark, sf, "documents"), TERMS)), 20, F.desc("score"), F.desc("doc_id"))
+    return S.top(score(I.search(index(spark, sf), TERMS, 20)), 20, F.desc("score"), F.desc("doc_id"))
 
 
 @query("term_frequencies", f"WITH p AS ({POST}) SELECT doc_id, CAST(sum(tf) AS BIGINT) AS total_words, count(*) AS unique_words FROM p GROUP BY doc_id")
@@ -50,7 +56,7 @@ def index_stats(spark, sf):
 
 @query("tf_keyword_topk", f"WITH p AS ({POST}), s AS (SELECT doc_id, sum(tf) AS n FROM p GROUP BY doc_id) SELECT doc_id, round(sum(tf / n), 6) AS score, count(*) AS matched FROM p JOIN s USING (doc_id) WHERE term IN ('the', 'and', 'with', 'this') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 15")
 def tf_keyword_topk(spark, sf):
-    return S.top(score(S.tf_search(S.postings(table(spark, sf, "documents")), TERMS)), 15, F.desc("score"), F.asc("doc_id"))
+    return S.top(score(I.tf_scores(index(spark, sf), TERMS)), 15, F.desc("score"), F.asc("doc_id"))
 
 
 @query("doc_top_terms", f"WITH p AS ({POST}) SELECT doc_id, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS r FROM p) WHERE r <= 5")
@@ -75,7 +81,7 @@ CAT = "cat AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY vec_id) - 1
 
 
 def lists(spark, sf):
-    kw = score(S.bm25(table(spark, sf, "documents"), TERMS))
+    kw = score(I.search(index(spark, sf), TERMS, 20))
     kw = S.ranked(S.top(kw, 20, F.desc("score"), F.asc("doc_id")), F.desc("score"), F.asc("doc_id"))
     sem = table(spark, sf, "embeddings").crossJoin(F.broadcast(q7(spark, sf))).select(F.col("vec_id").alias("doc_id"), (F.round(S.cosine(F.col("embedding"), F.col("q")), 4) + 0.0).alias("score"))
     sem = S.ranked(S.top(sem, 20, F.desc("score"), F.asc("doc_id")), F.desc("score"), F.asc("doc_id"))
@@ -103,7 +109,7 @@ def category_first_fusion(spark, sf):
 @query("diverse_search", f"WITH {BM25}, g AS (SELECT count(DISTINCT source) AS g FROM bm), r AS (SELECT doc_id, source, round(score, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank FROM bm) SELECT doc_id, source, score FROM r, g WHERE rank < least(greatest(3, 30 // g), greatest(3, 30 // greatest(g // 2, 1))) ORDER BY score DESC, doc_id LIMIT 30")
 def diverse_search(spark, sf):
     docs = table(spark, sf, "documents")
-    return S.diverse(score(S.bm25(docs, TERMS)).join(docs.select("doc_id", "source"), "doc_id"), 30)
+    return S.diverse(score(I.scores(index(spark, sf), TERMS)).join(docs.select("doc_id", "source"), "doc_id"), 30)
 
 
 @query("dedup_citations", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1 ORDER BY n_chars DESC, doc_id LIMIT 3")
@@ -132,7 +138,36 @@ def category_match(spark, sf):
     return score(S.category_match(q7(spark, sf).withColumn("text", F.lit("About label 3")), cat, 0.05, 5), digits=4)
 
 
-@query("adaptive_weights", "SELECT doc_id, (CASE WHEN regexp_matches(t, 'episode\\s*\\d+') THEN 0.25 WHEN w > 8 OR contains(t, '?') THEN 0.1 ELSE 0.15 END)::DOUBLE AS keyword, (CASE WHEN regexp_matches(t, 'episode\\s*\\d+') THEN 0.15 WHEN w > 8 OR contains(t, '?') THEN 0.3 ELSE 0.25 END)::DOUBLE AS semantic FROM (SELECT doc_id, lower(text) AS t, len(string_split_regex(regexp_replace(lower(text), '^ +| +$', '', 'g'), '\\s+')) AS w FROM documents)")
+METHOD = "CASE WHEN regexp_matches(t, 'episode\\s*\\d+') OR contains(t, 'carbon sequestration') OR contains(t, 'soil') THEN 'keyword_heavy' WHEN w > 15 THEN 'semantic_heavy' ELSE 'hybrid' END"
+ANALYSED = f"SELECT doc_id, {METHOD} AS method FROM (SELECT doc_id, lower(text) AS t, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents)"
+
+
+@query("adaptive_weights", f"SELECT doc_id, CASE method WHEN 'keyword_heavy' THEN 0.25 WHEN 'semantic_heavy' THEN 0.1 ELSE 0.15 END::DOUBLE AS keyword, CASE method WHEN 'keyword_heavy' THEN 0.15 WHEN 'semantic_heavy' THEN 0.3 ELSE 0.25 END::DOUBLE AS semantic FROM ({ANALYSED})")
 def adaptive_weights(spark, sf):
-    w = S.adaptive_weights(S.analyze_query(F.col("text"), ["carbon sequestration"]))
+    w = S.adaptive_weights(S.analyze_query(F.col("text"), ["carbon sequestration", "soil"]))
     return table(spark, sf, "documents").select("doc_id", w["keyword"].alias("keyword"), w["semantic"].alias("semantic"))
+
+
+#: A query text of each method: text, whether it matched a category, and the method's weights.
+TEXTS = {
+    "keyword_heavy": ("what is in episode 12", True, (0.25, 0.15, 0.6)),
+    "semantic_heavy": ("tell me " + "very " * 14 + "much", True, (0.1, 0.3, 0.6)),
+    "category_heavy": ("herbs and food", True, (0.05, 0.15, 0.8)),
+    "hybrid": ("herbs and food", False, (0.15, 0.25, 0.6)),
+}
+
+
+def fused_sql(method):
+    k, s, c = TEXTS[method][2]
+    parts = f"SELECT doc_id, {k} / (61 + rank) AS s, false AS c FROM kw UNION ALL SELECT doc_id, {s} / (61 + rank), false FROM sem UNION ALL SELECT doc_id, {c} / (61 + rank), true FROM cat"
+    return f"(SELECT '{method}' AS method, doc_id, round(sum(s), 8) AS score FROM ({parts}) GROUP BY doc_id ORDER BY bool_or(c) DESC, score DESC, doc_id LIMIT 5)"
+
+
+@query("dispatched_search", f"WITH {BM25}, {KW}, {SEM}, {CAT} " + " UNION ALL ".join(f"SELECT * FROM {fused_sql(m)}" for m in TEXTS))
+def dispatched_search(spark, sf):
+    found = lists(spark, sf)
+    out = None
+    for method, (text, matched, _) in TEXTS.items():
+        part = S.retrieve("auto", *found, k=5, text=text, technical=["carbon sequestration"], matched=matched).select(F.lit(method).alias("method"), "doc_id", "score")
+        out = part if out is None else out.unionByName(part)
+    return out

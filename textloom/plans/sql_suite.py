@@ -47,7 +47,6 @@ SQL: dict[str, tuple[str, str]] = {
     "evaluations": ("JN4 SC51", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id"),
     "cache_split": ("JN5 ST6", "SELECT CAST(sum(hit) AS BIGINT) AS hits, CAST(count(*) - sum(hit) AS BIGINT) AS misses FROM (SELECT CAST(CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 1 ELSE 0 END AS BIGINT) AS hit FROM documents d) x"),
     "category_members": ("JN6", "SELECT DISTINCT vec_id FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id < 3)"),
-    "union_mention": ("JN7 JN8 SET1", f"SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id UNION SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
     "cooccurrence": ("JN10", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2"),
     "typed_cooccurrence": ("JN11", "SELECT l_suppkey AS supplier, l_partkey AS part, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2"),
     "cooccurring_with": ("JN12", "SELECT b.l_partkey AS part, count(DISTINCT b.l_orderkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_partkey = 7 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
@@ -91,10 +90,8 @@ SQL: dict[str, tuple[str, str]] = {
     "per_group_top": ("WN1 WN11", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) x WHERE k <= 3"),
     "neighbours": ("WN5 WN6", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations"),
     "chunk_index": ("WN7", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS chunk_total FROM conversations"),
-    "every_nth": ("WN10", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, (SELECT count(*) FROM documents) AS n FROM documents) x WHERE (rn - 1) % CAST(floor(n / 20.0) AS BIGINT) = 0 ORDER BY doc_id LIMIT 20"),
     "zscore": ("WN12", "SELECT s_suppkey, round((s_acctbal - m) / s * 500, 4) + 0.0 AS z FROM supplier CROSS JOIN (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier) t"),
     "recency_bonus": ("WN13 RK18", "SELECT conv_id, turn, CAST((count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1) * 2 AS BIGINT) AS bonus FROM conversations"),
-    "worst_share": ("WN14", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rn, (SELECT count(*) FROM lineitem) AS n FROM lineitem) x WHERE rn <= greatest(50, floor(n / 20.0))"),
     "window_frames": ("extension", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s FROM events"),
     # --- top-k
     "top_entities": ("TK1 TK2 TK4 TK5", "SELECT l_partkey, count(*) AS mentions, count(DISTINCT l_orderkey) AS episodes FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
@@ -125,12 +122,9 @@ SQL: dict[str, tuple[str, str]] = {
     "timeline": ("GR8", "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS mentions FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = 7 GROUP BY 1"),
     "sync_check": ("GR14", "SELECT (SELECT count(*) FROM documents) AS extracted, (SELECT count(DISTINCT doc_id) FROM documents) AS pages, (SELECT count(*) FROM documents) = (SELECT count(DISTINCT doc_id) FROM documents) AS in_step"),
     "graph_nodes": ("GR13 GR15 SRC12", f"WITH {NODES} SELECT id, type, substr(name, 1, 500) AS description, CAST(0.8 AS DOUBLE) AS importance FROM nodes"),
-    "nearest_group": ("JN20", "SELECT s_suppkey, nation FROM (SELECT s_suppkey, g.c_nationkey AS nation, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - g.m), g.c_nationkey) AS k FROM supplier CROSS JOIN (SELECT c_nationkey, avg(c_acctbal) AS m FROM customer GROUP BY 1) g) x WHERE k = 1"),
     "centroids": ("AG37 ON2", "SELECT c_nationkey, round(avg(c_acctbal), 4) AS x, round(avg(c_custkey), 4) AS y FROM customer GROUP BY 1"),
     "rate_limit": ("ST3", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1"),
     "tumbling": ("extension", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2"),
-    "interval_overlap": ("JN15 SC44", "SELECT seg, spk FROM (SELECT a.event_id AS seg, b.event_type AS spk, row_number() OVER (PARTITION BY a.event_id ORDER BY sum(least(a.value + 10, b.value + 5) - greatest(a.value, b.value)) DESC, b.event_type) AS k FROM events a JOIN events b ON a.user_id = b.user_id AND a.value < b.value + 5 AND b.value < a.value + 10 GROUP BY a.event_id, b.event_type) x WHERE k = 1"),
-    "asof_nearest": ("JN16", "SELECT event_id, nearest FROM (SELECT a.event_id, b.event_id AS nearest, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.value - b.value), b.event_id) AS k FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type <> 'click') x WHERE k = 1"),
 }
 
 
