@@ -43,6 +43,7 @@ def brute(docs, items):
 
 ITEMS = [(1, prose(40)), (2, prose(15)), (3, prose(6)), (4, prose(1)), (5, []), (6, prose(59))]
 ITEMS = [(i, " ".join(w)) for i, w in ITEMS] + [(7, None), (1, " ".join(prose(30)))]
+ITEMS += [(8, ITEMS[1][1].upper()), (None, ITEMS[2][1])]
 
 
 @pytest.fixture(scope="module")
@@ -57,11 +58,11 @@ def cases():
     return docs
 
 
-@pytest.mark.parametrize("seed_rows", [dec.SEED_ROWS, 0])
-def test_leaks_follow_brute_force(spark, cases, seed_rows):
+@pytest.mark.parametrize(("seed_rows", "item_bytes"), [(dec.SEED_ROWS, dec.ITEM_BYTES), (0, dec.ITEM_BYTES), (dec.SEED_ROWS, 0)])
+def test_leaks_follow_brute_force(spark, cases, seed_rows, item_bytes):
     docs = spark.createDataFrame([(*d, "x") for d in cases] + [(*cases[20], "x"), (None, cases[20][1], "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = dec.leaks(docs, items, seed_rows=seed_rows)
+    found = dec.leaks(docs, items, seed_rows=seed_rows, item_bytes=item_bytes)
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert got == brute([*cases, (None, cases[20][1])], ITEMS)
 
@@ -78,18 +79,38 @@ def test_stage_drops_rows_and_keeps_columns(spark, cases):
     assert dec.clean(docs, items.limit(0)).count() == docs.count()
 
 
-def test_masks_have_one_span_and_weight():
-    assert {len(m) for m in dec.MASKS} == {dec.SPAN} and len({m.count("1") for m in dec.MASKS}) == 1
+def whole_somewhere(family, n, changed):
+    """A mask of the family, laid on n words, meets none of the changed ones."""
+    return any(not changed & {s + k for k, x in enumerate(m) if x == "1"} for m in family for s in range(n - len(m) + 1))
 
 
 def test_no_allowed_changes_hide_an_item():
-    for n in range(1, 24):
-        w, span = min(n, dec.WINDOW), dec.run_length(n)
-        most = w - math.ceil(w * dec.SHARE)
-        for changed in itertools.combinations(range(w), most):
-            cuts = [-1, *changed, w]
-            assert max(b - a - 1 for a, b in itertools.pairwise(cuts)) >= span
-    assert dec.run_length(dec.WINDOW) == dec.SPAN
+    for n in range(1, 25):
+        w = min(n, dec.WINDOW)
+        c = w - math.ceil(w * dec.SHARE)
+        family = dec.masks_of(n)
+        assert all(whole_somewhere(family, w, set(ks)) for ks in itertools.combinations(range(w), c)), n
+        assert all(len(m) <= w for m in family)
+        if c:
+            # Real spaced seeds: places inside each mask, or in another of the family, are ignored.
+            assert all("0" in m for m in family if len(family) == 1) and any("0" in m for m in family)
+
+
+@pytest.mark.parametrize(("n", "c"), [(5, 1), (8, 1), (10, 2), (15, 3), (17, 3), (20, 4)])
+def test_each_mask_is_needed(n, c):
+    family = dec.masks_of(n)
+    for gone in family:
+        left = [m for m in family if m != gone]
+        assert not all(whole_somewhere(left, n, set(ks)) for ks in itertools.combinations(range(n), c))
+
+
+def test_other_windows_and_shares_lose_nothing():
+    for window, share in ((8, 0.5), (30, 0.9), (60, 0.7)):
+        for n in (3, 7, 12, 29, 70):
+            w = min(n, window)
+            c = w - math.ceil(w * share)
+            rng = random.Random(n)
+            assert all(whole_somewhere(dec.masks_of(n, window, share), w, set(rng.sample(range(w), c))) for _ in range(500))
 
 
 @pytest.mark.parametrize("seed_rows", [dec.SEED_ROWS, 0])

@@ -1,34 +1,77 @@
-"""Benchmark decontamination by seeds of unbroken runs, in DataFrame operations only.
+"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Words are lower-cased runs of letters and digits. A seed hashes a run of words, so short that no allowed changes break all
-such runs: a window of w words with at most c changed ones has a run of (w - c) / (c + 1) unchanged ones, rounded up. This
-is SPAN for the windows of longer items and 2 to 4 for shorter items. Seeds of the benchmark and of the documents are joined. At the first
-hit of a run along a diagonal (document place less benchmark place) the item is laid on the document, and words are
-compared by position: a leak is a window of WINDOW words of the item (the whole item if it is shorter) of which SHARE or
-more stand in the document at their places.
+Words are lower-cased runs of letters and digits. A mask is laid on every place of a text: the words at its ones are hashed,
+those at its zeros are ignored. Keys of the benchmark and of the documents are joined, and at a hit the item is laid on the
+document along its diagonal (document place less benchmark place) and words are compared by position: a leak is a window of
+WINDOW words of the item (the whole item if it is shorter) of which SHARE or more stand in the document at their places.
 
-The seeds of the benchmark are broadcast if they are at most SEED_ROWS rows, which is counted first; the documents then
-are read once and not shuffled. Beyond that seeds are joined by shuffle, carrying ids and places only, and the words of
-the hits' rows are joined again for the check.
+A family of masks is lossless for w words with c changed ones if every pattern of c changes leaves one mask of it whole at
+some place within the w words. For each item length the heaviest family that is lossless for its window is taken; families are
+checked by enumeration of all patterns when they are chosen. Where no change is allowed (up to four words) the whole item
+is the seed; for windows or shares with more patterns than PATTERNS, or without a lossless family, unbroken runs take the
+masks' place: (w - c) / (c + 1) unchanged words, rounded up, stand together in each leak.
+
+The keys of the benchmark, two or three numbers a row, are broadcast if they are at most SEED_ROWS rows, and the items' words
+if they take at most ITEM_BYTES, both measured first; the documents then are read once and not shuffled. Beyond that the
+joins shuffle: of the documents only ids and places travel, adaptive execution splits keys that many texts share, and the
+words of the hits' rows are joined again for the check.
 
 Defined results: null and empty texts, and items without words, never match; a document is reported once for each item
-that it holds, with its best window; repeated rows count as one; an item that occurs often is found in every document.
+that it holds, with its best window; repeated rows count as one; items with the same words are searched once and reported
+each; an item that occurs often is found in every document.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache, reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import keep, row_key, small, table, without
 
-#: The mask of a seed in a window of WINDOW words: 1 marks a word that is hashed.
-MASKS = ("1111",)
-SPAN = 4
 WINDOW, SHARE = 20, 0.8
-SEED_ROWS = 500_000
+#: Families of masks, found by a search over all patterns of changes: for 17 words or more with 4 changed, 8 with 1 or 11 to
+#: 24 with up to 4, 10 with 2, and 5 with 1.
+FAMILIES = (("11001111", "1110101001", "111001000000011"), ("10111",), ("11101", "1001011"), ("1011", "1101"))
+SEED_ROWS, ITEM_BYTES = 500_000, 64 << 20
+#: Patterns of changes that may be enumerated to check a family.
+PATTERNS = 50_000
+
+
+@lru_cache(maxsize=None)
+def lossless(family: tuple[str, ...], w: int, c: int) -> bool:
+    """Whether each way to change c of w words leaves a mask of the family whole at some place."""
+    places = [sum(1 << (s + o) for o in ones(m)) for m in family for s in range(w - len(m) + 1)]
+    return all(any(not p & changed for p in places) for changed in (sum(1 << k for k in ks) for ks in combinations(range(w), c)))
+
+
+@lru_cache(maxsize=None)
+def masks_of(n: int, window: int = WINDOW, share: float = SHARE) -> tuple[str, ...]:
+    """The masks for items of n words."""
+    w = min(n, window)
+    same = math.ceil(w * share)
+    c = w - same
+    if c and math.comb(w, c) <= PATTERNS:
+        found = [needed(f, w, c) for f in FAMILIES if lossless(f, w, c)]
+        if found:
+            return max(found, key=lambda f: (min(m.count("1") for m in f), -len(f)))
+    return ("1" * max(1, -(-same // (c + 1))),)
+
+
+def needed(family: tuple[str, ...], w: int, c: int) -> tuple[str, ...]:
+    """The family without masks that it can do without."""
+    for m in family:
+        left = tuple(x for x in family if x != m)
+        if lossless(left, w, c):
+            return needed(left, w, c)
+    return family
+
+
+def ones(mask: str) -> list[int]:
+    return [k for k, x in enumerate(mask) if x == "1"]
 
 
 def words(text: Column) -> Column:
@@ -41,30 +84,29 @@ def hashed(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def run_length(n: int, window: int = WINDOW, share: float = SHARE) -> int:
-    """Words of the longest run that is unchanged in every leak of an item of n words."""
-    w = min(n, window)
-    same = math.ceil(w * share)
-    return max(1, -(-same // (w - same + 1)))
+def seed(h: Column, at: Column, mask: str) -> Column:
+    """The key of a mask at a place; null where it doesn't fit."""
+    return F.when(at + len(mask) <= F.size(h), F.xxhash64(F.lit(mask), *[F.get(h, at + o) for o in ones(mask)]))
 
 
-def seed(h: Column, at: Column, span: int) -> Column:
-    """The key of the `span` words from a place; null if there are fewer."""
-    return F.when(at + span <= F.size(h), F.xxhash64(F.lit(span), *[F.get(h, at + o) for o in range(span)]))
+def seeds_of(items: DataFrame, families: dict[str, list[int]], window: int) -> DataFrame:
+    """uid, q, mask, key of items (uid, item_h): families has the lengths (up to the window) for which each mask is used."""
+    rows = items.select("uid", "item_h", F.posexplode("item_h").alias("q", "_w")).drop("_w")
+    keys = [F.when(F.least(F.size("item_h"), F.lit(window)).isin(lengths), F.struct(F.lit(mask).alias("mask"), seed(F.col("item_h"), F.col("q"), mask).alias("key"))) for mask, lengths in families.items()]
+    rows = rows.select("uid", "q", F.explode(F.array(*keys) if keys else F.array().cast("array<struct<mask: string, key: bigint>>")).alias("s"))
+    return rows.select("uid", "q", "s.mask", "s.key").filter("key IS NOT NULL")
 
 
-def seeds_of(items: DataFrame, spans: dict[int, list[int]], window: int) -> DataFrame:
-    """item_id, the item's word hashes, and its seeds: place and key; spans: the lengths (up to the window) of each run."""
-    rows = items.select("item_id", "item_h", F.posexplode("item_h").alias("q", "_w")).drop("_w")
-    key = F.lit(None).cast("long")
-    for span, lengths in spans.items():
-        key = F.when(F.least(F.size("item_h"), F.lit(window)).isin(lengths), seed(F.col("item_h"), F.col("q"), span)).otherwise(key)
-    return rows.withColumn("key", key).filter("key IS NOT NULL")
+def first_of_hits(families: dict[str, list[int]]) -> Column:
+    """Whether the mask doesn't hit one place to the left too, in document and item: only then is the hit verified."""
 
+    def hit(mask: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.get("h", F.col("p") - 1 + o) == F.get("item_h", F.col("q") - 1 + o) for o in ones(mask)])
 
-def first_of_run() -> Column:
-    """Whether the words to the left of a hit, in document and item, differ: only then is the hit verified."""
-    return (F.col("q") == 0) | (F.col("p") == 0) | (F.get("h", F.col("p") - 1) != F.get("item_h", F.col("q") - 1))
+    before = F.lit(False)
+    for mask in families:
+        before = F.when(F.col("mask") == mask, hit(mask)).otherwise(before)
+    return (F.col("q") == 0) | (F.col("p") == 0) | ~before
 
 
 def laid(h: Column, diagonal: Column, n: Column) -> Column:
@@ -82,31 +124,36 @@ def measured(hits: DataFrame, window: int) -> DataFrame:
     return rows.drop("_fits", "_sums", "part")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: float = SHARE, seed_rows: int = SEED_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: float = SHARE, seed_rows: int = SEED_ROWS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """One row per document and item that it holds: doc_id, row_key, item_id, word_start, window and item matches."""
-    items = keep(benchmark.select("item_id", hashed(F.col("text")).alias("item_h")).filter(F.size("item_h") > 0).distinct(), "items")
+    named = keep(benchmark.select("item_id", hashed(F.col("text")).alias("item_h")).filter(F.size("item_h") > 0).distinct(), "benchmark")
+    items = keep(named.select("item_h").distinct().withColumn("uid", F.monotonically_increasing_id()), "items")
     # At most `window` lengths.
-    lengths = [r[0] for r in items.select(F.least(F.size("item_h"), F.lit(window)).alias("n")).distinct().collect()]
-    spans: dict[int, list[int]] = {}
-    for n in sorted(lengths):
-        spans.setdefault(run_length(n, window, share), []).append(n)
-    seeds = keep(seeds_of(items, spans, window), "seeds")
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("item_h"), F.lit(window)).alias("n")).distinct().collect())
+    families: dict[str, list[int]] = {}
+    for n in lengths:
+        for mask in masks_of(n, window, share):
+            families.setdefault(mask, []).append(n)
+    seeds = keep(seeds_of(items, families, window), "seeds")
+    fits = (items.agg(F.sum(F.size("item_h") * 8 + 64)).first()[0] or 0) <= item_bytes
+    words_of_items = F.broadcast(items) if fits else items
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"), hashed(F.col(text_col)).alias("h"))
-    broadcast = small(seeds, seed_rows)
     keyed = rows.select("doc_id", "row_key", "h", F.posexplode_outer("h").alias("p", "_w")).drop("_w")
-    keys = [seed(F.col("h"), F.col("p"), span) for span in spans]
+    keys = [seed(F.col("h"), F.col("p"), mask) for mask in families]
     keyed = keyed.select("doc_id", "row_key", "h", "p", F.explode(F.array(*keys) if keys else F.array().cast("array<bigint>")).alias("key")).filter("key IS NOT NULL")
     diagonal = (F.col("p") - F.col("q")).alias("diagonal")
     part = laid(F.col("h"), F.col("p") - F.col("q"), F.size("item_h")).alias("part")
-    if broadcast:
-        hits = keyed.join(F.broadcast(seeds), "key").filter(first_of_run()).select("doc_id", "row_key", "item_id", "item_h", diagonal, part)
+    if fits and small(seeds, seed_rows):
+        hits = keyed.join(F.broadcast(seeds), "key").join(words_of_items, "uid").filter(first_of_hits(families)).select("doc_id", "row_key", "uid", "item_h", diagonal, part)
     else:
-        narrow = keyed.drop("h").join(seeds.drop("item_h"), "key").select("doc_id", "row_key", "item_id", diagonal).distinct()
-        hits = narrow.join(items, "item_id").join(rows.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "h"), F.col("row_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "row_key", "item_id", "item_h", "diagonal", laid(F.col("h"), F.col("diagonal"), F.size("item_h")).alias("part"))
+        narrow = keyed.drop("h").join(seeds, "key").select("doc_id", "row_key", "uid", diagonal).distinct()
+        hits = narrow.join(words_of_items, "uid").join(rows.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "h"), F.col("row_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "row_key", "uid", "item_h", "diagonal", laid(F.col("h"), F.col("diagonal"), F.size("item_h")).alias("part"))
     best = F.max(F.struct("window_matches", "item_matches", (-F.col("diagonal")).alias("start"), "window_words")).alias("b")
-    found = measured(hits, window).groupBy("doc_id", "row_key", "item_id").agg(best)
+    found = measured(hits, window).groupBy("doc_id", "row_key", "uid").agg(best)
     # Filtered only here: pushed into the join, these functions would part it from the generated code that feeds it.
     found = found.filter(F.col("b.window_matches") >= F.ceil(F.col("b.window_words") * F.lit(share)))
+    members = named.join(items, "item_h").select("uid", "item_id")
+    found = found.join(F.broadcast(members) if fits else members, "uid")
     return found.select("doc_id", "row_key", "item_id", F.greatest(-F.col("b.start"), F.lit(0)).cast("long").alias("word_start"), F.col("b.window_words").cast("long").alias("window_words"), F.col("b.window_matches").cast("long").alias("window_matches"), F.col("b.item_matches").cast("long").alias("item_matches"))
 
 
