@@ -11,10 +11,10 @@ checked by enumeration of all patterns when they are chosen. Where no change is
 is the seed; for windows or shares with more patterns than PATTERNS, or without a lossless family, unbroken runs take the
 masks' place: (w - c) / (c + 1) unchanged words, rounded up, stand together in each leak.
 
-The keys of the benchmark, two or three numbers a row, are broadcast if they are at most SEED_ROWS rows, and the items' words
-if they take at most ITEM_BYTES, both measured first; the documents then are read once and not shuffled. Beyond that the
-joins shuffle: of the documents only ids and places travel, adaptive execution splits keys that many texts share, and the
-words of the hits' rows are joined again for the check.
+The keys of the benchmark, three numbers and a mask a row, are broadcast if they are at most SEED_ROWS rows, the items' words
+if they take at most ITEM_BYTES, and the hits (ids and diagonals, equal ones combined before they travel) if they are at
+most SEED_ROWS rows, each measured first; documents with hits are then read again for the check and no text is shuffled.
+Beyond that the joins shuffle; adaptive execution splits keys that many texts share.
 
 Defined results: null and empty texts, and items without words, never match; a document is reported once for each item
 that it holds, with its best window; repeated rows count as one; items with the same words are searched once and reported
@@ -24,7 +24,7 @@ each; an item that occurs often is found in every document.
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,18 +97,6 @@ def seeds_of(items: DataFrame, families: dict[str, list[int]], window: int) -> D
     return rows.select("uid", "q", "s.mask", "s.key").filter("key IS NOT NULL")
 
 
-def first_of_hits(families: dict[str, list[int]]) -> Column:
-    """Whether the mask doesn't hit one place to the left too, in document and item: only then is the hit verified."""
-
-    def hit(mask: str) -> Column:
-        return reduce(lambda a, b: a & b, [F.get("h", F.col("p") - 1 + o) == F.get("item_h", F.col("q") - 1 + o) for o in ones(mask)])
-
-    before = F.lit(False)
-    for mask in families:
-        before = F.when(F.col("mask") == mask, hit(mask)).otherwise(before)
-    return (F.col("q") == 0) | (F.col("p") == 0) | ~before
-
-
 def laid(h: Column, diagonal: Column, n: Column) -> Column:
     """The n words of a document at an item's places, null where the document has none."""
     inside = F.slice(h, F.greatest(diagonal, F.lit(0)) + 1, n)
@@ -140,17 +128,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"), hashed(F.col(text_col)).alias("h"))
     keyed = rows.select("doc_id", "row_key", "h", F.posexplode_outer("h").alias("p", "_w")).drop("_w")
     keys = [seed(F.col("h"), F.col("p"), mask) for mask in families]
-    keyed = keyed.select("doc_id", "row_key", "h", "p", F.explode(F.array(*keys) if keys else F.array().cast("array<bigint>")).alias("key")).filter("key IS NOT NULL")
-    diagonal = (F.col("p") - F.col("q")).alias("diagonal")
-    part = laid(F.col("h"), F.col("p") - F.col("q"), F.size("item_h")).alias("part")
-    if fits and small(seeds, seed_rows):
-        hits = keyed.join(F.broadcast(seeds), "key").join(words_of_items, "uid").filter(first_of_hits(families)).select("doc_id", "row_key", "uid", "item_h", diagonal, part)
-    else:
-        narrow = keyed.drop("h").join(seeds, "key").select("doc_id", "row_key", "uid", diagonal).distinct()
-        hits = narrow.join(words_of_items, "uid").join(rows.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "h"), F.col("row_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "row_key", "uid", "item_h", "diagonal", laid(F.col("h"), F.col("diagonal"), F.size("item_h")).alias("part"))
+    keyed = keyed.select("doc_id", "row_key", "p", F.explode(F.array(*keys) if keys else F.array().cast("array<bigint>")).alias("key")).filter("key IS NOT NULL")
+    # Hits of all masks along one diagonal are one row, before anything else of them travels.
+    narrow = keyed.join(F.broadcast(seeds) if small(seeds, seed_rows) else seeds, "key").select("doc_id", "row_key", "uid", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
+    narrow = keep(narrow, "hits")
+    few = small(narrow, seed_rows)
+
+    def met(x: DataFrame, y: DataFrame, how: str) -> DataFrame:
+        y = y.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), *[c for c in y.columns if c not in ("doc_id", "row_key")])
+        return x.join(F.broadcast(y) if few else y, F.col("row_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), how)
+
+    # Only documents with hits are cut into words again, each once.
+    texts = met(docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"), F.col(text_col).alias("text")), narrow.select("doc_id", "row_key").distinct(), "left_semi")
+    hits = met(texts.select("doc_id", "row_key", hashed(F.col("text")).alias("h")), narrow, "inner").join(words_of_items, "uid")
+    hits = hits.select("doc_id", "row_key", "uid", "item_h", "diagonal", laid(F.col("h"), F.col("diagonal"), F.size("item_h")).alias("part"))
     best = F.max(F.struct("window_matches", "item_matches", (-F.col("diagonal")).alias("start"), "window_words")).alias("b")
     found = measured(hits, window).groupBy("doc_id", "row_key", "uid").agg(best)
-    # Filtered only here: pushed into the join, these functions would part it from the generated code that feeds it.
     found = found.filter(F.col("b.window_matches") >= F.ceil(F.col("b.window_words") * F.lit(share)))
     members = named.join(items, "item_h").select("uid", "item_id")
     found = found.join(F.broadcast(members) if fits else members, "uid")
