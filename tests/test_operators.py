@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import chunking as C
 from textloom.operators import graph as G
+from textloom.operators import packing
 from textloom.operators import resolution as R
 from textloom.operators import search as S
 from textloom.operators import triples as P
@@ -35,7 +36,7 @@ def test_packing_and_windows(spark):
     assert [r.start for r in C.word_windows(docs, 10, 2).orderBy("start").collect()] == [0, 8, 16, 24]
     assert [r.start for r in C.word_windows(docs, 10, 2, True).orderBy("start").collect()] == [0, 8, 16]
     pages = spark.createDataFrame([(1, 1, "a b c d"), (1, 2, "x"), (1, 3, "e f g h")], "doc_id long, page int, text string")
-    out = C.page_windows(pages, 5, 1, 2).orderBy("start").collect()
+    out = packing.page_windows(pages, 5, 1, 2).orderBy("start").collect()
     assert (out[0].pages, out[0].chunk) == ([1, 3], "a b c d e")
 
 
@@ -52,7 +53,7 @@ def test_recursive_split_keeps_words_and_size():
 
 def test_segments_are_packed_with_overlap(spark):
     rows = spark.createDataFrame([(1, float(k), k + 1.0, "x" * 40) for k in range(6)], "episode long, start double, end double, text string")
-    out = C.segment_chunks(rows, 130, 1).orderBy("chunk_index").collect()
+    out = packing.segment_chunks(rows, 130, 1).orderBy("chunk_index").collect()
     assert [(r.start, r.end) for r in out] == [(0.0, 3.0), (2.0, 5.0), (4.0, 6.0)] and out[0].chunk_total == 3
 
 
@@ -159,3 +160,34 @@ def test_fuzzy_pairs_are_all_pairs(spark):
         want = {(i, j) for i, s, x in rows for j, t, y in rows if i < j and s == t and x is not None and y is not None and 100 * difflib.SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio() >= least}
         found = [(r.a, r.b) for r in R.fuzzy_pairs(df, least).collect()]
         assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_best_window_tries_every_place(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def brute(text, words, width):
+        best, start = 0, 0
+        places = [p for w in words for p in range(len(text)) if text.lower().startswith(w, p)]
+        if not places:
+            return text[:width]
+        for s in sorted({max(0, p - width // 2) for p in places}):
+            score = sum(text[s : s + width].lower().count(w) for w in words)
+            if score > best:
+                best, start = score, s
+        part = text[start : start + width]
+        stop = part.rfind(".")
+        return part[: stop + 1] if stop > len(part) * 0.8 else part
+
+    rows = [(" ".join(rng.choice(["soil", "Moss", "fern.", "stone", "sea", "annana"]) for _ in range(rng.randrange(80))), ["moss", "ana"]) for _ in range(60)] + [("", ["a"]), (None, ["a"]), ("plain text", []), ("plain text", None)]
+    df = spark.createDataFrame(rows, "t string, w array<string>")
+    found = [r.p for r in df.select(X.best_window(F.col("t"), F.col("w"), 60).alias("p")).collect()]
+    assert found == [None if t is None else brute(t, w or [], 60) for t, w in rows]
+
+
+def test_population_reversals(spark):
+    rels = [("Boulder county", "located_in", "Lafayette"), ("Lafayette", "located_in", "Boulder"), ("Boulder", "knows", "Lafayette"), (" ", "in", "Boulder"), (None, "in", None)]
+    places = spark.createDataFrame([("boulder", 108090), ("lafayette", 30411)], "name string, population long")
+    found = R.population_reversals(spark.createDataFrame(rels, "source string, relationship string, target string"), places).collect()
+    assert [(r.source, r.target, r.suggested_fix) for r in found] == [("Boulder county", "Lafayette", "REVERSE_RELATIONSHIP")]

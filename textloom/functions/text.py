@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import pandas as pd
@@ -221,13 +222,29 @@ def properties(members: Column) -> Column:
     return F.struct(*[some(v).alias(k) for k, v in parts.items()])
 
 
+def window_of(text: str | None, words: list[str] | None, width: int) -> str | None:
+    """The window around a place of a keyword with most keyword occurrences, the first of equal ones; the beginning if no keyword
+    occurs. It ends at its last full stop if that lies in its last fifth."""
+    if text is None:
+        return None
+    low, words = text.lower(), [w for w in words or [] if w]
+    if len(low) != len(text):  # letters that small ones count differently: places are those of the text as written
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    places = sorted({m.start() for w in words for m in re.finditer(f"(?={re.escape(w)})", low)})
+    if not places:
+        return text[:width]
+    starts = sorted({max(0, p - width // 2) for p in places})
+    start = max(starts, key=lambda s: (sum(low.count(w, s, s + width) for w in words), -s))
+    part = text[start : start + width]
+    stop = part.rfind(".")
+    return part[: stop + 1] if stop > len(part) * 0.8 else part
+
+
 def best_window(text: Column, words: Column, width: int = 500) -> Column:
-    """SC4: the window around a keyword with the most keyword occurrences; the first of equal ones."""
-    low = F.lower(text)
-    starts = F.filter(F.transform(words, lambda w: F.greatest(F.instr(low, w) - width // 2, F.lit(1)) * F.least(F.instr(low, w), F.lit(1))), lambda p: p > 0)
-    def hits(p):
-        part = F.substr(low, p, F.lit(width))
-        return F.aggregate(F.transform(words, lambda w: ((F.length(part) - F.length(F.replace(part, w, F.lit("")))) / F.length(w)).cast("int")), F.lit(0), lambda a, n: a + n)
+    """SC4: window_of() for each row."""
+
+    @F.pandas_udf(StringType())
+    def best(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([window_of(t, None if w is None else list(w), width) for t, w in zip(texts, lists, strict=True)], dtype=object)
 
-    scored = F.transform(starts, lambda p: F.struct(hits(p).alias("n"), (-p).alias("neg")))
-    return F.when(F.size(starts) > 0, F.substr(text, -F.array_max(scored)["neg"], F.lit(width))).otherwise(F.substring(text, 1, width))
+    return best(text, words)

@@ -100,34 +100,6 @@ def recursive_split(size: int = 500, overlap: int = 50, marks: tuple[str, ...] =
     return split
 
 
-def segment_chunks(segments: DataFrame, most: int = 500, overlap: int = 2) -> DataFrame:
-    """CH4: ordered segments (episode, start, end, text) packed per episode; a chunk repeats the last `overlap` segments."""
-
-    def pack(_, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end"])
-        out, now, fresh = [], [], 0
-        for r in rows.itertuples():
-            if now and sum(len(x.text) + 1 for x in now) + len(r.text) > most:
-                out.append(now)
-                now, fresh = now[-overlap:] if overlap else [], 0
-            now, fresh = [*now, r], fresh + 1
-        if fresh:
-            out.append(now)
-        return pd.DataFrame([(rows.episode.iloc[0], k, len(out), float(c[0].start), float(c[-1].end), " ".join(x.text for x in c)) for k, c in enumerate(out)], columns=["episode", "chunk_index", "chunk_total", "start", "end", "chunk"])
-
-    return segments.groupBy("episode").applyInPandas(lambda rows: pack(None, rows), "episode long, chunk_index long, chunk_total long, start double, end double, chunk string")
-
-
-def page_windows(pages: DataFrame, size: int = 500, overlap: int = 75, least: int = 50) -> DataFrame:
-    """CH7: words of a book's pages in order, windows with the pages that they touch; pages under `least` words are left out."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = pages.select("doc_id", "page", words.alias("w")).filter(F.size("w") >= least)
-    rows = rows.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "w"))), lambda p: F.transform(p["w"], lambda x: F.struct(p["page"].alias("page"), x.alias("word"))))).alias("w"))
-    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap))).alias("start"))
-    part = F.slice("w", F.col("start") + 1, F.lit(size))
-    return rows.select("doc_id", "start", F.array_distinct(F.transform(part, lambda x: x["page"])).alias("pages"), F.array_join(F.transform(part, lambda x: x["word"]), " ").alias("chunk"))
-
-
 def list_split(text: Column) -> Column:
     """PP6: members of an enumeration, the first of equal ones (whatever their case); other texts alone."""
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))

@@ -1,50 +1,23 @@
 """Domains of relation names by their embeddings: near pairs, density clusters, cohesion, merging, terms of topics.
 
-Relation names are a vocabulary: near pairs are exact, and a cell of the search may hold as many pairs as its rows allow.
+Relation names are a vocabulary: near pairs are exact, by products of blocks.
 Rows whose id or vector is null, or whose vector has no length, are near nothing. Ids are unique.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import connected_components, stored
 from textloom.operators.search import ranked
-
-#: Vectors of the table to which angles are measured.
-PIVOTS = 8
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit(vector: Column) -> Column:
-    """The vector with length 1; null if it has none."""
-    wide = vector.cast("array<double>")
-    return F.when(dot(wide, wide) > 0, F.transform(wide, lambda x: x / F.sqrt(dot(wide, wide))))
+from textloom.operators.vectors import product_pairs, unit, units
 
 
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(x, y), x < y, of rows (id, vector) whose cosine is `least` or more.
-
-    Angles obey the triangle inequality: the angles of two near vectors to any third one differ by no more than their own.
-    Rows meet by the cell of their angle to one pivot, and are compared only if no pivot parts them.
-    """
-    own = stored(rows.select("id", unit(F.col("vector")).alias("u")).filter("id IS NOT NULL AND u IS NOT NULL"))
-    pivots = [r["u"] for r in own.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
-    if not pivots:
-        return own.select(F.col("id").alias("x"), F.col("id").alias("y"))
-    widest = math.acos(least)
-    angles = F.array(*[F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), F.array(*map(F.lit, p)))))) for p in pivots])
-    own = stored(own.withColumn("angles", angles).withColumn("cell", F.floor(F.col("angles")[0] / (widest / 4)).cast("int")))
-    left = own.select(F.col("id").alias("x"), F.col("u").alias("ux"), F.col("angles").alias("ax"), F.explode(F.sequence(F.col("cell") - 5, F.col("cell") + 5)).alias("cell"))
-    right = own.select(F.col("id").alias("y"), F.col("u").alias("uy"), F.col("angles").alias("ay"), "cell")
-    parted = F.exists(F.zip_with("ax", "ay", lambda a, b: F.abs(a - b)), lambda d: d > widest + 1e-6)
-    return left.join(right, "cell").filter((F.col("x") < F.col("y")) & ~parted).filter(dot(F.col("ux"), F.col("uy")) >= least).select("x", "y")
+    """(x, y), x < y, of rows (id, vector) whose cosine is `least` or more: exact, block by block. vectors.hashed_pairs compares
+    few pairs, with a stated recall."""
+    return product_pairs(units(rows), least)
 
 
 def density_clusters(rows: DataFrame, least: float = 0.7, fewest: int = 3) -> DataFrame:

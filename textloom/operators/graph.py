@@ -47,6 +47,12 @@ def bfs(edges: DataFrame, start: str, depth: int, cap: int | None = None, direct
     return seen
 
 
+def neighborhood(edges: DataFrame, start: str, radius: int) -> DataFrame:
+    """GR5, GR7: the edges between nodes within `radius` of the start, whatever their direction."""
+    near = stored(bfs(edges, start, radius).select("id"))
+    return edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type")
+
+
 def shortest_path(edges: DataFrame, a: str, b: str, most: int = 6) -> DataFrame:
     """GR4: (hops, nodes, relations) of one shortest undirected path; the first in order of nodes; no row if there is none."""
     links = both_ways(edges).distinct()

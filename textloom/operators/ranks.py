@@ -7,7 +7,7 @@ that tell them apart where that matters. Ranges end within ties too, so a value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import stored
@@ -48,3 +48,18 @@ def worst(df: DataFrame, order: list[Column], share: float, least: int) -> DataF
     """WN14: the first `share` of all rows in the order, but `least` rows at least."""
     rows = ranked(df, order, "_rank")
     return rows.filter(F.col("_rank") < max(least, int(rows.count() * share))).drop("_rank")
+
+
+def running(df: DataFrame, group: str, order: list[Column], value: Column) -> DataFrame:
+    """df with `pos`, the place of each row in its group, and `sum`, the values of the rows before it. Groups of any size are cut
+    into ranges of the order; a window sees one group within one range, and the ranges of a group one row each."""
+    rows = df.withColumn("_value", value.cast("long")).withColumn("_spread", spread_of(df))
+    rows = rows.repartitionByRange(F.col(group), *order, F.col("_spread")).sortWithinPartitions(F.col(group), *order, F.col("_spread")).drop("_spread")
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("_v"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(group).alias("_g"), "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v"))
+    near = Window.partitionBy(group, "_part").orderBy("_at")
+    rows = rows.withColumn("_pos", F.row_number().over(near) - 1).withColumn("_sum", F.sum("_value").over(near) - F.col("_value"))
+    found = rows.join(parts.withColumnRenamed("_part", "_p"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return found.select(*df.columns, (F.col("_pos") + F.col("_n")).cast("long").alias("pos"), (F.col("_sum") + F.col("_v")).cast("long").alias("sum"))

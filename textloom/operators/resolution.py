@@ -102,6 +102,18 @@ def geo_validate(rels: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select("source", "target", "p_true", F.when(unknown, F.lit(None)).otherwise(penalty == 0).alias("valid"), penalty.alias("penalty"), F.coalesce(big & ~unknown, F.lit(False)).alias("swap"), F.greatest(F.lit(0.0), F.col("p_true") - penalty).alias("adjusted"))
 
 
+def population_reversals(rels: DataFrame, places: DataFrame, factor: float = 1.5) -> DataFrame:
+    """FLT20: relationships (source, relationship, target) of a place in another, by the first words of both names, whose source
+    has over `factor` times the target's people (places: name, in small letters, population); each should be reversed."""
+    word = lambda c: F.get(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), 0)
+    located = F.exists(F.array(*[F.lit(x) for x in ("located", "in", "contains", "part_of")]), lambda x: F.contains(F.lower("relationship"), x))
+    rows = rels.filter(located).withColumn("_s", word("source")).withColumn("_t", word("target"))
+    s = places.select(F.col("name").alias("_s"), F.col("population").alias("source_population"))
+    t = places.select(F.col("name").alias("_t"), F.col("population").alias("target_population"))
+    found = rows.join(s, "_s").join(t, "_t").filter(F.col("source_population") > factor * F.col("target_population"))
+    return found.select("source", "relationship", "target", "source_population", "target_population", F.lit("REVERSE_RELATIONSHIP").alias("suggested_fix"))
+
+
 def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """CL1: k-means labels (labels differ between libraries)."""
     from pyspark.ml.clustering import KMeans

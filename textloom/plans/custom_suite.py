@@ -80,12 +80,6 @@ def speaker_turns(spark, sf):
     return rows.select("conv_id", F.posexplode(C.speaker_turns(F.col("text"))).alias("k", "part"))
 
 
-@query("segment_pack")
-def segment_pack(spark, sf):
-    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("episode"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
-    return C.segment_chunks(rows)
-
-
 @query("recursive_split")
 def recursive_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(C.recursive_split()(F.col("text"))).alias("k", "chunk"))

@@ -39,7 +39,6 @@ SQL: dict[str, tuple[str, str]] = {
     "previews": ("FLT13 RK19", "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS preview, coalesce(lang, 'unknown') AS lang FROM documents"),
     "conflicts": ("FLT18", "SELECT count(*) AS total, CAST(sum(CASE WHEN l_tax >= 0.06 AND l_discount < 0.03 THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM lineitem"),
     "stale_labels": ("FLT19", "SELECT d.source, l.field, l.label, count(*) AS n FROM documents d JOIN (SELECT doc_id, 'quality' AS field, quality AS label FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1, 2, 3"),
-    "population_reversal": ("FLT20", "SELECT a.s_suppkey AS source, b.c_custkey AS target FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey WHERE b.c_acctbal > 0 AND a.s_acctbal > 1.5 * b.c_acctbal"),
     "first_pattern": ("FLT17", "SELECT p_partkey, rule FROM (SELECT p_partkey, r.rule, row_number() OVER (PARTITION BY p_partkey ORDER BY r.o) AS k FROM part JOIN (SELECT 1 AS o, 'small' AS rule, 5 AS lim UNION ALL SELECT 2, 'middle', 25 UNION ALL SELECT 3, 'large', 100) r ON p_size <= r.lim) x WHERE k = 1"),
     # --- joins
     "left_metadata": ("JN1 JN19 JN22", "SELECT d.doc_id, d.source, l.quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
@@ -118,7 +117,6 @@ SQL: dict[str, tuple[str, str]] = {
     "entity_details": ("GR1", f"WITH {EDGES}, {NODES}, {BOTH} SELECT n.id, n.name, count(w.b) AS degree FROM nodes n LEFT JOIN both_ways w ON n.id = w.a WHERE n.id = 'n3' GROUP BY 1, 2"),
     "related_1hop": ("GR2", f"WITH {EDGES}, {NODES} SELECT n.id, n.type, e.type AS relation FROM edges e JOIN nodes n ON e.dst = n.id WHERE e.src = 's1' ORDER BY n.id LIMIT 20"),
     "related_2hop": ("GR3", f"WITH {EDGES}, hops AS (SELECT dst AS id, 1 AS h FROM edges WHERE src = 's1' UNION ALL SELECT b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 's1') SELECT id, min(h) AS min_hops FROM hops GROUP BY 1"),
-    "neighborhood": ("GR5 GR7", f"WITH {EDGES}, {BOTH}, first AS (SELECT DISTINCT b AS id FROM both_ways WHERE a = 'r1'), second AS (SELECT DISTINCT b AS id FROM both_ways WHERE a IN (SELECT id FROM first)), near AS (SELECT 'r1' AS id UNION SELECT id FROM first UNION SELECT id FROM second) SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)"),
     "timeline": ("GR8", "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS mentions FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = 7 GROUP BY 1"),
     "sync_check": ("GR14", "SELECT (SELECT count(*) FROM documents) AS extracted, (SELECT count(DISTINCT doc_id) FROM documents) AS pages, (SELECT count(*) FROM documents) = (SELECT count(DISTINCT doc_id) FROM documents) AS in_step"),
     "graph_nodes": ("GR13 GR15 SRC12", f"WITH {NODES} SELECT id, type, substr(name, 1, 500) AS description, CAST(0.8 AS DOUBLE) AS importance FROM nodes"),

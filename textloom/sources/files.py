@@ -11,7 +11,7 @@ EPISODE = "episode_number string, title string, subtitle string, description str
 
 def episodes(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """SRC1, SRC2: episode files by name; broken files and transcripts of 100 letters and less are left out."""
-    rows = spark.read.schema(EPISODE).option("multiLine", True).json(path).withColumn("file", F.input_file_name()).cache()
+    rows = spark.read.schema(EPISODE).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     if limit:
         rows = rows.orderBy("file").limit(limit)
     return rows.filter(F.col("_corrupt_record").isNull() & (F.length("full_transcript") > 100)).drop("_corrupt_record")
@@ -89,9 +89,9 @@ def migrate(rows: DataFrame, stale: dict[str, str]) -> tuple[DataFrame, DataFram
     return new.withColumn("labels", F.col("new")).drop("new"), new.groupBy("namespace").agg(F.count(F.lit(1)).alias("changed"))
 
 
-def books(spark: SparkSession, path: str) -> DataFrame:
+def books(spark: SparkSession, path: str, file: str = "metadata.json") -> DataFrame:
     """SRC3: book metadata, one JSON file a folder, with the folder's name; broken files are left out."""
-    rows = spark.read.schema("title string, author string, pages int, _corrupt_record string").option("multiLine", True).json(f"{path}/*/metadata.json")
+    rows = spark.read.schema("title string, author string, pages int, _corrupt_record string").option("multiLine", True).json(f"{path}/*/{file}")
     return rows.withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2)).filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
