@@ -104,3 +104,27 @@ def test_greedy_cuts_and_capacity(sizes, shards):
     groups.held = __import__("collections").OrderedDict({0: run})
     cap, cuts = groups.minimax(shards)
     assert cap == best_capacity(sizes, shards) and len(cuts) < shards
+
+
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=60), st.integers(1, 8))
+def test_level_cuts_keep_the_capacity_and_even_shares(sizes, shards):
+    import numpy as np
+
+    groups = sharding.Groups.__new__(sharding.Groups)
+    run = np.cumsum(sizes)
+    groups.ids, groups.ends, groups.total, groups.top = [0], run[-1:], int(run[-1]), max(sizes)
+    groups.held = __import__("collections").OrderedDict({0: run})
+    cap = groups.minimax(shards)[0]
+    cuts = [j for _, j in groups.level(cap, shards)]
+    assert cuts == sorted(cuts) and len(cuts) < shards
+    load = [sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)]
+    assert max(load) <= cap
+    if len(sizes) >= 8 * shards and max(sizes) * 4 * shards <= sum(sizes):
+        assert min(load) >= sum(sizes) / shards - 2 * max(sizes)
+
+
+def test_shards_of_a_table_are_near_equal(spark):
+    rows = [(i, f"text {i} " + "y" * (i * 37 % 400)) for i in range(3000)]
+    out = sharding.assign(docs(spark, rows), shards=40).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    n = [r.n for r in out]
+    assert len(n) == 40 and min(n) > 0.8 * sum(n) / 40 and max(n) < 1.2 * sum(n) / 40

@@ -2,7 +2,9 @@
 
 Rows with equal texts form an atomic group; groups stand in the order of their SHA-256, an arbitrary but fixed order
 that mixes sources. The smallest capacity with which the ordered groups fit into the shards is found by binary search,
-each capacity being checked greedily, and the cuts are those of the greedy pass at that capacity.
+each capacity being checked greedily. Many cuts keep that capacity: between those of the greedy pass, which fills the first
+shards, and those of a greedy pass from the end. Each cut is made as near its even share of all bytes as these allow, so
+no shard is left with all the slack.
 
 A group larger than a fair share of what is left gets a shard of its own, after the contiguous ones: within one minimax
 sequence it would set the capacity and leave later shards empty. There are fewer such groups than shards.
@@ -115,6 +117,35 @@ class Groups:
             low, high = (low, mid) if self.cuts(mid, shards) is not None else (mid + 1, high)
         return low, self.cuts(low, shards) or []
 
+    def first_from(self, least: int) -> tuple[int, int, int]:
+        """The smallest prefix sum that is at least `least`, and where it ends: (sum, block, index in it)."""
+        k = int(np.searchsorted(self.ends, least, side="left"))
+        if k == len(self.ids):
+            return self.total, len(self.ids), -1
+        run = self.block(k)
+        j = int(np.searchsorted(run, least, side="left"))
+        return int(run[j]), k, j
+
+    def level(self, capacity: int, shards: int) -> list[tuple[int, int]]:
+        """Cuts (the first group after each) that keep the capacity and lie as near even shares as they can."""
+        lows = [self.total]
+        for _ in range(shards - 1):
+            lows.append(self.first_from(max(0, lows[-1] - capacity))[0] if lows[-1] > capacity else 0)
+        lows.reverse()
+        out, start = [], 0
+        for i in range(1, shards):
+            ideal = self.total * i / shards
+            under, over = self.furthest(int(ideal)), self.first_from(int(ideal) + 1)
+            near = under if ideal - under[0] <= over[0] - ideal else over
+            # lows[i - 1] is the least sum at which the rest still fits into the shards that are left.
+            most, least = self.furthest(start + capacity), max(start, lows[i - 1])
+            found = near if least <= near[0] <= most[0] else most if near[0] > most[0] else self.first_from(least)
+            if found[0] >= self.total:
+                break
+            start = found[0]
+            out.append((found[1], found[2] + 1))
+        return out
+
     def groups_at(self, places: list[tuple[int, int]]) -> list[bytes]:
         """The groups at places (block, index in it), in their order, read by one job."""
         wanted = [(self.ids[k], (self.ids[k] & 0xFFFFFFFF) * BLOCK + j) for k, j in places]
@@ -147,7 +178,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     small = sizes.filter(~F.col("grp").isin([g for g, _ in alone])) if alone else sizes
     ordered = small.repartitionByRange("grp").sortWithinPartitions("grp").mapInArrow(prefixed, "block long, at long, run long, size long, grp binary")
     stored = Groups(keep(ordered, "prefix"))
-    _, cuts = stored.minimax(rest) if stored.ids else (0, [])
+    cuts = stored.level(stored.minimax(rest)[0], rest) if stored.ids else []
     firsts = stored.groups_at([(k, j) if j < len(stored.block(k)) else (k + 1, 0) for k, j in cuts])
 
     shard: Column = F.lit(0)
