@@ -191,3 +191,12 @@ def test_population_reversals(spark):
     places = spark.createDataFrame([("boulder", 108090), ("lafayette", 30411)], "name string, population long")
     found = R.population_reversals(spark.createDataFrame(rels, "source string, relationship string, target string"), places).collect()
     assert [(r.source, r.target, r.suggested_fix) for r in found] == [("Boulder county", "Lafayette", "REVERSE_RELATIONSHIP")]
+
+
+def test_validated_pairs_are_new_and_replays_change_nothing(spark, tmp_path):
+    for rows in ([(1, 2), (2, 1), (3, 3), (None, 4)], [(2, 1), (5, 4)]):
+        spark.createDataFrame(rows, "a long, b long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.parquet_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "a long, b long").schema)
+        streams.validated_pairs(stream, str(tmp_path / "out"), "a", "b").awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out" / "pairs"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 0), (3, 3, 0), (4, 5, 1)]

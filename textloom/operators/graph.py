@@ -98,12 +98,30 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
 
 
-def hierarchy_paths(spark: SparkSession, parents: DataFrame, depth: int = 20) -> DataFrame:
-    """GR12: (id, depth, path) from the roots down, by a recursive query with a depth limit."""
-    parents.createOrReplaceTempView("_hierarchy")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, depth, path) AS (
-            SELECT id, 0, CAST(id AS STRING) FROM _hierarchy WHERE parent_id IS NULL
-            UNION ALL
-            SELECT h.id, w.depth + 1, concat(w.path, '/', h.id) FROM walk w JOIN _hierarchy h ON h.parent_id = w.id WHERE w.depth < {depth}
-        ) SELECT id, depth, path FROM walk""")
+def hierarchy_paths(parents: DataFrame) -> DataFrame:
+    """GR12: (id, depth, path) of rows (id, parent_id) from the roots down, at any depth: each round doubles the piece of the path
+    that a row knows. Rows that no root leads to, below a parent that is not there or on a circle, have none."""
+    known = stored(parents.select("id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.col("id").cast("string").alias("path")))
+    n = known.count()
+    for _ in range(n.bit_length() + 1):
+        if known.filter("up IS NOT NULL").isEmpty():
+            break
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("path").alias("before"))
+        climbed = known.filter("up IS NOT NULL").join(above, "up").select("id", F.col("further").alias("up"), (F.col("depth") + F.col("more") + 1).alias("depth"), F.concat("before", F.lit("/"), "path").alias("path"))
+        # A row deeper than there are rows is on a circle.
+        known = stored(known.filter("up IS NULL").unionByName(climbed.filter(F.col("depth") < n)))
+    return known.filter("up IS NULL").select("id", "depth", "path")
+
+
+def adopted(clusters: DataFrame, group_rows: int = 100_000) -> DataFrame:
+    """GR12: clusters (id, parent_id, x, y) in which top ones without children get the nearest top one that has some as their
+    parent (ties: the least id). Without such groups nothing changes."""
+    inner = clusters.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
+    tops = clusters.filter("parent_id IS NULL")
+    groups = stored(tops.join(inner, "id", "left_semi").select(F.col("id").alias("g"), F.col("x").alias("gx"), F.col("y").alias("gy")))
+    if groups.count() > group_rows:
+        raise ValueError(f"more than {group_rows} groups: cluster them first")
+    lone = tops.join(inner, "id", "left_anti").select("id", "x", "y")
+    distance = (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy"))
+    nearest = lone.crossJoin(F.broadcast(groups)).groupBy("id").agg(F.min(F.struct(distance.alias("d"), F.col("g"))).alias("m")).select("id", F.col("m.g").alias("new"))
+    return clusters.join(nearest, "id", "left").withColumn("parent_id", F.coalesce("parent_id", "new")).drop("new")

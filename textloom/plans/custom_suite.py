@@ -52,7 +52,7 @@ def cycle_nodes(spark, sf):
 def hierarchy_paths(spark, sf):
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     rows = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
-    return G.hierarchy_paths(spark, rows.unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))))
+    return G.hierarchy_paths(rows.unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))))
 
 
 W = r"list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import corrections as K
 from textloom.operators import ontology as O
 from textloom.operators import resolution as R
 from textloom.operators import search as S
@@ -307,3 +308,70 @@ def recommendations(spark, sf):
     docs = table(spark, sf, "documents")
     found = I.search(index(spark, sf), TERMS, 6).select("doc_id", F.round("score", 6).alias("score"))
     return S.recommendations(found.join(docs.select("doc_id", "source"), "doc_id"))
+
+
+# --- corrections: relationships and corrections made from part, with every case that the rules tell apart
+LINKS = "SELECT p_partkey AS seq, CASE p_partkey % 5 WHEN 0 THEN 'located_in' WHEN 1 THEN 'part_of' WHEN 2 THEN 'contains' WHEN 3 THEN 'makes' ELSE 'grows' END AS relationship, CASE p_partkey % 7 WHEN 0 THEN 'an unknown place' WHEN 1 THEN 'Biochar' WHEN 2 THEN 'Lebanese' WHEN 3 THEN p_name WHEN 4 THEN 'Unclear Hill' WHEN 5 THEN 'a Concept or principle' ELSE 'an African' END AS target, CASE p_partkey % 3 WHEN 0 THEN 'her grandmother' WHEN 1 THEN p_brand ELSE 'person' END AS source, CAST(0.5 + p_size / 100.0 AS DOUBLE) AS confidence FROM part"
+MARKS = f"SELECT l.*, CASE seq % 4 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'RETYPE' WHEN 2 THEN 'DELETE' ELSE 'REVERSE' END AS action, CASE WHEN seq % 4 = 1 THEN 'is' END AS corrected, CASE WHEN seq % 8 < 4 THEN 'Abstract idea' ELSE 'wrong' END AS reasoning FROM ({LINKS}) l WHERE seq % 3 = 0"
+VAGUE2 = "(contains(lower(target), 'unknown') OR contains(lower(target), 'unclear'))"
+VAGUE3 = f"({VAGUE2} OR contains(lower(target), 'unspecified'))"
+LESSONS = f"lessons AS (SELECT seq, 0 AS place, 'vague_entity_deletion' AS type, NULL AS term FROM marks WHERE action = 'DELETE' AND {VAGUE2} UNION ALL SELECT seq, o, 'abstract_as_location', t FROM marks, (SELECT 1 AS o, 'biochar' AS t UNION ALL SELECT 2, 'concept' UNION ALL SELECT 3, 'principle') WHERE action = 'DELETE' AND contains(lower(reasoning), 'abstract') AND contains(lower(target), t) UNION ALL SELECT seq, 4, 'wrong_relation_type_nationality', NULL FROM marks WHERE action = 'RETYPE' AND contains(relationship, 'part_of') AND contains(corrected, 'is') UNION ALL SELECT seq, 5, 'reversed_geographic', NULL FROM marks WHERE action = 'REVERSE')"
+PATTERNS = "patterns AS (SELECT type, min(seq * 10 + place) AS first, count(*) AS n, arg_min(term, seq * 10 + place) FILTER (WHERE term IS NOT NULL) AS term FROM lessons GROUP BY type)"
+
+
+def links(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    return spark.sql(LINKS), spark.sql(MARKS)
+
+
+GEO_RULE = " OR ".join(f"contains(lower(relationship), '{g}')" for g in ("located_in", "part_of", "contains", "in", "based_in"))
+
+
+@query("suspicious_patterns", f"WITH links AS ({LINKS}) SELECT seq, 'vague_location' AS pattern FROM links WHERE ({GEO_RULE}) AND {VAGUE3} UNION ALL SELECT seq, 'abstract_as_location' FROM links WHERE ({GEO_RULE}) AND (contains(lower(target), 'biochar') OR contains(lower(target), 'sustainability') OR contains(lower(target), 'concept') OR contains(lower(target), 'principle')) UNION ALL SELECT seq, 'wrong_relationship_type' FROM links WHERE contains(relationship, 'part_of') AND (contains(source, 'mother') OR contains(source, 'father') OR contains(source, 'person')) AND (contains(lower(target), 'lebanese') OR contains(lower(target), 'american') OR contains(lower(target), 'european'))")
+def suspicious_patterns(spark, sf):
+    return K.suspicious(links(spark, sf)[0]).select("seq", "pattern")
+
+
+@query("low_confidence", f"SELECT CASE WHEN confidence < 0.60 THEN 'below' WHEN confidence < 0.65 THEN '0.60-0.65' WHEN confidence < 0.70 THEN '0.65-0.70' ELSE '0.70-0.75' END AS range, count(*) AS n FROM ({LINKS}) WHERE confidence < 0.75 GROUP BY 1")
+def low_confidence(spark, sf):
+    return K.confidence_ranges(links(spark, sf)[0])
+
+
+@query("learned_patterns", f"WITH marks AS ({MARKS}), {LESSONS}, {PATTERNS} SELECT type, n, term FROM patterns")
+def learned_patterns(spark, sf):
+    return K.learn(links(spark, sf)[1]).select("type", "n", "term")
+
+
+@query("learned_corrections", f"WITH links AS ({LINKS}), marks AS ({MARKS}), {LESSONS}, {PATTERNS}, hits AS (SELECT seq, type, n, first FROM links, patterns WHERE (type = 'vague_entity_deletion' AND {VAGUE3}) OR (type = 'abstract_as_location' AND contains(lower(target), term) AND (contains(relationship, 'located_in') OR contains(relationship, 'part_of') OR contains(relationship, 'contains'))) OR (type = 'wrong_relation_type_nationality' AND contains(relationship, 'part_of') AND (contains(lower(target), 'lebanese') OR contains(lower(target), 'american') OR contains(lower(target), 'european') OR contains(lower(target), 'african')))), best AS (SELECT seq, arg_min(type, first) AS pattern, arg_min(n, first) AS n FROM hits GROUP BY seq) SELECT l.seq, CASE WHEN pattern = 'wrong_relation_type_nationality' THEN 'RETYPE' WHEN pattern IS NOT NULL THEN 'DELETE' WHEN confidence < 0.70 THEN 'REVIEW' END AS action, CASE WHEN pattern = 'wrong_relation_type_nationality' THEN 'is' END AS corrected, pattern, n / 10 AS pattern_confidence FROM links l LEFT JOIN best USING (seq)")
+def learned_corrections(spark, sf):
+    rels, marks = links(spark, sf)
+    return K.apply(rels, K.learn(marks)).select("seq", "action", "corrected", "pattern", "pattern_confidence")
+
+
+@query("correction_summary", f"WITH marks AS ({MARKS}), {LESSONS} SELECT 'action' AS kind, action AS name, count(*) AS n FROM marks GROUP BY action UNION ALL SELECT * FROM (SELECT 'pattern', type, count(*) AS n FROM lessons GROUP BY type ORDER BY n DESC, type LIMIT 10)")
+def correction_summary(spark, sf):
+    return K.report(links(spark, sf)[1])
+
+
+NAMED = "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN concat(p_name, ' City') WHEN 1 THEN concat('State of ', p_brand) WHEN 2 THEN concat(p_brand, ' Foundation') WHEN 3 THEN 'Zinc works' WHEN 4 THEN 'First Bank of Colorado' WHEN 5 THEN 'Anna Maria Bell' WHEN 6 THEN 'anna bell' WHEN 7 THEN '' ELSE p_name END AS name FROM part"
+PLACES_RULE = " OR ".join(f"contains(lower(name), '{w}')" for w in ("city", "county", "state", "country", "region"))
+ORGS_RULE = " OR ".join(f"contains(lower(name), '{w}')" for w in ("inc", "llc", "corp", "foundation", "institute", "university"))
+BOOK_ORGS = " OR ".join(f"contains(lower(name), '{w}')" for w in ("bank", "company", "corporation", "foundation", "institute", "organization"))
+BOOK_PLACES = " OR ".join(f"contains(lower(name), '{w}')" for w in ("colorado", "usa", "america", "city", "county", "state"))
+
+
+@query("entity_types", f"SELECT p_partkey, CASE WHEN {PLACES_RULE} THEN 'Place' WHEN {ORGS_RULE} THEN 'Org' ELSE 'UNKNOWN' END AS kind, CASE WHEN trim(name) = '' THEN 'UNKNOWN' WHEN {BOOK_ORGS} THEN 'Org' WHEN {BOOK_PLACES} THEN 'Place' WHEN regexp_matches(name, '^[A-Z]') AND contains(name, ' ') AND len(list_filter(string_split(name, ' '), lambda w: w <> '')) <= 3 THEN 'Person' ELSE 'UNKNOWN' END AS book_kind FROM ({NAMED})")
+def entity_types(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    return spark.sql(NAMED).select("p_partkey", K.entity_type(F.col("name")).alias("kind"), K.entity_type(F.col("name"), books=True).alias("book_kind"))
+
+
+#: Claims of documents: some without a hash, some hashed before their document changed, some repeated.
+CLAIMED = "SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN {sha}(concat(text, ' ')) ELSE {sha}(text) END AS doc_sha256, sha1(CAST(doc_id - CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS STRING)) AS claim_uid, CAST(0.6 + (n_chars % 40) / 100.0 AS DOUBLE) AS p_true FROM documents"
+
+
+@query("acceptance_tests", "WITH r AS (" + CLAIMED.replace("{sha}", "sha256") + "), j AS (SELECT r.*, sha256(d.text) AS now FROM r JOIN documents d USING (doc_id)) SELECT 'AT-01' AS test, round(100.0 * count(doc_sha256) / count(*), 4) AS value, CAST(count(*) FILTER (WHERE doc_sha256 <> now) AS DOUBLE) AS detail, round(100.0 * count(doc_sha256) / count(*), 4) >= 95 AS passed FROM j UNION ALL SELECT 'AT-02', CAST(count(claim_uid) - count(DISTINCT claim_uid) AS DOUBLE), CAST(count(claim_uid) AS DOUBLE), count(claim_uid) = count(DISTINCT claim_uid) FROM j UNION ALL SELECT 'AT-05', round(avg(p_true), 6), round(100.0 * count(*) FILTER (WHERE p_true >= 0.75) / count(p_true), 4), avg(p_true) BETWEEN 0.5 AND 0.95 AND 100.0 * count(*) FILTER (WHERE p_true >= 0.75) / count(p_true) >= 70 FROM j")
+def acceptance_tests(spark, sf):
+    docs = table(spark, sf, "documents")
+    docs.createOrReplaceTempView("documents")
+    return K.acceptance(spark.sql(CLAIMED.replace("{sha}(concat(text, ' '))", "sha2(concat(text, ' '), 256)").replace("{sha}(text)", "sha2(text, 256)")), docs)

@@ -12,7 +12,7 @@ from textloom.operators.graph import shared_folder
 from textloom.plans.catalogue import query
 from textloom.plans.sql_suite import BOTH, EDGES, views
 from textloom.sources.tables import table
-from textloom.streaming import budgets
+from textloom.streaming import budgets, streams
 
 
 @query("interval_overlap", "SELECT seg, spk FROM (SELECT a.event_id AS seg, b.event_type AS spk, row_number() OVER (PARTITION BY a.event_id ORDER BY round(sum(least(a.value + 10, b.value + 5) - greatest(a.value, b.value)), 9) DESC, b.event_type) AS k FROM events a JOIN events b ON a.user_id = b.user_id AND a.value < b.value + 5 AND b.value < a.value + 10 GROUP BY a.event_id, b.event_type) x WHERE k = 1")
@@ -166,3 +166,43 @@ def geo_checks(spark, sf):
     places = spark.sql(f"WITH {GEO} SELECT name, population, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, type, CASE WHEN parent IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE array(parent) END AS admin_path FROM geo")
     found = resolution.geo_validate(spark.sql(CLAIMED).withColumn("p_true", F.col("p_true").cast("double")), places)
     return found.withColumn("adjusted", F.round("adjusted", 6))
+
+
+def stream(spark, sf, name):
+    """A table as a stream of its files."""
+    return streams.parquet_stream(spark, f"{sf}/{name}.parquet*", table(spark, sf, name).schema)
+
+
+@query("stream_new_items", "SELECT DISTINCT user_id FROM events")
+def stream_new_items(spark, sf):
+    path = f"{shared_folder(spark)}/new-{uuid.uuid4().hex}"
+    events = stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = streams.new_items(events, "user_id", late="40 days")
+    found.writeStream.format("parquet").option("path", f"{path}/items").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long").parquet(f"{path}/items")
+
+
+@query("stream_days", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_days(spark, sf):
+    """Events appended to a folder for each day, and read again."""
+    path = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    streams.append_by_day(stream(spark, sf, "events"), f"{path}/events", f"{path}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{path}/events")
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_pairs", "SELECT DISTINCT least(l_suppkey, l_partkey) AS x, greatest(l_suppkey, l_partkey) AS y FROM lineitem")
+def stream_pairs(spark, sf):
+    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    streams.validated_pairs(stream(spark, sf, "lineitem"), path, "l_suppkey", "l_partkey").awaitTermination()
+    return spark.read.parquet(f"{path}/pairs").select("x", "y")
+
+
+#: Regions with their nations; suppliers of the first five keys stand alone. Places: averages of balances and keys.
+CLUSTERS = "SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent_id, r_regionkey * 10.0D AS x, r_regionkey * r_regionkey * 1.0D AS y FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_nationkey * 1.0D, 0.0D FROM nation WHERE n_regionkey < 4 UNION ALL SELECT concat('s', s_suppkey), CAST(NULL AS STRING), s_acctbal / 100, s_suppkey / 3.0D FROM supplier"
+
+
+@query("hierarchy", "WITH c AS (" + CLUSTERS.replace("0D", "0::DOUBLE") + "), g AS (SELECT * FROM c WHERE parent_id IS NULL AND id IN (SELECT parent_id FROM c)), l AS (SELECT * FROM c WHERE parent_id IS NULL AND id NOT IN (SELECT parent_id FROM c WHERE parent_id IS NOT NULL)), m AS (SELECT l.id, arg_min(g.id, ((l.x - g.x) * (l.x - g.x) + (l.y - g.y) * (l.y - g.y), g.id)) AS parent FROM l, g GROUP BY l.id) SELECT id, 0 AS depth, id AS path FROM g UNION ALL SELECT id, 1, concat(parent_id, '/', id) FROM c WHERE parent_id IS NOT NULL UNION ALL SELECT id, 1, concat(parent, '/', id) FROM m")
+def hierarchy(spark, sf):
+    views(spark, sf)
+    return graph.hierarchy_paths(graph.adopted(spark.sql(CLUSTERS)))

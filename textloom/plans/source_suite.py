@@ -125,3 +125,32 @@ def model_batches(spark, sf):
         return frame.assign(letters=text.str.len(), score=text.str.count("e"))[["doc_id", "letters", "score"]]
 
     return chunking.batches_through(table(spark, sf, "documents").select("doc_id", "text"), score, "doc_id long, letters long, score long")
+
+
+@query("rss_feed", "SELECT concat('Episode ', o_orderkey, ' & more') AS title, concat('https://pods.example/', o_orderkey) AS link, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 7 <> 0")
+def rss_feed(spark, sf):
+    """Orders as items of a feed, every seventh without a title."""
+    title = F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("<title>Episode "), "o_orderkey", F.lit(" &amp; more</title>")))
+    item = F.concat(F.lit("<item>"), title, F.lit("<link>https://pods.example/"), "o_orderkey", F.lit("</link><pubDate>"), F.date_format(F.col("o_orderdate").cast("timestamp"), "EEE, d MMM yyyy HH:mm:ss"), F.lit(' +0000</pubDate><enclosure url="x.mp3"/></item>'))
+    path = folder(spark, "feed")
+    # A feed of at most a thousand items a file.
+    feeds = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("file")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("value"))
+    feeds.repartition("file").write.partitionBy("file").text(path)
+    return files.rss(spark, f"{path}/*/").select("title", "link", F.date_format("published", "yyyy-MM-dd").alias("day"))
+
+
+@query("wiki_files", "SELECT 'nations' AS folder, count(*) AS pages FROM nation UNION ALL SELECT 'regions', count(*) FROM region UNION ALL SELECT 'nation links', count(*) FROM nation UNION ALL SELECT 'indexes', 2")
+def wiki_files(spark, sf):
+    """Pages of nations and regions, written and read as files."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    entities = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("Nation").alias("type"), F.lit("a nation").alias("description"))
+    entities = entities.unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("Region").alias("type"), F.lit(None).cast("string").alias("description")))
+    edges = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit("PART_OF").alias("type"))
+    path = folder(spark, "wiki")
+    files.write_pages(files.wiki_pages(entities, edges), path)
+    rows = spark.read.text(path, wholetext=True)
+    index = F.col("file") == "Index.md"
+    name = F.when(index, "indexes").otherwise(F.col("folder"))
+    counts = rows.groupBy(name.alias("folder")).agg(F.count(F.lit(1)).alias("pages"))
+    linked = rows.filter(~index & F.col("value").contains("- PART_OF: [[")).agg(F.lit("nation links").alias("folder"), F.count(F.lit(1)).alias("pages"))
+    return counts.unionByName(linked.select("folder", "pages"))

@@ -106,3 +106,36 @@ def preview(chunks: DataFrame, most: int = 10, letters: int = 200) -> DataFrame:
     total = chunks.agg(F.count(F.lit(1)).alias("total"), F.sum(F.length("text")).alias("letters"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
     first = chunks.orderBy("id").limit(most).select("id", F.substring("text", 1, letters).alias("preview"))
     return first.crossJoin(F.broadcast(total))
+
+
+def rss(spark: SparkSession, path: str) -> DataFrame:
+    """SRC13: the items of RSS feeds in XML files: title, link, published (null if it can't be read), audio; broken items are left out."""
+    schema = "title string, link string, pubDate string, enclosure struct<_url: string>, _corrupt_record string"
+    rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).filter("_corrupt_record IS NULL AND title IS NOT NULL")
+    published = F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return rows.select("title", "link", published.alias("published"), F.col("enclosure._url").alias("audio"))
+
+
+def wiki_pages(entities: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """SRC18: (folder, file, body): a Markdown page for each entity (id, name, type, description) with its first `most` links by
+    relation and name of edges (src, dst, type), and an index page for each type."""
+    from textloom.functions.text import file_name
+
+    named = entities.select(F.col("id").alias("dst"), F.col("name").alias("other"))
+    linked = edges.join(named, "dst").select(F.col("src").alias("id"), "type", "other").distinct()
+    first = linked.withColumn("k", F.expr("row_number() OVER (PARTITION BY id ORDER BY type, other)")).filter(F.col("k") <= most)
+    lines = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("type", "other"))).alias("l"))
+    folder = F.concat(F.lower("type"), F.lit("s"))
+    links = F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["type"], F.lit(": [["), x["other"], F.lit("]]"))), "\n")
+    body = F.concat(F.lit("# "), "name", F.lit("\n\n"), F.coalesce("description", F.lit("")), F.when(F.col("l").isNotNull(), F.concat(F.lit("\n\n## Links\n\n"), links)).otherwise(F.lit("")), F.lit("\n"))
+    pages = entities.join(lines, "id", "left").select(folder.alias("folder"), F.concat(file_name(F.col("name")), F.lit(".md")).alias("file"), body.alias("body"))
+    # An index names no more than a thousand pages; the folder has them all.
+    ranked = entities.withColumn("k", F.expr("row_number() OVER (PARTITION BY type ORDER BY name, id)")).withColumn("n", F.expr("count(*) OVER (PARTITION BY type)")).filter("k <= 1000")
+    index = ranked.groupBy("type", "n").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    listed = F.array_join(F.transform("names", lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n")
+    return pages.unionByName(index.select(folder.alias("folder"), F.lit("Index.md").alias("file"), F.concat(F.lit("# "), "type", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n\n"), listed, F.lit("\n")).alias("body")))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Writes each page (folder, file, body) as the text of `path`/folder=.../file=...; pages of one name stand together."""
+    pages.select("folder", "file", F.col("body").alias("value")).repartition("folder", "file").write.partitionBy("folder", "file").text(path)

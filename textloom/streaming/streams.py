@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -67,3 +68,19 @@ def append_by_day(stream: DataFrame, path: str, checkpoint: str):
 def new_items(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """ST1, ST7: items not seen before."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def validated_pairs(stream: DataFrame, path: str, a: str, b: str):
+    """ST7: appends the unordered pairs of each micro-batch that were not validated before to `path`/pairs, a folder for each batch;
+    a batch that is replayed writes its folder anew."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        pairs = batch.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+        try:
+            known = batch.sparkSession.read.parquet(f"{path}/pairs").filter(F.col("batch") != batch_id)
+            pairs = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti")
+        except AnalysisException:
+            pass  # the first batch
+        pairs.write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
