@@ -15,7 +15,7 @@ merge() writes all of them as one from their postings, without reading the texts
 A search reads the buckets of its terms only. It scores the blocks with the highest bounds first; the k-th score found is
 the threshold for the bounds of all others, and only blocks that reach it are read. The result is exact.
 
-Scale: blocks of a common term spread over files by range; the driver learns sums, the terms of the query and one threshold.
+Scale: blocks of a common term spread over files by slices of the documents; the driver learns sums, the terms of the query and one threshold.
 Defined results: documents without terms are indexed with length 0; ids are unique, append() skips those that the index has;
 a query without terms gives no rows; texts that are null count as empty.
 """
@@ -36,6 +36,8 @@ from textloom.operators.search import B, EPSILON, K1, tokens
 
 #: Documents of a block, and folders of terms.
 BLOCK, BUCKETS = 256, 32
+#: Blocks of one bucket that are written by one task.
+SLICE = 1024
 #: Blocks that are scored first, to learn the threshold.
 FIRST = 8
 #: Scores this far below the threshold are still read, so that rounding can't part what it makes equal.
@@ -118,8 +120,10 @@ def write_generation(sized: DataFrame, postings: DataFrame, path: str, block: in
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).first()
     entry = F.struct("doc_id", "tf", "dl")
     # At most `block` entries a row.
-    blocks = postings.join(docs, "doc_id").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    # A bucket's blocks are dealt out by slices of the documents, so a common term spreads; terms are grouped where they arrive.
+    rows = postings.join(docs, "doc_id").withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("slice", F.floor(F.col("block") / SLICE))
+    blocks = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    blocks = blocks.drop("slice").sortWithinPartitions("bucket", "term", "block")
     if total["words"]:
         blocks.write.partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
         terms = docs.sparkSession.read.parquet(f"{path}/postings/gen={gen}")
