@@ -3,7 +3,9 @@
 The cost of joining two clusters is n m / (n + m) times the squared distance of their centroids. Two clusters that are
 each other's cheapest partner are joined by the sequential method too, sooner or later, whatever else is joined (the
 cost is reducible), so all such pairs join in one round, with centroids weighed by their sizes. Partners are found
-exactly, by blocks. Once no more than SMALL clusters are left, one task of that bounded size joins the rest.
+exactly, by blocks: products of matrices leave few pairs to compute. From the second round on only new clusters and those
+that have lost their partner are compared with all others. Equal vectors join first. Once no more than SMALL clusters are
+left, one task of that bounded size joins the rest.
 
 Ties are broken by ids alike on both sides. A cluster is named by its least id: each id but the last one is absorbed once, so
 a join is (id, into, cost, round). A cut into k clusters takes back the k - 1 dearest joins.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.operators.graph import stored
-from textloom.operators.vectors import BLOCK, by_blocks, id_type, in_blocks
+from textloom.operators.vectors import BLOCK, STRIP, by_blocks, id_type, in_blocks
 
 #: Clusters that one task may join to the end.
 SMALL = 1024
@@ -34,25 +36,63 @@ def costs(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndar
     return d * (n[:, None] * m[None, :] / (n[:, None] + m[None, :]))
 
 
+def exact_costs(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The costs of pairs of rows; the same numbers as costs()."""
+    d = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        d += (a[:, k] - b[:, k]) ** 2
+    return d * (n * m / (n + m))
+
+
+def least_costs(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, cost): for each row of a its cheapest row of b, of equal ones the first; own is the place of
+    the row itself in b, -1 if it is not there. Products give the costs but for rounding, and the exact ones are computed
+    for those that it may part."""
+    sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = (sa[:, None] + sb[None, :] - 2 * (a @ b.T)) * (n[:, None] * m[None, :] / (n[:, None] + m[None, :]))
+    here = np.flatnonzero(own >= 0)
+    rough[here, own[here]] = np.inf
+    slack = 1e-12 * n * (sa + sb.max(initial=0.0))
+    i, j = np.nonzero((rough <= (rough.min(axis=1) + 2 * slack)[:, None]) & np.isfinite(rough))
+    cost = np.concatenate([exact_costs(a[i[s : s + 65536]], n[i[s : s + 65536]], b[j[s : s + 65536]], m[j[s : s + 65536]]) for s in range(0, max(1, len(i)), 65536)])
+    order = np.lexsort((j, cost, i))
+    i, j, cost = i[order], j[order], cost[order]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+    return i[first], j[first], cost[first]
+
+
 def partners(clusters: DataFrame, size: int) -> DataFrame:
-    """(id, partner, cost): the cheapest partner of each cluster (id, n, v); of equal ones the least id."""
+    """(id, partner, cost): the cheapest partner of each cluster (id, n, v, fresh, partner, cost); of equal ones the least id.
+
+    Clusters without a partner are compared with all; those that have one, the cheapest of all that are not fresh, only with
+    fresh ones."""
     kind = id_type(clusters)
-    blocks = in_blocks(clusters, "v", ["n"], size)
+    known = clusters.filter("partner IS NOT NULL")
+    rows = clusters.withColumn("have", F.when(F.col("partner").isNull(), F.lit(-1.0)).otherwise(F.col("cost")))
+    every = in_blocks(rows, "v", ["n", "have"], size)
+    asking = in_blocks(rows.filter("partner IS NULL"), "v", ["n", "fresh"], size)
 
     def work(a, b):
         order = np.asarray(pc.sort_indices(b["ids"]))
-        cost = costs(a["data"], a["n"], b["data"][order], b["n"][order])
-        if a["block"] == b["block"]:
-            cost[order, np.arange(len(order))] = np.inf
-        best = cost.argmin(axis=1)
-        least = cost[np.arange(len(best)), best]
-        some = np.flatnonzero(np.isfinite(least))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([a["ids"].take(pa.array(some)), b["ids"].take(pa.array(order[best[some]])), pa.array(least[some])], names=["id", "partner", "cost"])
+        ids, data, m, have = b["ids"].take(pa.array(order)), b["data"][order], b["n"][order], b["have"][order]
+        own = np.asarray(pc.fill_null(pc.index_in(a["ids"], value_set=ids), -1))
+        for s in range(0, len(own), STRIP):
+            i, j, cost = least_costs(a["data"][s : s + STRIP], a["n"][s : s + STRIP], data, m, own[s : s + STRIP])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([a["ids"].take(pa.array(i + s)), ids.take(pa.array(j)), pa.array(cost)], names=["id", "partner", "cost"])
+        # Others whose partner may be a fresh cluster: not dearer than the one they have.
+        fresh, old = np.flatnonzero(a["fresh"]), np.flatnonzero(have >= 0)
+        fresh = fresh[np.asarray(pc.sort_indices(a["ids"].take(pa.array(fresh))))] if len(fresh) else fresh
+        for s in range(0, len(old) if len(fresh) else 0, STRIP):
+            part = old[s : s + STRIP]
+            i, j, cost = least_costs(data[part], m[part], a["data"][fresh], a["n"][fresh], np.full(len(part), -1))
+            i, j, cost = (x[cost <= have[part[i]]] for x in (i, j, cost))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(part[i])), a["ids"].take(pa.array(fresh[j])), pa.array(cost)], names=["id", "partner", "cost"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("partner", kind), T.StructField("cost", T.DoubleType())])
-    found = by_blocks(blocks, blocks, work, schema).groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("b"))
-    return found.select("id", "b.partner", "b.cost")
+    found = by_blocks(asking, every, work, schema).unionByName(known.select("id", "partner", "cost"))
+    return found.groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("b")).select("id", "b.partner", "b.cost")
 
 
 def last_joins(ids: np.ndarray, n: np.ndarray, v: np.ndarray) -> list[tuple]:
@@ -76,19 +116,26 @@ def last_joins(ids: np.ndarray, n: np.ndarray, v: np.ndarray) -> list[tuple]:
 def joins(rows: DataFrame, small: int = SMALL, size: int = BLOCK) -> DataFrame:
     """(id, into, cost, round) of rows (id, vector): one row for each id but the least."""
     kind = id_type(rows)
-    clusters = stored(rows.filter("id IS NOT NULL AND vector IS NOT NULL").select("id", F.lit(1.0).alias("n"), F.col("vector").cast("array<double>").alias("v")))
-    done, turn = [], 0
+    points = stored(rows.filter("id IS NOT NULL AND vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("v")))
+    none = [F.lit(True).alias("fresh"), F.lit(None).cast(kind).alias("partner"), F.lit(None).cast("double").alias("cost")]
+    clusters = stored(points.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n")).select("id", "n", "v", *none))
+    heads = clusters.select("v", F.col("id").alias("into"))
+    done, turn = [stored(points.join(heads.hint("merge"), "v").filter("id <> into").select("id", "into", F.lit(0.0).alias("cost"), F.lit(0).alias("round")))], 1
     while clusters.count() > small:
         near = stored(partners(clusters, size))
         other = near.select(F.col("id").alias("partner"), F.col("partner").alias("back"))
-        met = stored(near.join(other, "partner").filter("back = id AND id < partner").select(F.col("partner").alias("id"), F.col("id").alias("into"), "cost", F.lit(turn).alias("round")))
+        met = stored(near.join(other.hint("merge"), "partner").filter("back = id AND id < partner").select(F.col("partner").alias("id"), F.col("id").alias("into"), "cost", F.lit(turn).alias("round")))
         done.append(met)
-        into = clusters.join(met.select("id", "into"), "id", "left").select(F.coalesce("into", "id").alias("id"), "n", "v")
+        into = clusters.join(met.select("id", "into").hint("merge"), "id", "left").select(F.coalesce("into", "id").alias("id"), "n", "v")
         # One or two rows a cluster, in the order of their sizes and vectors.
         pairs = into.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("p"))
         a, b = F.get("p", F.lit(0)), F.get("p", F.lit(1))
         joined = F.zip_with(a["v"], b["v"], lambda x, y: (a["n"] * x + b["n"] * y) / (a["n"] + b["n"]))
-        clusters = stored(pairs.select("id", F.when(b.isNull(), a["n"]).otherwise(a["n"] + b["n"]).alias("n"), F.when(b.isNull(), a["v"]).otherwise(joined).alias("v")))
+        moved = pairs.select("id", F.when(b.isNull(), a["n"]).otherwise(a["n"] + b["n"]).alias("n"), F.when(b.isNull(), a["v"]).otherwise(joined).alias("v"), b.isNotNull().alias("fresh"))
+        # A join is never cheaper than both of its parts were, so a partner that is left as it was stays the cheapest old one.
+        gone = met.select(F.explode(F.array("id", "into")).alias("partner"))
+        kept = near.join(gone.hint("merge"), "partner", "left_anti").select("id", "partner", "cost")
+        clusters = stored(moved.join(kept.hint("merge"), "id", "left").select("id", "n", "v", "fresh", "partner", "cost"))
         turn += 1
     schema = T.StructType([T.StructField("id", kind), T.StructField("into", kind), T.StructField("cost", T.DoubleType()), T.StructField("round", T.IntegerType())])
 
@@ -118,7 +165,7 @@ def levels(rows: DataFrame, most: int = 18, small: int = SMALL, size: int = BLOC
     up = stored(up)
     while True:
         further = up.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        moved = stored(up.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("new"), F.col("to").alias("old")))
+        moved = stored(up.join(further.hint("merge"), "to", "left").select("id", F.coalesce("next", "to").alias("new"), F.col("to").alias("old")))
         up = moved.select("id", F.col("new").alias("to"))
         if moved.filter("new <> old").isEmpty():
             break
