@@ -1,7 +1,10 @@
 """Steps that must not grow faster than their input."""
 
+import difflib
+
 import numpy as np
 
+from textloom.operators import resolution as R
 from textloom.operators import vectors as V
 
 RNG = np.random.default_rng(9)
@@ -30,3 +33,21 @@ def test_a_bucket_of_many_rows_is_dealt_into_parts(spark):
     coded = V.hashed(same, 0.9, 0.95, 10, 1)
     found = [tuple(r) for r in V.in_buckets(coded, 0.9, part=40).collect()]
     assert len(found) == len(set(found)) == 150 * 149 // 2
+
+
+def test_names_that_share_most_letters_do_not_all_meet(spark):
+    names = spark.range(1500).selectExpr("'S' AS type", "format_string('supplier#%09d', id) AS name")
+    assert R.near_names(names, 90).count() < 1500 * 1500 / 2 / 10
+
+
+def test_links_of_names_with_copies(spark):
+    names = ["Supplier#000000001", "Supplier#000000002", "supplier#000000013", "abababababa", "bababababab", "abcdefghij", "abcdefghijk", "", "z"]
+    rows = [(i, "T", n) for i, n in enumerate([*names, *reversed(names), *names])]
+    for least in (90, 60):
+        ratio = lambda x, y: 100 * difflib.SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio()
+        want = {(i, j): ratio(x, y) for i, _, x in rows for j, _, y in rows if i < j and ratio(x, y) >= least}
+        found = {(r.a, r.b): r.ratio for r in R.fuzzy_links(spark.createDataFrame(rows, "id long, type string, name string"), least).collect()}
+        assert found.items() <= want.items()
+        name = {i: n.lower() for i, _, n in rows}
+        assert {(name[i], name[j]) for i, j in found} == {(name[i], name[j]) for i, j in want}
+        assert {j for i, j in found if name[i] == name[j]} == set(range(9, 27))
