@@ -6,6 +6,7 @@ import numpy as np
 
 from textloom.operators import resolution as R
 from textloom.operators import vectors as V
+from textloom.plans import source_suite
 
 RNG = np.random.default_rng(9)
 
@@ -51,3 +52,10 @@ def test_links_of_names_with_copies(spark):
         name = {i: n.lower() for i, _, n in rows}
         assert {(name[i], name[j]) for i, j in found} == {(name[i], name[j]) for i, j in want}
         assert {j for i, j in found if name[i] == name[j]} == set(range(9, 27))
+
+
+def test_files_share_one_folder(spark, tmp_path):
+    rows = spark.range(1050).selectExpr("id AS k", "struct(id AS n) AS o")
+    path = source_suite.json_files(rows, str(tmp_path / "lists"))
+    assert len(list((tmp_path / "lists").glob("part-*"))) == 11 and not [p for p in (tmp_path / "lists").iterdir() if p.is_dir()]
+    assert sorted(r.n for r in spark.read.schema("n long").option("multiLine", True).json(path).collect()) == list(range(1050))

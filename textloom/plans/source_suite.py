@@ -19,10 +19,11 @@ def folder(spark, name):
 
 
 def json_files(rows, path, per_file=100):
-    """One JSON array of at most `per_file` objects a file; rows (k, o)."""
+    """One JSON array of at most `per_file` objects a file, all files in one folder; rows (k, o)."""
     lists = rows.groupBy(F.floor(F.col("k") / per_file).alias("file")).agg(F.to_json(F.sort_array(F.collect_list("o"))).alias("value"))
-    lists.repartition("file").write.partitionBy("file").text(path)
-    return f"{path}/*/"
+    # A folder for each file would have to be listed and opened by itself.
+    lists.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
 
 
 @query("episode_files", "SELECT CAST(doc_id AS VARCHAR) AS episode_number, source AS title, length(text) AS letters FROM documents WHERE length(text) > 100")
@@ -38,7 +39,7 @@ def extraction_files(spark, sf):
     entities = F.array(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("type")))
     relationships = F.array(F.struct(F.col("p_name").alias("source"), F.lit("MADE_BY").alias("type"), F.col("p_brand").alias("target")))
     path = json_files(table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.struct(entities.alias("entities"), relationships.alias("relationships")).alias("o")), folder(spark, "extractions"))
-    found, links = files.extractions(spark, path)
+    found, links = files.extractions(spark, path, "entities array<struct<name: string, type: string>>, relationships array<struct<source: string, type: string, target: string>>")
     found = found.select(F.lit("entity").alias("kind"), "name", "type").unionByName(links.select(F.lit("relationship").alias("kind"), F.col("target").alias("name"), "type"))
     return found.groupBy("kind", "name", "type").agg(F.count(F.lit(1)).alias("n"))
 

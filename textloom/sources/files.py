@@ -36,9 +36,10 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("pillars").alias("pillar", "c")).select("pillar", F.explode("c").alias("category", "description"))
 
 
-def extractions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC7: entities and relationships of extraction files."""
-    rows = spark.read.option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+def extractions(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC7: entities and relationships of extraction files; without a schema all files are read for it first."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     return rows.select("file", F.explode("entities").alias("e")).select("file", "e.*"), rows.select("file", F.explode("relationships").alias("r")).select("file", "r.*")
 
 
