@@ -4,6 +4,7 @@ import difflib
 
 import numpy as np
 
+from textloom.operators import communities as C
 from textloom.operators import resolution as R
 from textloom.operators import vectors as V
 from textloom.plans import source_suite
@@ -59,3 +60,9 @@ def test_files_share_one_folder(spark, tmp_path):
     path = source_suite.json_files(rows, str(tmp_path / "lists"))
     assert len(list((tmp_path / "lists").glob("part-*"))) == 11 and not [p for p in (tmp_path / "lists").iterdir() if p.is_dir()]
     assert sorted(r.n for r in spark.read.schema("n long").option("multiLine", True).json(path).collect()) == list(range(1050))
+
+
+def test_rounds_of_communities_broadcast_nothing(spark):
+    links = C.stored(C.symmetric(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")))
+    degrees = C.stored(links.selectExpr("u", "w AS k"))
+    assert "Broadcast" not in plan(C.wishes(links, degrees, degrees.selectExpr("u", "u AS a"), 4.0))

@@ -9,6 +9,7 @@ modularity rises until no node wishes to move, or by less than LEAST a round. Th
 the next one; levels end when the modularity does not rise.
 
 Everything is fixed by the edges: reruns agree. Each round stores one row a node; the driver learns two numbers of it.
+Joins merge: tables of nodes are not broadcast, which would send each of them through the driver in every round.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ def symmetric(edges: DataFrame) -> DataFrame:
 def wishes(links: DataFrame, degrees: DataFrame, of: DataFrame, total: float) -> DataFrame:
     """For each node u of community a: its degree k, its weight to its own community (within), the community c that it wishes to
     join, null if none, its gain, and whether both are single nodes of which the other is to move (waits)."""
-    members = of.join(degrees, "u").groupBy("a").agg(F.sum("k").alias("sum"), F.count(F.lit(1)).alias("size"))
-    near = links.filter("u <> v").join(of.select(F.col("u").alias("v"), F.col("a").alias("c")), "v").groupBy("u", "c").agg(F.sum("w").alias("to"))
+    members = of.join(degrees.hint("merge"), "u").groupBy("a").agg(F.sum("k").alias("sum"), F.count(F.lit(1)).alias("size"))
+    near = links.filter("u <> v").join(of.select(F.col("u").alias("v"), F.col("a").alias("c")).hint("merge"), "v").groupBy("u", "c").agg(F.sum("w").alias("to"))
     # The own community is always looked at, with or without neighbours in it.
     own = of.select("u", F.col("a").alias("c"), F.lit(0.0).alias("to"))
     near = near.unionByName(own).groupBy("u", "c").agg(F.sum("to").alias("to"))
-    rows = near.join(of.join(degrees, "u"), "u").join(members.withColumnRenamed("a", "c"), "c")
+    rows = near.join(of.join(degrees.hint("merge"), "u").hint("merge"), "u").join(members.withColumnRenamed("a", "c").hint("merge"), "c")
     here = F.col("c") == F.col("a")
     gain = F.round(F.col("to") - F.col("k") * (F.col("sum") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
     rows = rows.withColumn("gain", gain)
@@ -58,7 +59,7 @@ def unhindered(found: DataFrame) -> DataFrame:
 
 def modularity(found: DataFrame, loops: DataFrame, total: float) -> tuple[float, int]:
     """The modularity of the communities of wishes(), and how many nodes wish to move."""
-    rows = found.join(loops, "u", "left")
+    rows = found.join(loops.hint("merge"), "u", "left")
     by = rows.groupBy("a").agg(F.sum(F.col("within") + F.coalesce("loop", F.lit(0.0))).alias("inside"), F.sum("k").alias("k"), F.count("c").alias("n"))
     r = by.agg(F.sum(F.col("inside") / total - (F.col("k") / total) * (F.col("k") / total)).alias("q"), F.sum("n").alias("n")).first()
     return r["q"], r["n"]
@@ -85,7 +86,7 @@ def level(links: DataFrame, total: float) -> tuple[DataFrame, float]:
             drawn: Column = F.pmod(F.xxhash64(F.col("u").cast("string"), F.lit(turn)), F.lit(2)) == 0
             of = found.select("u", F.when(drawn & ~F.col("waits"), F.coalesce("c", "a")).otherwise(F.col("a")).alias("a"))
         else:
-            of = found.join(unhindered(found).withColumn("moves", F.lit(True)), "u", "left").select("u", F.when(F.col("moves"), F.col("c")).otherwise(F.col("a")).alias("a"))
+            of = found.join(unhindered(found).withColumn("moves", F.lit(True)).hint("merge"), "u", "left").select("u", F.when(F.col("moves"), F.col("c")).otherwise(F.col("a")).alias("a"))
 
 
 def louvain(edges: DataFrame) -> DataFrame:
@@ -100,11 +101,11 @@ def louvain(edges: DataFrame) -> DataFrame:
         if last is not None and q <= last + LEAST:
             break
         last = q
-        of = stored(found.select(F.col("u").alias("id"), "a") if of is None else of.join(found.withColumnRenamed("u", "_u").withColumnRenamed("a", "_a"), F.col("a") == F.col("_u")).select("id", F.col("_a").alias("a")))
+        of = stored(found.select(F.col("u").alias("id"), "a") if of is None else of.join(found.withColumnRenamed("u", "_u").withColumnRenamed("a", "_a").hint("merge"), F.col("a") == F.col("_u")).select("id", F.col("_a").alias("a")))
         left, right = found.select("u", F.col("a").alias("cu")), found.select(F.col("u").alias("v"), F.col("a").alias("cv"))
-        links = stored(links.join(left, "u").join(right, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        links = stored(links.join(left.hint("merge"), "u").join(right.hint("merge"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
     least = of.groupBy("a").agg(F.min("id").alias("community"))
-    return of.join(least, "a").select("id", "community")
+    return of.join(least.hint("merge"), "a").select("id", "community")
 
 
 def partition_quality(edges: DataFrame, found: DataFrame) -> float:
