@@ -7,6 +7,7 @@ import numpy as np
 from textloom.operators import communities as C
 from textloom.operators import resolution as R
 from textloom.operators import vectors as V
+from textloom.operators import ward
 from textloom.plans import source_suite
 
 RNG = np.random.default_rng(9)
@@ -66,3 +67,9 @@ def test_rounds_of_communities_broadcast_nothing(spark):
     links = C.stored(C.symmetric(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")))
     degrees = C.stored(links.selectExpr("u", "w AS k"))
     assert "Broadcast" not in plan(C.wishes(links, degrees, degrees.selectExpr("u", "u AS a"), 4.0))
+
+
+def test_equal_vectors_join_in_one_round(spark):
+    rows = spark.createDataFrame([(i, [0.0, 0.0] if i < 60 else [float(i), 1.0]) for i in range(64)], "id long, vector array<double>")
+    made = ward.joins(rows, small=6).collect()
+    assert len(made) == 63 and max(r["round"] for r in made) < 10
