@@ -104,3 +104,19 @@ def test_nothing(spark, tmp_path):
     index = I.append(docs_of(spark, [(2, "abc abc"), (3, "other text")]), str(tmp_path / "b"))
     assert index.n == 3 and [r.doc_id for r in I.search(index, ["abc"], 1).filter(F.col("score") > 0).collect()] == [2]
     assert I.search(index, [], 3).count() == 0
+
+
+def test_documents_travel_whole(spark):
+    """One row a document leaves the texts, with its terms counted; postings are made where a block's documents meet."""
+    import pyarrow as pa
+
+    rows = corpus(300, 7)
+    sized, words = I.tokenised(docs_of(spark, rows), "doc_id", "text")
+    want = {i: Counter(t for t in re.findall(r"[^\W_]+", (t or "").lower()) if len(t) > 2) for i, t in rows}
+    assert {r.doc_id: Counter(dict(zip(r.terms, r.tfs, strict=True))) for r in words.collect()} == want and words.count() == len(rows)
+    assert {r.doc_id: r.dl for r in sized.collect()} == {i: sum(c.values()) for i, c in want.items()}
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "dl": [2, 1, 4], "block": [0, 0, 1], "terms": [["sea", "hill"], ["sea"], ["sea"]], "tfs": [[1, 1], [1], [4]]})
+    found = [r for b in I.grouped(iter([batch.slice(0, 1), batch.slice(1, 2)])) for r in b.to_pylist()]
+    assert [(r["term"], r["block"], r["n"], r["max_tf"], r["min_dl"], [tuple(e.values()) for e in r["entries"]]) for r in found] == [
+        ("sea", 0, 2, 1, 1, [(1, 1, 2), (2, 1, 1)]), ("hill", 0, 1, 1, 2, [(1, 1, 2)]), ("sea", 1, 1, 4, 4, [(3, 4, 4)]),
+    ]

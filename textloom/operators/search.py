@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}]{3,}"
 #: BM25 defaults: term saturation, length weight, floor factor of negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rank constant of reciprocal rank fusion.
@@ -14,7 +14,7 @@ RRF_K = 60
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits that are longer than two characters."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda x: F.length(x) > 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ merge() writes all of them as one from their postings, without reading the texts
 A search reads the buckets of its terms only. It scores the blocks with the highest bounds first; the k-th score found is
 the threshold for the bounds of all others, and only blocks that reach it are read. The result is exact.
 
+Building: a document's terms are counted where it is read; whole documents travel to their block, and blocks to their bucket.
 Scale: blocks of a common term spread over files by slices of the documents; the driver learns sums, the terms of the query and one threshold.
 Defined results: documents without terms are indexed with length 0; ids are unique, append() skips those that the index has;
 a query without terms gives no rows; texts that are null count as empty.
@@ -24,8 +25,12 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +41,8 @@ from textloom.operators.search import B, EPSILON, K1, tokens
 
 #: Documents of a block, and folders of terms.
 BLOCK, BUCKETS = 256, 32
-#: Blocks of one bucket that are written by one task.
-SLICE = 1024
+#: Blocks of one bucket that are written by one task, and documents whose postings one task makes, about.
+SLICE, TASK = 256, 4096
 #: Blocks that are scored first, to learn the threshold.
 FIRST = 8
 #: Scores this far below the threshold are still read, so that rounding can't part what it makes equal.
@@ -111,31 +116,81 @@ def last_version(spark: SparkSession, path: str) -> tuple[int, list[tuple[str, i
     return v, [(r["gen"], r["n"], r["total_dl"]) for r in rows.filter(F.col("v") == v).collect()]
 
 
-def write_generation(sized: DataFrame, postings: DataFrame, path: str, block: int, buckets: int) -> tuple[str, int, int]:
-    """Writes documents (doc_id, dl) and their postings (doc_id, term, tf) as a new generation."""
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, dl, block, terms, tfs) in the order of block and id as rows (term, block, n, max_tf, min_dl, entries)."""
+
+    def rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        ids, dl = whole["doc_id"].combine_chunks(), whole["dl"].to_numpy()
+        doc = np.repeat(np.arange(len(dl)), pc.list_value_length(whole["terms"]).to_numpy())
+        coded = pc.list_flatten(whole["terms"]).combine_chunks().dictionary_encode()
+        codes, tf = coded.indices.to_numpy(), pc.list_flatten(whole["tfs"]).to_numpy()
+        if not len(codes):
+            return
+        order = np.argsort(codes, kind="stable")
+        doc, tf = doc[order], tf[order]
+        n = np.bincount(codes)
+        at = np.r_[0, np.cumsum(n)]
+        entries = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf), pa.array(dl[doc])], names=["doc_id", "tf", "dl"])
+        block = pa.array(np.full(len(n), whole["block"][0].as_py()))
+        columns = [coded.dictionary, block, pa.array(n), pa.array(np.maximum.reduceat(tf, at[:-1])), pa.array(np.minimum.reduceat(dl[doc], at[:-1])), pa.ListArray.from_arrays(pa.array(at, pa.int32()), entries)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_dl", "entries"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        starts = np.flatnonzero(np.r_[len(block) > 0, block[1:] != block[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(block)], strict=True):
+            if held and held[0].column("block")[0].as_py() != block[a]:
+                yield from rows(held)
+                held = []
+            held.append(batch.slice(int(a), int(b - a)))
+    if held:
+        yield from rows(held)
+
+
+def write_generation(sized: DataFrame, words: DataFrame, path: str, block: int, buckets: int) -> tuple[str, int, int]:
+    """Writes documents (doc_id, dl) and their distinct terms (doc_id, dl, terms, tfs) as a new generation."""
     gen = f"g{uuid.uuid4().hex[:12]}"
     placed = ranks.ranked(sized, [F.col("dl"), F.col("doc_id")], "place")
     placed.select("doc_id", "dl", F.floor(F.col("place") / block).alias("block")).write.parquet(f"{path}/docs/gen={gen}")
     docs = sized.sparkSession.read.parquet(f"{path}/docs/gen={gen}")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).first()
-    entry = F.struct("doc_id", "tf", "dl")
-    # At most `block` entries a row.
-    # A bucket's blocks are dealt out by slices of the documents, so a common term spreads; terms are grouped where they arrive.
-    rows = postings.join(docs, "doc_id").withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("slice", F.floor(F.col("block") / SLICE))
-    blocks = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    blocks = blocks.drop("slice").sortWithinPartitions("bucket", "term", "block")
     if total["words"]:
-        blocks.write.partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
+        # Whole documents travel to their block, so a block's postings (at most `block` entries a row) are made in one task.
+        rows = words.join(docs.select("doc_id", "block"), "doc_id").select("doc_id", "dl", "block", "terms", "tfs")
+        rows = rows.repartition(-(-total["n"] // TASK), "block").sortWithinPartitions("block", "doc_id")
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        rows = rows.mapInArrow(grouped, f"term string, block long, n long, max_tf long, min_dl long, entries array<struct<doc_id: {kind}, tf: long, dl: long>>")
+        # A bucket's blocks are dealt out by slices of the documents, so a common term spreads; tasks grow with the slices.
+        slices = -(-total["n"] // (block * SLICE))
+        rows = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("slice", F.floor(F.col("block") / SLICE))
+        rows = rows.repartition("bucket", "slice") if slices == 1 else rows.repartition(buckets * slices, "bucket", "slice")
+        rows.drop("slice").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
         terms = docs.sparkSession.read.parquet(f"{path}/postings/gen={gen}")
         terms.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms/gen={gen}")
     return gen, total["n"], total["words"] or 0
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, toks) as (doc_id, dl, terms, tfs), some at a time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(start, BLOCK)
+            dl = pc.list_value_length(batch.column("toks")).to_numpy().astype(np.int64)
+            coded = batch.column("toks").flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            keys, tfs = np.unique(np.repeat(np.arange(len(dl)), dl) * size + coded.indices.to_numpy(), return_counts=True)
+            at = pa.array(np.searchsorted(keys, np.arange(len(dl) + 1) * size), pa.int32())
+            terms = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(keys % size)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dl), terms, pa.ListArray.from_arrays(at, pa.array(tfs))], names=["doc_id", "dl", "terms", "tfs"])
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, dl) of each document and (doc_id, term, tf), from one pass over the texts."""
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("toks")))
-    counts = rows.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return rows.select("doc_id", F.size("toks").cast("long").alias("dl")), counts
+    """(doc_id, dl) of each document and (doc_id, dl, terms, tfs), its distinct terms and their counts, from one pass over the texts."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("toks"))
+    rows = stored(rows.mapInArrow(counted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, dl long, terms array<string>, tfs array<long>"))
+    return rows.select("doc_id", "dl"), rows
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int = BUCKETS) -> Index:
@@ -166,8 +221,9 @@ def merge(spark: SparkSession, path: str, block: int = BLOCK) -> Index:
     version, generations = last_version(spark, path)
     if len(generations) < 2 or not index.worded:
         return index
-    entries = index.read("postings").select("term", F.explode("entries").alias("e")).select("term", "e.doc_id", "e.tf")
-    gen = write_generation(index.read("docs").select("doc_id", "dl"), entries, path, block, index.buckets)
+    entries = index.read("postings").select("term", F.explode("entries").alias("e")).select("e.doc_id", "e.dl", F.struct("term", "e.tf").alias("t"))
+    words = entries.groupBy("doc_id", "dl").agg(F.collect_list("t").alias("t")).select("doc_id", "dl", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
+    gen = write_generation(index.read("docs").select("doc_id", "dl"), words, path, block, index.buckets)
     write_version(spark, path, [gen], index.buckets, version + 1)
     return open_index(spark, path)
 
