@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import secrets
@@ -119,3 +120,34 @@ def test_runs_that_base_spans_leave_in_part_are_reported():
     text = "0123456789abcdef" + "ZYXWVUTSRQPONMLK" + " token=ABCDEFGHIJKLMNOP"
     ((base, spans),) = secrets.scan(pa.array([text], pa.large_string()), All())
     assert [k for _, k, _ in base] == ["hex", "assign"] and [x for x in spans if x[1] == "format"] == [(0, "format", 32)]
+
+
+def test_all_values_are_counted(spark):
+    """The frequencies of an automaton are those of all values, however many there are and however rare their states."""
+    values = sorted(set(hexes(3000, 24)))
+    longest = "f0" * 40_000
+    docs = spark.createDataFrame([(i, f'token = "{v}" {w}plainwords') for i, (v, w) in enumerate(zip([*values, longest], (WORDS * 2)[: len(values) + 1], strict=True))], "doc_id long, text string")
+    formats = secrets.learn(docs)
+    hexed = formats.kinds[1]
+    # One state: 3,000 values of 24 symbols and one of 80,000 end 3,001 times.
+    codes = secrets.CLASS[np.frombuffer("".join([*values, longest]).encode(), np.uint8)]
+    assert len(hexed.step) == 2
+    assert 2 ** hexed.end[0] == pytest.approx((len(values) + 1) / (len(codes) + len(values) + 1), rel=1e-4)
+    step, counts = secrets.merged(secrets.PrefixTree(values))
+    assert secrets.passages(step, *secrets.as_codes([*values, longest])).sum() == len(codes) + len(values) + 1
+    # The steps of the prefix tree, counted by hashes, are those of the tree.
+    node, symbol, below, n = (x.tolist() for x in secrets.prefixes(*secrets.as_codes(values[:200])))
+    nodes = {}
+    for row in zip(node, symbol, below, n, strict=True):
+        nodes.setdefault(row[0], {})[row[1]] = (row[2], row[3])
+    tree, plain = secrets.PrefixTree.of(nodes, secrets.ROOT), secrets.PrefixTree(values[:200])
+    assert len(tree.ends) == len(plain.ends) and sorted(map(sorted, tree.count)) == sorted(map(sorted, plain.count)) and sum(tree.ends) == 200
+    assert all((a == b).all() for a, b in zip(secrets.merged(tree), secrets.merged(plain), strict=True))
+
+
+def test_no_value_is_left_out(spark):
+    """Far more values and ordinary runs than the driver would hold, and one of over 65,536 letters, reach the learner."""
+    texts = [f'{w} token = "{v}"' for v, w in zip(hexes(2500), hexes(2500, 13), strict=True)] + ["token=" + "ab" * 40_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("text", "true AS ordinary")
+    n = {r["kind"]: r["count"] for r in secrets.values_of(rows).groupBy("kind").count().collect()}
+    assert n["assign"] == 2501 and n["hex"] == 2501 and n[""] == 2500

@@ -1,13 +1,17 @@
 """Secret scans: fixed patterns, and formats learnt by grammar inference.
 
-Labelled credentials are the distinct values that the fixed patterns match in all documents, at most SAMPLE_VALUES a kind
-by a hash of the value, longer ones than VALUE_LETTERS and those beyond SAMPLE_LETTERS a kind left out whole; ordinary runs
-are those of SAMPLE_DOCS documents in expectation, at any number of documents. For each kind their prefix tree is folded into a probabilistic
+Labelled credentials are the distinct values that the fixed patterns match, ordinary runs all other runs of credential
+characters; both are of all documents and whole. For each kind their prefix tree is folded into a probabilistic
 automaton: two states are merged when the frequencies of ending and of each next symbol class are statistically
-compatible (Hoeffding bound) all the way down. Another automaton learns the ordinary runs of the sample. Every run of
+compatible (Hoeffding bound) all the way down. Another automaton learns half of the ordinary runs. Every run of
 credential characters in every text is then a candidate, scored by the log-likelihood ratio of the best format against
-the ordinary runs; those over a threshold set on the sample become added spans of the kind `format`, unless spans of
-fixed patterns cover them whole.
+the ordinary runs; those over a threshold become added spans of the kind `format`, unless spans of fixed patterns cover
+them whole. The threshold is set on all ordinary runs of the other half.
+
+Scale: Spark counts the states of the prefix trees, the passages of all values through the merged automata, and the rates
+of the ordinary runs by bins of 1 / BINS bit. The driver merges the states that at least two values and 1 / SHARE of a kind's
+values reach within DEEPEST symbols: fewer than SHARE a symbol. What leads to rarer states leads to the first state, as the
+test can't tell them apart; their values count like all others in the automaton's frequencies.
 
 Defined results: null counts as the empty text, which has no span; texts of any length are scanned whole; offsets are
 code points; repeated rows are scanned each; without labelled credentials there are no added spans.
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keep, slices, table, texts_of
+from textloom.llm.common import LENGTH, keep, mix, powers, slices, table, texts_of
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -37,9 +41,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % RUN_LEAST)
 HEX_LEAST = 16
 
-SAMPLE_DOCS, SAMPLE_VALUES = 20_000, 2_000
-#: Letters of one value, and of all values of a kind, that the driver learns from.
-VALUE_LETTERS, SAMPLE_LETTERS = 65_536, 4 << 20
+#: States that the driver merges: reached by 1 / SHARE of a kind's values and within DEEPEST symbols; bins of a bit.
+SHARE, DEEPEST, BINS = 1000, 512, 1024
+#: Letters whose steps in the prefix tree a worker counts at once.
+STEPS = 1 << 18
 #: Confidence of the merge test, share of ordinary runs that may pass the threshold, least gain over ordinary runs in bits.
 ALPHA, PASS, LEAST_BITS = 0.05, 0.001, 12.0
 
@@ -72,6 +77,26 @@ class PrefixTree:
                 state = self.next[state][c]
             self.ends[state] += 1
 
+    @classmethod
+    def of(cls, nodes: dict[int, dict[int, tuple[int, int]]], root: int) -> PrefixTree:
+        """The tree of counted nodes, each with (next node, count) by class, the class CLASSES for ends; nodes may be missing."""
+        tree = cls([])
+        state, todo = {root: 0}, [root]
+        for key in todo:
+            own = state[key]
+            for c, (below, n) in sorted(nodes.get(key, {}).items()):
+                if c == CLASSES:
+                    tree.ends[own] = n
+                    continue
+                tree.count[own][c] = n
+                if below in nodes:
+                    state[below] = tree.next[own][c] = len(tree.ends)
+                    tree.ends.append(0)
+                    tree.next.append({})
+                    tree.count.append({})
+                    todo.append(below)
+        return tree
+
     def seen(self, state: int) -> int:
         return self.ends[state] + sum(self.count[state].values())
 
@@ -103,6 +128,8 @@ class PrefixTree:
             self.ends[a] += self.ends[b]
             for c, n in self.count[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + n
+                if c not in self.next[b]:
+                    continue
                 if c in self.next[a]:
                     todo.append((self.next[a][c], self.next[b][c]))
                 else:
@@ -134,9 +161,9 @@ class Automaton:
         return out
 
 
-def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
-    """Merges compatible states of the values' prefix tree, in breadth-first order."""
-    tree = PrefixTree(values)
+def merged(tree: PrefixTree, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """Merges compatible states of the prefix tree, in breadth-first order: next states by class, -1 for none, and counts by
+    class and of ends."""
     kept = [0]
     fringe = sorted(tree.next[0].items())
     parents = [(0, c) for c, _ in fringe]
@@ -155,17 +182,65 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
         queue = {(s, x) for s in kept for x, t in tree.next[s].items() if t not in kept}
         parents = sorted(queue, key=lambda p: (kept.index(p[0]), p[1]))
     place = {s: k for k, s in enumerate(kept)}
-    sink = len(kept)
-    step, log, end = np.full((sink + 1, CLASSES), sink), np.zeros((sink + 1, CLASSES)), np.zeros(sink + 1)
-    for s, k in place.items():
-        total = tree.seen(s) + 0.01 * (CLASSES + 1)
-        for c in range(CLASSES):
-            log[k, c] = math.log2((tree.count[s].get(c, 0) + 0.01) / total / CLASS_SIZE[c])
-            step[k, c] = place.get(tree.next[s].get(c), sink)
-        end[k] = math.log2((tree.ends[s] + 0.01) / total)
-    log[sink] = math.log2(1 / (CLASS_SIZE.sum() + 1))
-    end[sink] = math.log2(1 / (CLASS_SIZE.sum() + 1))
-    return Automaton(step, log, end)
+    step = np.array([[place[tree.next[s][c]] if c in tree.next[s] else -1 for c in range(CLASSES)] for s in kept])
+    return step, np.array([[*(tree.count[s].get(c, 0) for c in range(CLASSES)), tree.ends[s]] for s in kept])
+
+
+def automaton(step: np.ndarray, counts: np.ndarray) -> Automaton:
+    """The automaton of next states and counts: classes that no value had lead out, those without a state of their own to the first."""
+    sink = len(step)
+    total = counts.sum(axis=1) + 0.01 * (CLASSES + 1)
+    out = math.log2(1 / (CLASS_SIZE.sum() + 1))
+    log = np.vstack([np.log2((counts[:, :CLASSES] + 0.01) / total[:, None] / CLASS_SIZE), np.full((1, CLASSES), out)])
+    end = np.r_[np.log2((counts[:, CLASSES] + 0.01) / total), out]
+    there = np.where(counts[:, :CLASSES] > 0, np.maximum(step, 0), sink)
+    return Automaton(np.vstack([there, np.full((1, CLASSES), sink)]), log, end)
+
+
+def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
+    return automaton(*merged(PrefixTree(values), alpha))
+
+
+def passages(step: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How often the values pass each state by each class, and end there; classes without a next state lead to the first."""
+    counts = np.zeros((len(step), CLASSES + 1), np.int64)
+    length = np.diff(bounds)
+    order = np.argsort(-length, kind="stable")
+    starts, length = bounds[:-1][order], length[order]
+    state = np.zeros(len(order), np.int64)
+    for k in range(int(length[0]) if len(length) else 0):
+        live = int(np.searchsorted(-length, -k, side="left"))
+        c, s = codes[starts[:live] + k], state[:live]
+        np.add.at(counts, (s, c), 1)
+        state[:live] = np.maximum(step[s, c], 0)
+    np.add.at(counts, (state, CLASSES), 1)
+    return counts
+
+
+#: Hashes of the classes, and the tree's root, the hash of no symbols.
+SYMBOL = mix(np.arange(1, CLASSES + 1, dtype=np.uint64))
+ROOT = int(mix(np.zeros(1, np.uint64)).view(np.int64)[0])
+
+
+def prefixes(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, class, next node, times) of the steps of all values in their prefix tree, to DEEPEST symbols; nodes are hashes."""
+    up, down = powers(len(codes) + 1)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(SYMBOL[codes] * down[:-1])]
+    length = np.diff(bounds)
+    kept = np.minimum(length + 1, DEEPEST + 1)
+    at = np.cumsum(kept) - kept
+    depth = np.arange(int(kept.sum())) - np.repeat(at, kept)
+    start, size = np.repeat(bounds[:-1], kept), np.repeat(length, kept)
+
+    def node(d):
+        return mix((total[start + d] - total[start]) * up[start] + d.astype(np.uint64) * LENGTH).view(np.int64)
+
+    ends = depth == size
+    symbol = np.where(ends, CLASSES, codes[np.minimum(start + depth, len(codes) - 1)])
+    own, below = node(depth), np.where(ends, 0, node(np.minimum(depth + 1, size)))
+    # Node and class make one key: a bijection of the node's hash, and a small number.
+    _, first, times = np.unique(own.view(np.uint64) * LENGTH + symbol.astype(np.uint64), return_index=True, return_counts=True)
+    return own[first], symbol[first], below[first], times
 
 
 @dataclass
@@ -192,6 +267,7 @@ def as_codes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: dict[str, list[str]], ordinary: list[str], alpha: float = ALPHA) -> Formats | None:
+    """Formats of values at hand; learn() counts those of all documents on Spark."""
     kinds = [infer(v, alpha) for _, v in sorted(labelled.items()) if v]
     if not kinds or not ordinary:
         return None
@@ -278,35 +354,102 @@ def sampled(key: Column, total: int, sample: int) -> Column:
     return F.coalesce(F.shiftrightunsigned(F.xxhash64(F.lit(7), key), 1) < sample * (1 << 63) // total, F.lit(False)) & key.isNotNull()
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES, sample_letters: int = SAMPLE_LETTERS) -> Formats | None:
-    """Automata from the labelled credentials of all documents and the ordinary runs of a sample chosen by a hash of the id."""
+def values_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The distinct (kind, value) of docs: credentials by kind, and ordinary runs, kind "", of rows marked `ordinary`."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            kinds, found = [], []
-            texts, ordinary = texts_of(batch, text_col), batch.column("ordinary").to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(ordinary | worth(texts)).tolist():
-                s = texts[k].as_py()
-                base = base_spans(s)
-                for _, kind, _, secret in base:
-                    kinds.append(kind)
-                    found.append(secret)
-                for m in RUN.finditer(s) if ordinary[k] else ():
-                    if not any(a < m.end() and m.start() < b for a, _, b, _ in base):
-                        kinds.append("")
-                        found.append(m[0])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "value"])
-
-    rows = docs.select(F.col(text_col), sampled(F.col(id_col), docs.count(), sample_docs).alias("ordinary"))
-    found = keep(rows.mapInArrow(values, "kind string, value string").filter(F.char_length("value") <= VALUE_LETTERS).distinct(), "values")
-    labelled: dict[str, list[str]] = {}
-    for kind in ("", "assign", "access", "hex"):
-        most = sample_values * (2 if kind == "" else 1)
-        first = found.filter(F.col("kind") == kind).withColumn("h", F.xxhash64("value")).orderBy("h", "value").limit(most)
-        # A window over the `most` rows at most.
-        letters = F.sum(F.char_length("value")).over(Window.partitionBy("kind").orderBy("h", "value"))
-        labelled[kind] = [r.value for r in first.withColumn("letters", letters).filter(F.col("letters") <= sample_letters).orderBy("h", "value").collect()]
-    return fit({k: v for k, v in labelled.items() if k}, labelled[""])
+            texts = texts_of(batch, text_col)
+            flat, at = flat_bytes(texts)
+            found: set[tuple[str, str]] = set()
+            based = {}
+            for k in np.flatnonzero(worth(texts)).tolist():
+                based[k] = base_spans(texts[k].as_py())
+                found |= {(kind, secret) for _, kind, _, secret in based[k]}
+            if len(flat):
+                points = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
+                text, first, last = runs(flat, at, RUN_BYTES, RUN_LEAST)
+                wanted = batch.column("ordinary").to_numpy(zero_copy_only=False)[text]
+                for k, i, j in zip(text[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
+                    base = based.get(k)
+                    if base:
+                        a, b = int(points[i] - points[at[k]]), int(points[j] - points[at[k]])
+                        if any(x < b and a < y for x, _, y, _ in base):
+                            continue
+                    found.add(("", flat[i:j].tobytes().decode("ascii")))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
+
+    return docs.select(text_col, "ordinary").mapInArrow(values, "kind string, value string").distinct()
+
+
+def by_kind(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Of values (kind, value) those of each kind, as codes and bounds."""
+    kinds = batch.column("kind")
+    for kind in pc.unique(kinds).to_pylist():
+        yield kind, *as_codes(batch.column("value").filter(pc.equal(kinds, kind)).to_pylist())
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int | None = None, sample_values: int | None = None, sample_letters: int | None = None, alpha: float = ALPHA) -> Formats | None:
+    """Automata and threshold from all credentials and ordinary runs of all documents. A caller may ask for less: ordinary runs of
+    about `sample_docs` documents, `sample_values` values and `sample_letters` letters a kind."""
+    ordinary = F.lit(True) if sample_docs is None else sampled(F.col(id_col), docs.count(), sample_docs)
+    found = values_of(docs.select(text_col, ordinary.alias("ordinary")), text_col)
+    if sample_values is not None or sample_letters is not None:
+        near = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+        found = found.withColumn("n", F.row_number().over(near)).withColumn("letters", F.sum(F.char_length("value")).over(near))
+        found = found.filter((F.col("n") <= (sample_values or 1 << 62)) & (F.col("letters") <= (sample_letters or 1 << 62))).drop("n", "letters")
+    # Ordinary runs: half teach the automaton, half set the threshold.
+    half = F.when(F.pmod(F.xxhash64(F.lit(3), F.col("value")), F.lit(2)) == 0, "ordinary").otherwise("held")
+    found = keep(found.withColumn("kind", F.when(F.col("kind") == "", half).otherwise(F.col("kind"))), "values")
+    total = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    if not total.keys() - {"ordinary", "held"} or not total.keys() & {"ordinary", "held"}:
+        return None
+    # Of very few runs all may lie in one half.
+    teach = "ordinary" if "ordinary" in total else "held"
+    rated = "held" if "held" in total else teach
+    kinds = sorted(total.keys() - {"ordinary", "held"})
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "value", STEPS):
+            for kind, codes, bounds in by_kind(batch):
+                rows = prefixes(codes, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows[0]), pa.string()), *map(pa.array, rows)], names=["kind", "node", "symbol", "below", "n"])
+
+    taught = found.filter(F.col("kind").isin([*kinds, teach]))
+    edges = taught.mapInArrow(steps, "kind string, node long, symbol long, below long, n long").groupBy("kind", "node", "symbol", "below").agg(F.sum("n").alias("n"))
+    least = F.element_at(F.create_map(*[F.lit(x) for k in (*kinds, teach) for x in (k, max(2, -(-total[k] // SHARE)))]), F.col("kind"))
+    nodes = edges.groupBy("kind", "node").agg(F.sum("n").alias("seen"), F.collect_list(F.struct("symbol", "below", "n")).alias("edges")).filter((F.col("seen") >= least) | (F.col("node") == ROOT))
+    trees: dict[str, dict[int, dict[int, tuple[int, int]]]] = {k: {} for k in (*kinds, teach)}
+    for r in nodes.collect():
+        trees[r["kind"]][r["node"]] = {e["symbol"]: (e["below"], e["n"]) for e in r["edges"]}
+    step = {k: merged(PrefixTree.of(t, ROOT), alpha)[0] for k, t in trees.items()}
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {k: np.zeros((len(s), CLASSES + 1), np.int64) for k, s in step.items()}
+        for batch in slices(batches, "value"):
+            for kind, codes, bounds in by_kind(batch):
+                counts[kind] += passages(step[kind], codes, bounds)
+        for kind, n in counts.items():
+            state, symbol = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(state), pa.string()), pa.array(state), pa.array(symbol), pa.array(n[state, symbol])], names=["kind", "state", "symbol", "n"])
+
+    counts = {k: np.zeros((len(s), CLASSES + 1), np.int64) for k, s in step.items()}
+    for r in taught.mapInArrow(passed, "kind string, state long, symbol long, n long").groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"]][r["state"], r["symbol"]] = r["n"]
+    formats = Formats([automaton(step[k], counts[k]) for k in kinds], automaton(step[teach], counts[teach]))
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "value"):
+            codes, bounds = as_codes(batch.column("value").to_pylist())
+            bins, n = np.unique(np.floor(formats.gains(codes, bounds) / np.diff(bounds) * BINS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
+
+    # Rates lie within some bits, so the bins are few at any number of runs.
+    binned = found.filter(F.col("kind") == rated).mapInArrow(rates, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    place = min(total[rated] - 1, math.ceil(total[rated] * (1 - PASS)))
+    at = int(np.searchsorted(np.cumsum([r["n"] for r in binned]), place, side="right"))
+    formats.rate = max(0.0, (binned[at]["bin"] + 1) / BINS)
+    return formats
 
 
 def find(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
