@@ -4,6 +4,9 @@ import difflib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from textloom.operators import graph as G
 from textloom.operators import communities as C
 from textloom.operators import resolution as R
 from textloom.operators import vectors as V
@@ -73,3 +76,18 @@ def test_equal_vectors_join_in_one_round(spark):
     rows = spark.createDataFrame([(i, [0.0, 0.0] if i < 60 else [float(i), 1.0]) for i in range(64)], "id long, vector array<double>")
     made = ward.joins(rows, small=6).collect()
     assert len(made) == 63 and max(r["round"] for r in made) < 10
+
+
+def test_path_rounds_read_stored_links_and_the_last_those_to_the_end_only(spark, monkeypatch):
+    rows = [("a", f"m{i}", "X") for i in range(5)] + [(f"m{i}", f"k{j}", "X") for i in range(5) for j in range(30)] + [("k7", "z", "X")]
+    kept, plain = [], G.stored
+
+    def noted(df):
+        kept.append(plain(df))
+        return kept[-1]
+
+    monkeypatch.setattr(G, "stored", noted)
+    path = G.shortest_path(spark.createDataFrame(rows, "src string, dst string, type string"), "a", "z", 3).first()
+    assert (path.hops, path.nodes) == (3, ["a", "m0", "k7", "z"])
+    fronts = [x.count() for x in kept if "nodes" in x.columns]
+    assert fronts == [1, 5, 30, 1] and any(x.columns == ["src", "dst", "type"] for x in kept)

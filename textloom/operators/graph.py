@@ -55,14 +55,17 @@ def neighborhood(edges: DataFrame, start: str, radius: int) -> DataFrame:
 
 def shortest_path(edges: DataFrame, a: str, b: str, most: int = 6) -> DataFrame:
     """GR4: (hops, nodes, relations) of one shortest undirected path; the first in order of nodes; no row if there is none."""
-    links = both_ways(edges).distinct()
+    # Links are stored once for all rounds; of parallel ones the least path stays.
+    links = stored(both_ways(edges))
     front = stored(edges.sparkSession.createDataFrame([(a, [a], [])], "id string, nodes array<string>, relations array<string>"))
     seen = front.select("id")
     for hops in range(most + 1):
         hit = front.filter(F.col("id") == b)
         if not hit.isEmpty() or hops == most:
             return hit.select(F.lit(hops).alias("hops"), "nodes", "relations").orderBy("nodes", "relations").limit(1)
-        step = front.join(links.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("relations", F.col("type")).alias("relations"))
+        # The last round needs the links to b only.
+        near = links.filter(F.col("dst") == b) if hops == most - 1 else links
+        step = front.join(near.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("relations", F.col("type")).alias("relations"))
         step = step.join(seen, "id", "left_anti")
         front = stored(step.groupBy("id").agg(F.min(F.struct("nodes", "relations")).alias("p")).select("id", "p.nodes", "p.relations"))
         seen = stored(seen.unionByName(front.select("id")))
