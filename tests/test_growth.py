@@ -91,3 +91,10 @@ def test_path_rounds_read_stored_links_and_the_last_those_to_the_end_only(spark,
     assert (path.hops, path.nodes) == (3, ["a", "m0", "k7", "z"])
     fronts = [x.count() for x in kept if "nodes" in x.columns]
     assert fronts == [1, 5, 30, 1] and any(x.columns == ["src", "dst", "type"] for x in kept)
+
+
+def test_names_are_distinct_before_their_letters_are_counted(spark):
+    from textloom.plans import domain_suite
+
+    rows = domain_suite.names(spark, "/root/testdata/sf0.001").filter(F.size("vector") > 0)
+    assert "o_orderpriority" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 29

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import domains as D
 from textloom.operators import search as S
+from textloom.operators.graph import stored
 from textloom.plans.catalogue import query
 from textloom.sources import files
 from textloom.sources.tables import table
@@ -24,7 +25,8 @@ def names(spark, sf):
     for t in ("nation", "customer", "orders", "events", "region"):
         table(spark, sf, t).createOrReplaceTempView(t)
     counts = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length("name") - F.length(F.replace(F.lower("name"), F.char(c), F.lit("")))).cast("double"))
-    return spark.sql(NAMES).select(F.col("name").alias("id"), counts.alias("vector"))
+    # The distinct names are stored, or filters on the vectors would move below them and count the letters of every row.
+    return stored(spark.sql(NAMES)).select(F.col("name").alias("id"), counts.alias("vector"))
 
 
 @query("relation_clusters", f"WITH RECURSIVE {VECTORS}, {near(0.7)}, cores AS (SELECT x FROM near GROUP BY x HAVING count(*) >= 3), link AS (SELECT * FROM near WHERE x IN (SELECT x FROM cores) AND y IN (SELECT x FROM cores)), {REACH}, named AS (SELECT x, min(y) AS cluster FROM reach GROUP BY x) SELECT near.x AS id, CASE WHEN near.x IN (SELECT x FROM cores) THEN (SELECT cluster FROM named WHERE named.x = near.x) ELSE min(named.cluster) END AS cluster, near.x IN (SELECT x FROM cores) AS core FROM near JOIN named ON near.y = named.x GROUP BY near.x")
