@@ -79,3 +79,66 @@ def test_query_carries_the_text_left(spark, tmp_path):
     spark.createDataFrame([(1, "ab" + shared + "ß"), (2, shared + "c"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: "abß", 2: "c", 3: ""}
+
+
+def brute_passages(rows, length):
+    words = [[w.lower() for w in (t or "").split()] for _, t in rows]
+    holders = {}
+    for r, w in enumerate(words):
+        for k in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[k : k + length]), set()).add(r)
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        over = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if len(holders[tuple(w[k : k + length])]) > 1:
+                over[k : k + length] = [True] * length
+        out.append((i, sum(b and not a for a, b in zip([False, *over], over, strict=False)), sum(over)))
+    return sorted(out, key=repr)
+
+
+def wordy(n):
+    return [RNG.choice(("a", "é", "the", "Of", "x1", "und", "zu", "bei")) for _ in range(n)]
+
+
+@pytest.mark.parametrize("length, anchor, chunk, block, hot", [(12, 4, sd.CHUNK, sd.BLOCK, sd.HOT), (12, 6, 4000, 800, 20), (7, 7, 900, 2000, 1)])
+def test_passages_follow_brute_force(spark, length, anchor, chunk, block, hot, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", hot)
+    shared, long = wordy(20), wordy(90)
+    rows = []
+    for k in range(60):
+        t = wordy(RNG.randrange(40))
+        if k % 3 == 0:
+            t += shared[RNG.randrange(4) : 16 + RNG.randrange(4)] + wordy(RNG.randrange(20))
+        if k % 5 == 0:
+            t += long[RNG.randrange(30) : 45 + RNG.randrange(45)]
+        rows.append((k, RNG.choice((" ", "\n", "\t ")).join(t)))
+    own, twin = wordy(30), wordy(25)
+    rows += [(100, " ".join(own + own)), (101, " ".join(twin)), (101, " ".join(twin)), (102, " ".join(long).upper().replace("É", "é")), (103, "a " * 80), (104, "b " * 80), (105, "b\n" * 30), (106, None), (107, ""), (None, " ".join(shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sd.removed(docs, chunk=chunk, block=block, passage=length, word_anchor=anchor).collect()
+    got = sorted(((r.doc_id, r.n_passages, r.n_passage_words) for r in out), key=repr)
+    assert got == brute_passages(rows, length)
+    assert sd.removed(docs.limit(0), passage=length).count() == 0
+
+
+def test_word_segments_are_alike_in_any_batch():
+    texts = [wordy(n) for n in (200, 3, 0, 41, 90)]
+    words = [np.array([hash(w) % (1 << 63) for w in t], np.uint64) for t in texts]
+    bounds = np.r_[0, np.cumsum([len(w) for w in words])]
+    want = [sorted(zip(*(x.tolist() for x in sd.word_segments(np.array([0, len(w)]), w, 10, 4)[1:]), strict=True)) for w in words]
+    for piece in (1, 7, 50, sd.PIECE):
+        found = sd.word_segments(bounds, np.concatenate(words), 10, 4, piece)
+        got = [[] for _ in texts]
+        for k, *rest in zip(*(x.tolist() for x in found), strict=True):
+            got[k].append(tuple(rest))
+        assert [sorted(x) for x in got] == want
+
+
+def test_query_finds_passages_of_few_bytes(spark, tmp_path):
+    passage = [f"w{k}" for k in range(51)]  # 194 bytes
+    inner = [f"v{k}" for k in range(51)]
+    rows = [(1, " ".join(["ab", *passage, "c"])), (2, "d\n" + "\n".join(passage)), (3, " ".join([*inner, *inner])), (4, " ".join(passage[1:])), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_words) for r in sd.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 1, 51), 2: (0, 1, 51), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0)}
