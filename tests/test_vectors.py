@@ -90,3 +90,44 @@ def test_random_orders_give_one_hierarchy(spark):
     a = ward.levels(table(spark, points), 6, small=8, size=10).collect()
     b = ward.levels(table(spark, [points[i] for i in order], order), 6, small=8, size=10).collect()
     assert sorted(a) == sorted(b)
+
+
+@pytest.mark.parametrize(("scale", "offset", "sizes"), [(1, 0, 2), (1, 1000, 5), (1e-3, 1, 90), (1e20, 0, 5)])
+def test_cheapest_of_both_sides_as_by_all_costs(scale, offset, sizes):
+    """Also where single precision can't part the costs, with ties, limits and a side that meets itself."""
+
+    def all_costs(a, n, b, m, most, own=None):
+        cost = ward.costs(a, n, b, m)
+        if own is not None:
+            cost[np.arange(len(a)), own] = np.inf
+        least = np.argsort(cost, axis=1, kind="stable")[:, :count]
+        return [(i, int(j), cost[i, j], k == count - 1) for i in range(len(a)) for k, j in enumerate(least[i]) if cost[i, j] <= most[i] and cost[i, j] < np.inf]
+
+    for rounded, count in ((False, 1), (True, 1), (False, 2), (True, 2)):
+        a, b = (np.round(x) if rounded else x for x in (RNG.standard_normal((300, 6)), RNG.standard_normal((513, 6))))
+        a, b = a * scale + offset, b * scale + offset
+        n, m = RNG.integers(1, sizes, 300).astype(float), RNG.integers(1, sizes, 513).astype(float)
+        most = np.where(RNG.random(300) < 0.5, np.inf, scale**2), np.where(RNG.random(513) < 0.5, -np.inf, scale**2)
+        there, back = ward.cheapest(a, n, b, m, *most, count=count)
+        assert list(zip(*there, strict=True)) == all_costs(a, n, b, m, most[0])
+        assert list(zip(*back, strict=True)) == all_costs(b, m, a, n, most[1])
+        alone, none = ward.cheapest(a, n, a, n, most[0], np.full(300, -np.inf), np.arange(300), count)
+        assert list(zip(*alone, strict=True)) == all_costs(a, n, a, n, most[0], np.arange(300)) and not len(none[0])
+
+
+def test_a_block_joins_as_one_by_one(monkeypatch):
+    points = np.array(clustered(300, 5, 20, 0.7))
+    sizes = RNG.integers(1, 4, 300)
+    want = sorted((int(j), int(i), pytest.approx(c)) for j, i, c, _ in ward.last_joins(np.arange(300), sizes, points))
+    monkeypatch.setattr(ward, "FEW", 3)
+    found = ward.last_joins(np.arange(300), sizes, points)
+    assert [(int(j), int(i), c) for j, i, c, _ in sorted(found, key=lambda x: (x[0], x[1]))] == want and len(found) == 299
+    assert max(k for *_, k in found) < 100
+
+
+def test_each_two_blocks_of_clusters_meet_once_in_a_round(spark, monkeypatch):
+    made, met, plain_blocks, plain_pairs = [], [], ward.in_blocks, ward.by_blocks
+    monkeypatch.setattr(ward, "in_blocks", lambda *args: made.append(1) or plain_blocks(*args))
+    monkeypatch.setattr(ward, "by_blocks", lambda *args, **more: met.append(more.get("twice", True)) or plain_pairs(*args, **more))
+    joins = ward.joins(table(spark, clustered(60, 3, 9, 0.6)), small=20, size=10)
+    assert joins.count() == 59 and made and len(made) == len(met) and not any(met)
